@@ -185,6 +185,12 @@ def number_by_hash(df: DataFrame, keys, hashed: str, out: str, digits: int = 3)
     return data.join(t, [*keys, "_p"]).select(*cols(df.columns), (F.col("_o") + here).cast("bigint").alias(out))
 
 
+def value_at_rank(df: DataFrame, name: str, rank: int):
+    """The number (see as_number) found at a 0-based position of one sorted column."""
+    keyed = df.select(as_number(df, name).alias("_k"))
+    return values_at_ranks(keyed, [], "_k", lambda _: F.array(F.lit(rank).cast("bigint"))).first()["_value"]
+
+
 def row_at_rank(df: DataFrame, order_by, rank: int) -> list[tuple[str, object]]:
     """Leading (column, number) pairs that mark where the 0-based rank starts.
 
@@ -195,9 +201,8 @@ def row_at_rank(df: DataFrame, order_by, rank: int) -> list[tuple[str, object]]:
     current, marks = df, []
     for name in order_by:
         number = as_number(df, name)
-        keyed = current.select(number.alias("_k"))
-        value = values_at_ranks(keyed, [], "_k", lambda _, r=rank: F.array(F.lit(r).cast("bigint"))).first()["_value"]
-        earlier = keyed.filter(F.col("_k") < F.lit(value)).count()
+        value = value_at_rank(current, name, rank)
+        earlier = current.filter(number < F.lit(value)).count()
         marks.append((name, value))
         rank -= earlier
         if rank == 0:
