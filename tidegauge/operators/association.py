@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
-from tidegauge.functions.frames import grid
 from tidegauge.operators.binning import _long_bins, fit_edges
-from tidegauge.operators.distribution import class_moments, eta_squared, variance_split
+from tidegauge.operators.distribution import class_moments, variance_split
 from tidegauge.operators.evaluation import auc_from_tally, score_tally
 from tidegauge.operators.profile import LEVELS, summarize
 
@@ -78,15 +78,13 @@ def mutual_information(df: DataFrame, features, label: str, bins: int = 10, edge
     Counts of (feature, bin, class) are all that leaves the scan.
     """
     edges = edges or fit_edges(df, features, bins)
-    counts = _long_bins(df, edges, [label]).groupBy("feature", "bin", label).agg(F.count("*").alias("n"))
-    joint = counts.groupBy("feature").agg(F.collect_list(F.struct(F.col("bin").cast("string").alias("b"), col(label).cast("string").alias("c"), "n")).alias("t"),
-                                          F.sum("n").alias("total"))
-    cells = joint.select("feature", "total", F.inline("t"))
-    by_bin = cells.groupBy("feature", "b").agg(F.sum("n").alias("nb"))
-    by_class = cells.groupBy("feature", "c").agg(F.sum("n").alias("nc"))
-    cells = cells.join(by_bin, ["feature", "b"]).join(by_class, ["feature", "c"])
-    p = F.col("n") / F.col("total")
-    term = p * F.ln(F.col("n") * F.col("total").cast("double") / (F.col("nb").cast("double") * F.col("nc")))
+    counts = _long_bins(df, edges, [label]).groupBy("feature", "bin", label).agg(F.count("*").cast("double").alias("n"))
+
+    def over(*keys: str) -> Column:
+        return F.sum("n").over(W.partitionBy("feature", *keys))
+
+    cells = counts.select("feature", "n", over().alias("t"), over("bin").alias("nb"), over(label).alias("nc"))
+    term = F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nb") * F.col("nc")))
     return cells.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_information"))
 
 
