@@ -3,7 +3,7 @@
 
 def load():
     """(queries, sql) of all binding modules."""
-    from tidegauge.bindings import association, columns, contracts, distribution, evaluation, profile, sources  # noqa: F401
+    from tidegauge.bindings import association, columns, contracts, distribution, evaluation, models, profile, sources, workflows  # noqa: F401
     from tidegauge.bindings.registry import QUERIES, SQL
 
     return QUERIES, SQL

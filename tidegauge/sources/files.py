@@ -132,10 +132,28 @@ def load_split_group(spark: SparkSession, paths: dict[str, str], features, targe
     return out
 
 
-def _line_pattern(sep: str) -> str:
-    s = "\\" + sep if sep in "|" else sep
-    field = rf'(?:"(?:[^"]++|"")*+"|(?:[^"{s}][^{s}]*+)?)'
-    return rf"^{field}(?:{s}{field})*+$"
+def _field_pattern(sep: str) -> tuple[str, str]:
+    s = "\\" + sep if sep == "|" else sep
+    return s, rf'"(?:[^"]++|"")*+"|[^{s}]*+'
+
+
+def csv_cells(text: Column, sep: str = ",") -> Column:
+    """Cells of one CSV line of any width: unquoted, doubled quotes undone, empty cells kept."""
+    s, field = _field_pattern(sep)
+    found = F.regexp_extract_all(F.concat(F.lit(sep), text), F.lit(f"{s}({field})"), F.lit(1))
+
+    def bare(c: Column) -> Column:
+        inner = F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+        return F.when(c.startswith('"') & (F.length(c) > 1), inner).otherwise(c)
+
+    return F.transform(found, bare)
+
+
+def well_quoted(text: Column, sep: str = ",") -> Column:
+    """Every cell is either free of a leading quote or quoted to its end."""
+    s, _ = _field_pattern(sep)
+    cell = rf'(?:"(?:[^"]++|"")*+"|(?:[^"{s}][^{s}]*+)?)'
+    return text.rlike(rf"^{cell}(?:{s}{cell})*+$")
 
 
 @dataclass
@@ -161,13 +179,7 @@ def strict_csv(spark: SparkSession, paths, features, sep: str = ",", low: float
     lines = numbered_lines(spark, paths).withColumn("text", F.regexp_replace("text", "\r$", ""))
     lines = lines.withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")))
     heads = lines.filter("line = 1")
-    outside_quotes = F.regexp_replace("text", r'"(?:[^"]++|"")*+"', "")
-    n_cells = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(sep))) + 1
-    widest = heads.agg(F.max(n_cells)).first()[0]
-    if widest is None:
-        raise ValueError("No header line found")
-    parsed = F.from_csv("text", ", ".join(f"c{i} STRING" for i in range(widest)), {"sep": sep, "mode": "PERMISSIVE"})
-    cells = F.slice(F.array(*[F.coalesce(parsed[f"c{i}"], F.lit("")) for i in range(widest)]), F.lit(1), F.least(n_cells, F.lit(widest)))
+    cells = csv_cells(F.col("text"), sep)
 
     names = F.transform(cells, lambda c: F.trim(c))
     header = heads.select("file", names.alias("names"), cells.alias("original"))
@@ -191,11 +203,12 @@ def strict_csv(spark: SparkSession, paths, features, sep: str = ",", low: float
 
     # One header row per file: joined by file, and broadcast only when Spark finds it small.
     body = lines.filter("line > 1").join(header.select("file", "_width", "_spots"), "file")
-    body = body.withColumn("_cells", cells).withColumn("_n", n_cells)
+    # The one-element explode keeps the optimizer from repeating the parse for every use of a cell.
+    body = body.withColumn("_cells", F.explode(F.array(cells)))
     values = [F.when(F.col("_spots")[i] > 0, F.get(F.col("_cells"), (F.col("_spots")[i] - 1).cast("int"))).alias(f)
               for i, f in enumerate(features)]
-    shape = (F.when(~F.is_valid_utf8("text"), F.lit("invalid_utf8")).when(~F.col("text").rlike(_line_pattern(sep)), F.lit("bad_quote"))
-             .when((F.col("text") == "") | (F.col("_n") != F.col("_width")), F.lit("width")))
+    shape = (F.when(~F.is_valid_utf8("text"), F.lit("invalid_utf8")).when(~well_quoted(F.col("text"), sep), F.lit("bad_quote"))
+             .when((F.col("text") == "") | (F.size("_cells") != F.col("_width")), F.lit("width")))
     body = body.select("file", "line", shape.alias("_shape"), *values)
     kinds = F.array(*[F.struct(F.lit(f).alias("feature"), X.cell_kind(col(f), low, high).alias("kind")) for f in features])
     problems = (F.when(F.col("_shape").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("feature"), F.col("_shape").alias("kind"))))
