@@ -3,12 +3,11 @@
 from pyspark.sql import functions as F
 
 from tidegauge.bindings.association import PART_SQL, parted, train
-from tidegauge.bindings.common import (CELLS, CELL_ROWS_SQL, CLASSES, FAULT_NAMES, FEATURES, LINE_KEY, LINES_SQL, SENSOR_CLASSES, SENSORS,
-                                       cells, lines, sensors, sensors_sql, unpivot_sql)
+from tidegauge.bindings.common import (CELLS, CELL_ROWS_SQL, CLASSES, FAULT_NAMES, FEATURES, LINE_KEY, SENSOR_CLASSES, SENSORS,
+                                       cells, lines, sensors, sensors_sql)
 from tidegauge.bindings.distribution import dominant_sql
 from tidegauge.bindings.registry import query
 from tidegauge.bindings.sources import split_files
-from tidegauge.operators import distribution as G
 from tidegauge.operators import evaluation as I
 from tidegauge.operators import modeling as M
 from tidegauge.operators import scoring as R

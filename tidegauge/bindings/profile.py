@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.bindings.common import (CELLS, CELL_ROWS_SQL, CELLS_SQL, CLASSES, FEATURES, LINES_SQL, LONG_SQL, NOISY_SQL,
+from tidegauge.bindings.common import (CELLS, CELL_ROWS_SQL, CELLS_SQL, FEATURES, LINES_SQL, LONG_SQL, NOISY_SQL,
                                        REPEATED_SQL, SENSORS, cells, lines, noisy, repeated, sensors, sensors_sql, unpivot_sql)
 from tidegauge.bindings.registry import query
 from tidegauge.operators import dedup as D

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegauge.bindings.common import CELL_ROWS_SQL, CELLS, FAULT_NAMES, SENSOR_CLASSES, SENSORS, cells, sensors, sensors_sql
-from tidegauge.bindings.distribution import (DRIFT_DOUBLES, DRIFT_SQL, GROUPED, SUMMARY, SUMMARY_DOUBLES, WIDE, WIDE_LONG, observed, wide)
+from tidegauge.bindings.distribution import (DRIFT_DOUBLES, DRIFT_SQL, GROUPED, SUMMARY, SUMMARY_DOUBLES, WIDE_LONG, observed, wide)
 from tidegauge.bindings.registry import query
 from tidegauge.operators import distribution as G
 from tidegauge.session import scratch_dir

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegauge.bindings import association as S
-from tidegauge.bindings.common import CELLS, CELL_ROWS_SQL, CELLS_SQL, FEATURES, LINES_SQL, REPEATED_SQL, SENSORS, SENSOR_CLASSES, cells, repeated, sensors, unpivot_sql
+from tidegauge.bindings.common import CELLS, CELL_ROWS_SQL, CELLS_SQL, REPEATED_SQL, SENSORS, SENSOR_CLASSES, cells, repeated, unpivot_sql
 from tidegauge.bindings.distribution import ETA_SQL, WIDE_LONG, WIDE_SQL, wide
 from tidegauge.bindings.profile import split_sensors
 from tidegauge.bindings.registry import query

@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
-from tidegauge.functions.expr import col, cols, to_long
+from tidegauge.functions.expr import col, to_long
 from tidegauge.operators.binning import _long_bins, fit_edges
 from tidegauge.operators.distribution import class_moments, variance_split
 from tidegauge.operators.evaluation import auc_from_tally, score_tally
-from tidegauge.operators.profile import LEVELS, summarize
+from tidegauge.operators.profile import summarize
 
 PAIR_LEVELS = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -13,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
-from tidegauge.functions.frames import grid
 from tidegauge.functions.ordering import number_by_hash, quantiles
 from tidegauge.operators.evaluation import argmax_class, macro_auc, macro_metrics
 from tidegauge.session import cut_lineage
@@ -83,13 +85,15 @@ def majority_scores(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Candidate:
-    """One fixed configuration: kind, whether inputs are standardised, and estimator settings."""
+    """One fixed configuration: kind, whether inputs are standardised, estimator settings, and its own
+    features where it does not take all of them."""
 
     name: str
     kind: str
     scale: bool = False
     balanced: bool = True
     settings: dict = field(default_factory=dict)
+    features: tuple = ()
 
 
 def candidates(trees: int = 200, depth: int = 20, rounds: int = 150) -> list[Candidate]:
@@ -117,6 +121,7 @@ def _estimator(c: Candidate, label: str, weight_total: float):
 
 def fit(c: Candidate, train: DataFrame, features, label: str, codes) -> PipelineModel:
     """Every learned number comes from `train`; its rows must carry all classes 0..k-1."""
+    features = list(c.features or features)
     data = train.select(*cols(features), col(label).cast("int").alias(label)).filter(col(label).isNotNull())
     stages = preprocessor(data, features, c.scale)
     if c.balanced:
@@ -154,22 +159,26 @@ def with_folds(df: DataFrame, label: str, key: str, folds: int = FOLDS, seed: in
     return number_by_hash(data, [label], "_h", "_r").withColumn(out, ((F.col("_r") - 1) % folds).cast("int")).drop("_h", "_r")
 
 
-def cross_validate(df: DataFrame, cands, features, label: str, key: str, codes, folds: int = FOLDS) -> DataFrame:
+def cross_validate(df: DataFrame, cands, features, label: str, key: str, codes, folds: int = FOLDS, parallel: int = 4) -> DataFrame:
     """candidate, position, fold and the metrics of every fold.
 
-    Fold scores of all candidates are evaluated together as one keyed table.
+    Models are fitted from a few driver threads so that short fits share the cluster;
+    fold scores of all candidates are evaluated together as one keyed table.
     """
     data = with_folds(df.select(*cols(features), col(label).cast("int").alias(label), col(key)), label, key, folds).persist()
     smallest = data.groupBy(col(label)).count().agg(F.min("count"), F.count("*")).first()
     if smallest[0] is None or smallest[0] < folds or smallest[1] != len(list(codes)):
         raise ValueError(f"Cross-validation needs all classes and at least {folds} rows per class")
-    scored = None
-    for position, c in enumerate(cands):
-        for i in range(folds):
-            model = fit(c, data.filter(F.col("fold") != i), features, label, codes)
-            part = probabilities(data.filter(F.col("fold") == i), model, codes).select(
-                F.lit(c.name).alias("candidate"), F.lit(position).alias("position"), F.lit(i).alias("fold"), col(label).alias("_y"), "p")
-            scored = part if scored is None else scored.unionByName(part)
+
+    def score(task) -> DataFrame:
+        position, c, i = task
+        model = fit(c, data.filter(F.col("fold") != i), features, label, codes)
+        return probabilities(data.filter(F.col("fold") == i), model, codes).select(
+            F.lit(c.name).alias("candidate"), F.lit(position).alias("position"), F.lit(i).alias("fold"), col(label).alias("_y"), "p")
+
+    tasks = [(position, c, i) for position, c in enumerate(cands) for i in range(folds)]
+    with ThreadPool(parallel) as pool:
+        scored = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(score), tasks))
     # Scored once, then read by every metric; the written copy outlives any executor.
     scored = cut_lineage(argmax_class(scored, "p", codes, "_yhat"))
     data.unpersist()
@@ -246,14 +255,7 @@ def tree_rules(model: PipelineModel, spark, features) -> DataFrame:
 
 def univariate_tree_scores(df: DataFrame, features, label: str, key: str, codes, folds: int = FOLDS, depth: int = 4, leaf: int = 10) -> DataFrame:
     """feature, macro_f1: cross-validated shallow tree on one feature at a time."""
-    out = None
-    for f in features:
-        c = Candidate(f, "tree", balanced=False, settings={"maxDepth": depth, "minInstancesPerNode": leaf})
-        part = cross_validate(df, [c], [f], label, key, codes, folds)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(F.col("candidate").alias("feature")).agg(F.avg("macro_f1").alias("macro_f1"))
-
-
-def codebook(spark, codes, names: dict) -> DataFrame:
-    return grid(spark, code=list(codes)).withColumn(
-        "name", F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("code")))
+    shallow = {"maxDepth": depth, "minInstancesPerNode": leaf}
+    one_each = [Candidate(f, "tree", balanced=False, settings=shallow, features=(f,)) for f in features]
+    scores = cross_validate(df, one_each, features, label, key, codes, folds)
+    return scores.groupBy(F.col("candidate").alias("feature")).agg(F.avg("macro_f1").alias("macro_f1"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
-from tidegauge.functions.expr import col, cols
+from tidegauge.functions.expr import col
 
 COMPLETE_MONTH_ROWS = 28 * 24 * 4
 LAGS = (1, 4, 96, 672)
