@@ -34,3 +34,6 @@ def frame(spark, tmp_path):
         return spark.read.parquet(folder)
 
     return make
+
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))

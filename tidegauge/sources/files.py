@@ -176,7 +176,9 @@ def strict_csv(spark: SparkSession, paths, features, sep: str = ",", low: float
     One bad file leaves the others untouched.
     """
     features = list(features)
-    lines = numbered_lines(spark, paths).withColumn("text", F.regexp_replace("text", "\r$", ""))
+    # Validity is read off the raw bytes: any string function would already have replaced bad ones.
+    lines = numbered_lines(spark, paths).withColumn("_utf8", F.is_valid_utf8("text"))
+    lines = lines.withColumn("text", F.regexp_replace("text", "\r$", ""))
     lines = lines.withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")))
     heads = lines.filter("line = 1")
     cells = csv_cells(F.col("text"), sep)
@@ -207,7 +209,7 @@ def strict_csv(spark: SparkSession, paths, features, sep: str = ",", low: float
     body = body.withColumn("_cells", F.explode(F.array(cells)))
     values = [F.when(F.col("_spots")[i] > 0, F.get(F.col("_cells"), (F.col("_spots")[i] - 1).cast("int"))).alias(f)
               for i, f in enumerate(features)]
-    shape = (F.when(~F.is_valid_utf8("text"), F.lit("invalid_utf8")).when(~well_quoted(F.col("text"), sep), F.lit("bad_quote"))
+    shape = (F.when(~F.col("_utf8"), F.lit("invalid_utf8")).when(~well_quoted(F.col("text"), sep), F.lit("bad_quote"))
              .when((F.col("text") == "") | (F.size("_cells") != F.col("_width")), F.lit("width")))
     body = body.select("file", "line", shape.alias("_shape"), *values)
     kinds = F.array(*[F.struct(F.lit(f).alias("feature"), X.cell_kind(col(f), low, high).alias("kind")) for f in features])
