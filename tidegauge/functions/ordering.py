@@ -22,7 +22,7 @@ from tidegauge.functions.expr import as_number, col, cols
 from tidegauge.session import is_small
 
 CELLS_PER_OCTAVE = 8
-INNER = 4096
+INNER = 16384
 _SHIFT = 1100 * CELLS_PER_OCTAVE  # above the largest |log2| of a double, in cells
 
 
@@ -66,29 +66,32 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
         return hits.select(*cols(keys), F.explode("_want").alias("_rank"), F.col("_v").alias("_value"), "_total")
 
     bounds = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    carried = [F.max("_base").alias("_base"), F.max("_total").alias("_total"), F.max("_want").alias("_want")]
     solved = F.col("_lo") == F.col("_hi")
 
     def emit(t: DataFrame) -> DataFrame:
         return t.select(*cols(keys), F.explode("_want").alias("_rank"), F.col("_lo").alias("_value"), "_total")
 
+    def narrowed(t: DataFrame, outer: DataFrame, within, cell: str) -> DataFrame:
+        """Cells of one level that hold a wanted rank, counted on from where their outer cell starts."""
+        t = t.join(F.broadcast(outer.drop("_lo", "_hi")), within)
+        t = t.withColumn("_before", F.col("_base") + _before(F.col("_n"), within, [cell]))
+        return t.withColumn("_want", _wanted(F.col("_want"))).filter(F.size("_want") > 0)
+
     data = data.withColumn("_c", outer_cell(F.col("_v")))
     t1 = data.groupBy(*cols(keys), "_c").agg(*bounds)
     t1 = t1.withColumn("_before", _before(F.col("_n"), keys, ["_c"])).withColumn("_total", _all(F.col("_n"), keys))
     t1 = t1.withColumn("_want", _wanted(ranks(F.col("_total")))).filter(F.size("_want") > 0)
 
-    # At most len(ranks) cells per key are left, so the broadcast does not grow with the rows.
+    # At most len(ranks) cells per key are left, so the broadcasts do not grow with the rows.
     open1 = t1.filter(~solved).select(*cols(keys), "_c", "_lo", "_hi", F.col("_before").alias("_base"), "_total", "_want")
-    x = data.join(F.broadcast(open1), [*keys, "_c"]).withColumn("_d", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    t2 = x.groupBy(*cols(keys), "_c", "_d").agg(*bounds, *carried)
-    t2 = t2.withColumn("_before", F.col("_base") + _before(F.col("_n"), [*keys, "_c"], ["_d"]))
-    t2 = t2.withColumn("_want", _wanted(F.col("_want"))).filter(F.size("_want") > 0)
-
-    open2 = t2.filter(~solved).select(*cols(keys), "_c", "_d", F.col("_before").alias("_base"), "_total", "_want")
-    y = x.select(*cols(keys), "_c", "_d", "_v").join(F.broadcast(open2), [*keys, "_c", "_d"])
-    t3 = y.groupBy(*cols(keys), "_c", "_d", "_v").agg(F.count("*").alias("_n"), *carried)
-    t3 = t3.withColumn("_before", F.col("_base") + _before(F.col("_n"), [*keys, "_c", "_d"], ["_v"]))
-    t3 = t3.withColumn("_want", _wanted(F.col("_want"))).filter(F.size("_want") > 0).withColumn("_lo", F.col("_v"))
+    x = data.join(F.broadcast(open1.select(*cols(keys), "_c", "_lo", "_hi")), [*keys, "_c"])
+    x = x.select(*cols(keys), "_c", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_d"), "_v")
+    t2 = narrowed(x.groupBy(*cols(keys), "_c", "_d").agg(*bounds), open1, [*keys, "_c"], "_d")
+
+    open2 = t2.filter(~solved).select(*cols(keys), "_c", "_d", "_lo", "_hi", F.col("_before").alias("_base"), "_total", "_want")
+    y = x.join(F.broadcast(open2.select(*cols(keys), "_c", "_d")), [*keys, "_c", "_d"])
+    t3 = y.groupBy(*cols(keys), "_c", "_d", "_v").agg(F.count("*").alias("_n"))
+    t3 = narrowed(t3, open2, [*keys, "_c", "_d"], "_v").withColumn("_lo", F.col("_v"))
     return emit(t1.filter(solved)).unionByName(emit(t2.filter(solved))).unionByName(emit(t3))
 
 
@@ -221,31 +224,26 @@ def at_or_after(df: DataFrame, marks) -> Column:
     return test
 
 
-def blocked(df: DataFrame, order: str, blocks: int = 4096) -> DataFrame:
-    """Adds _block: equal-width ranges of a numeric order column, so neighbours stay together.
+def count_descents(df: DataFrame, order: str, value: str) -> DataFrame:
+    """One row: descents = how often `value` falls from one row to the next in `order`.
 
-    At least `blocks` tasks' worth of ranges, each no wider than the data needs.
+    Neighbours inside a cell are compared by one task per cell. A cell then counts as
+    one step from its first to its last value, first among the cells of an outer
+    cell and at the end among the outer cells.
     """
-    o = as_number(df, order).cast("double")
-    span = df.agg(F.min(o).alias("_from"), F.max(o).alias("_to"))
-    part = F.floor(F.coalesce(F.try_divide(o - F.col("_from"), F.col("_to") - F.col("_from")), F.lit(0.0)) * blocks)
-    return df.crossJoin(F.broadcast(span)).withColumn("_block", part.cast("int")).drop("_from", "_to")
-
-
-def count_descents(df: DataFrame, order: str, value: str) -> DataFrame:
-    """One row: descents = how often `value` falls from one row to the next in `order`."""
     data = df.select(as_number(df, order).alias("_o"), col(value).alias("_v"))
-    if is_small(df):
-        data = data.withColumn("_b", F.lit(0))
-    else:
-        data = blocked(data, "_o").withColumnRenamed("_block", "_b")
-    inside = data.withColumn("_p", F.lag("_v").over(W.partitionBy("_b").orderBy("_o")))
-    edges = inside.groupBy("_b").agg(
-        F.count_if(F.col("_v") < F.col("_p")).alias("_n"),
-        F.min_by("_v", "_o").alias("_first"),
-        F.max_by("_v", "_o").alias("_last"),
-    )
-    # One row per block from here on.
-    edges = edges.withColumn("_p", F.lag("_last").over(W.partitionBy(F.lit(0)).orderBy("_b")))
-    across = F.count_if(F.col("_first") < F.col("_p"))
-    return edges.agg((F.coalesce(F.sum("_n"), F.lit(0)) + across).cast("bigint").alias("descents"))
+    falls = F.count_if(F.col("_first") < F.col("_p"))
+
+    def fold(steps: DataFrame, within, by: str) -> DataFrame:
+        w = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
+        steps = steps.withColumn("_p", F.lag("_last").over(w.orderBy(by)))
+        return steps.groupBy(*within).agg((F.coalesce(F.sum("_n"), F.lit(0)) + falls).alias("_n"),
+                                          F.min_by("_first", by).alias("_first"), F.max_by("_last", by).alias("_last"))
+
+    rows = data.select("_o", F.lit(0).alias("_n"), F.col("_v").alias("_first"), F.col("_v").alias("_last"))
+    if not is_small(df):
+        rows = rows.withColumn("_c", outer_cell(F.col("_o")))
+        spans = data.groupBy(outer_cell(F.col("_o")).alias("_c")).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
+        rows = rows.join(F.broadcast(spans), "_c").withColumn("_d", inner_cell(F.col("_o"), F.col("_lo"), F.col("_hi")))
+        rows = fold(fold(rows, ["_c", "_d"], "_o"), ["_c"], "_d").withColumnRenamed("_c", "_o")
+    return fold(rows, [], "_o").select(F.coalesce("_n", F.lit(0)).cast("bigint").alias("descents"))

@@ -15,6 +15,7 @@ from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
 from tidegauge.functions.frames import grid, with_groups, zero_fill
 from tidegauge.operators.profile import QUARTILES, summarize
+from tidegauge.session import spread
 
 BINS = 35
 REVIEW_DISTANCE = 0.25
@@ -104,7 +105,7 @@ def feature_pairs(df: DataFrame, features, keep=(), diagonal: bool = False) -> D
     choose = combinations_with_replacement if diagonal else combinations
     pairs = [F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"), col(x).alias("a"), col(y).alias("b"))
              for x, y in choose(features, 2)]
-    return df.select(*cols(keep), F.inline(F.array(*pairs)))
+    return spread(df.select(*cols(keep), *cols(features))).select(*cols(keep), F.inline(F.array(*pairs)))
 
 
 def correlation_matrix(df: DataFrame, features, label: str | None = None, min_pairs: int = 3) -> DataFrame:

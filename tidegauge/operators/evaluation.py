@@ -84,28 +84,36 @@ def auc_from_tally(tally: DataFrame, keys, positives) -> DataFrame:
 
 
 def score_metrics(df: DataFrame, keys, y: str, score: str) -> DataFrame:
-    """keys, roc_auc, average_precision of a 0/1 target. One row per distinct score is enough for both."""
+    """keys, roc_auc, average_precision of a 0/1 target.
+
+    Both come from one ascending pass over the distinct scores: what lies at or
+    above a threshold is the key's total less what lies below it. Average precision
+    is the step sum over distinct thresholds from the highest. Undefined is null.
+    """
     tally = score_tally(df, keys, score, {"_pos": col(y) == 1})
-    return auc_from_tally(tally, keys, ["_pos"]).withColumnRenamed("_pos", "roc_auc").join(
-        average_precision_from_tally(tally, keys), list(keys))
+    totals = tally.groupBy(*cols(keys)).agg(F.sum("_all").alias("_t"), F.sum("_pos").alias("_p"))
+    # One row per curve, the same rows this function returns; joining them any other way
+    # would bring a whole curve into one task.
+    run = prefix_sums(tally, keys, "_score", ["_all", "_pos"]).join(F.broadcast(totals), list(keys))
+    p, below = F.col("_pos"), F.col("below__all") - F.col("below__pos")
+    step = p * (F.col("_p") - F.col("below__pos")) / (F.col("_t") - F.col("below__all"))
+    t = run.groupBy(*cols(keys)).agg(F.max("_t").alias("_t"), F.max("_p").alias("_p"), F.sum(step).alias("_s"),
+                                     F.sum(p * (below + 0.5 * (F.col("_all") - p))).alias("_a"))
+    return t.select(*cols(keys), X.ratio(F.col("_a"), F.col("_p").cast("double") * (F.col("_t") - F.col("_p"))).alias("roc_auc"),
+                    X.ratio(F.col("_s"), F.col("_p")).alias("average_precision"))
 
 
-def average_precision_from_tally(tally: DataFrame, keys) -> DataFrame:
-    """keys, average_precision: step sum over distinct thresholds from the highest; null without positives."""
-    run = prefix_sums(tally, keys, "_score", ["_all", "_pos"], descending=True)
-    tp, seen = F.col("below__pos") + F.col("_pos"), F.col("below__all") + F.col("_all")
-    t = run.groupBy(*cols(keys)).agg(F.sum(F.col("_pos") * tp / seen).alias("_s"), F.sum("_pos").alias("_p"))
-    return t.select(*cols(keys), X.ratio(F.col("_s"), F.col("_p")).alias("average_precision"))
+def _single(df: DataFrame, y: str, score: str) -> DataFrame:
+    rows = df.select(F.lit(1).alias("_one"), (col(y) == 1).cast("int").alias("_y"), col(score).alias("_s"))
+    return score_metrics(rows, ["_one"], "_y", "_s")
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    rows = df.select(F.lit(1).alias("_one"), (col(y) == 1).alias("_y"), col(score).alias("_s"))
-    return auc_from_tally(score_tally(rows, ["_one"], "_s", {"roc_auc": F.col("_y")}), ["_one"], ["roc_auc"]).drop("_one")
+    return _single(df, y, score).select("roc_auc")
 
 
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
-    rows = df.select(F.lit(1).alias("_one"), (col(y) == 1).alias("_y"), col(score).alias("_s"))
-    return average_precision_from_tally(score_tally(rows, ["_one"], "_s", {"_pos": F.col("_y")}), ["_one"]).drop("_one")
+    return _single(df, y, score).select("average_precision")
 
 
 def macro_metrics(df: DataFrame, y: str, yhat: str, codes, keys=()) -> DataFrame:

@@ -18,7 +18,7 @@ from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
 from tidegauge.functions.ordering import number_by_hash, quantiles
 from tidegauge.operators.evaluation import argmax_class, macro_auc, macro_metrics
-from tidegauge.session import cut_lineage
+from tidegauge.session import cut_lineage, spread
 
 SEED = 42
 FOLDS = 5
@@ -122,7 +122,7 @@ def _estimator(c: Candidate, label: str, weight_total: float):
 def fit(c: Candidate, train: DataFrame, features, label: str, codes) -> PipelineModel:
     """Every learned number comes from `train`; its rows must carry all classes 0..k-1."""
     features = list(c.features or features)
-    data = train.select(*cols(features), col(label).cast("int").alias(label)).filter(col(label).isNotNull())
+    data = spread(train.select(*cols(features), col(label).cast("int").alias(label)).filter(col(label).isNotNull()))
     stages = preprocessor(data, features, c.scale)
     if c.balanced:
         data = with_weights(data, label)

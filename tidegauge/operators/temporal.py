@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col
+from tidegauge.functions.frames import grid
 
 COMPLETE_MONTH_ROWS = 28 * 24 * 4
 LAGS = (1, 4, 96, 672)
@@ -65,10 +66,16 @@ def autocorrelation(df: DataFrame, obs: str, value: str, lags=LAGS) -> DataFrame
 def class_autocorrelation(df: DataFrame, obs: str, label: str, codes, lags=LAGS) -> DataFrame:
     """class, lag, r of each class indicator. The label is lagged once for all classes."""
     series = with_lags(df, obs, label, lags)
-
-    def flag(name: str, c) -> Column:
-        return F.when(F.col(name).isNotNull(), (F.col(name) == c).cast("double"))
-
-    cells = [F.struct(F.lit(c).alias("class"), F.lit(k).alias("lag"), X.pearson(flag("x", c), flag(f"lag_{k}", c)).alias("r"))
-             for c in codes for k in lags]
-    return series.agg(F.array(*cells).alias("r")).select(F.inline("r"))
+    pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col("x"), F.col(f"lag_{k}").alias("z")) for k in lags]))
+    counts = series.select(pairs).groupBy("lag", "x", "z").agg(F.count("*").cast("double").alias("n"))
+    # A few class pairs per lag are left; indicator correlations follow from their counts.
+    counts = counts.filter(F.col("x").isNotNull() & F.col("z").isNotNull())
+    indicators = F.explode(F.array(*[F.lit(c) for c in codes])).alias("class")
+    hit, late, n = F.col("x") == F.col("class"), F.col("z") == F.col("class"), F.col("n")
+    t = counts.select("*", indicators).groupBy("class", "lag").agg(
+        F.sum(n).alias("n"), F.sum(F.when(hit, n).otherwise(0.0)).alias("a"), F.sum(F.when(late, n).otherwise(0.0)).alias("b"),
+        F.sum(F.when(hit & late, n).otherwise(0.0)).alias("ab"))
+    a, b = F.col("a"), F.col("b")
+    r = F.try_divide(n * F.col("ab") - a * b, F.sqrt(a * (n - a)) * F.sqrt(b * (n - b)))
+    frame = grid(df.sparkSession, **{"class": list(codes), "lag": list(lags)})
+    return frame.join(t.select("class", "lag", r.alias("r")), ["class", "lag"], "left")

@@ -63,3 +63,12 @@ def is_small(df: DataFrame) -> bool:
     """
     limit = int(df.sparkSession.conf.get(SMALL_BYTES_KEY, str(SMALL_BYTES_DEFAULT)))
     return limit > 0 and plan_bytes(df) <= limit
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small frame dealt out to all cores; any larger one as it is.
+
+    Small tables often sit in a single file split, which would leave the
+    CPU-heavy step after it to one task.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df

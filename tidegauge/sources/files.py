@@ -44,6 +44,7 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     blocks = text.groupBy("file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = F.sum("_n").over(W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1))
     blocks = blocks.select("file", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    # One row per file block (128 MB by default), so the broadcast is about a millionth of the text.
     line = F.col("_before") + F.col("_id") - F.col("_first") + 1
     return text.join(F.broadcast(blocks), ["file", "_start"]).select("file", line.alias("line"), "text")
 
@@ -203,7 +204,8 @@ def strict_csv(spark: SparkSession, paths, features, sep: str = ",", low: float
         F.filter(F.transform(F.arrays_zip("original", "names"), lambda z: F.when(z["original"] != z["names"], z["original"])),
                  lambda n: n.isNotNull()).alias("trimmed_headers"))
 
-    # One header row per file: joined by file, and broadcast only when Spark finds it small.
+    # One header row per file. No hint: Spark broadcasts it when small, and otherwise splits
+    # a file that holds most of the lines by its skew-join rule.
     body = lines.filter("line > 1").join(header.select("file", "_width", "_spots"), "file")
     # The one-element explode keeps the optimizer from repeating the parse for every use of a cell.
     body = body.withColumn("_cells", F.explode(F.array(cells)))
