@@ -44,6 +44,13 @@ def test_quantiles_without_keys(keyed, path):
     assert len(row) == 1 and row[0]["q"][0] == pytest.approx(np.quantile(np.concatenate(list(samples().values())), 0.5))
 
 
+def test_infinities_are_ordered_values(frame, path):
+    df = frame([(v,) for v in (float("-inf"), 1.0, 2.0, float("inf"), float("inf"))], "v double")
+    assert O.quantiles(df, [], "v", [0.0, 0.375, 0.5, 0.75, 1.0]).first()["q"] == [float("-inf"), 1.5, 2.0, float("inf"), float("inf")]
+    tally = df.groupBy("v").agg(F.count("*").alias("n"))
+    assert {r["v"]: r["below_n"] for r in O.prefix_sums(tally, [], "v", ["n"]).collect()} == {float("-inf"): 0, 1.0: 1, 2.0: 2, float("inf"): 3}
+
+
 def test_values_at_ranks_keep_the_integer_type(frame, path):
     big = 2 ** 60
     df = frame([(big + i,) for i in range(50)] * 3, "v bigint")

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions.expr import as_number, col, cols
-from tidegauge.session import is_small
+from tidegauge.session import cut_lineage, is_small
 
 CELLS_PER_OCTAVE = 8
 INNER = 16384
@@ -29,7 +29,9 @@ _SHIFT = 1100 * CELLS_PER_OCTAVE  # above the largest |log2| of a double, in cel
 def outer_cell(v: Column) -> Column:
     d = v.cast("double")
     octave = F.floor(F.log2(F.abs(d)) * CELLS_PER_OCTAVE) + _SHIFT
-    return F.when(d == 0, F.lit(0)).when(d > 0, octave).otherwise(-octave).cast("int")
+    beyond = F.when(F.isnan(d), F.lit(3 * _SHIFT)).when(d == float("inf"), F.lit(2 * _SHIFT)).when(d == float("-inf"), F.lit(-2 * _SHIFT))
+    inside = F.when(d == 0, F.lit(0)).when(d > 0, octave).otherwise(-octave)
+    return F.when(F.isnan(d) | (F.abs(d) == float("inf")), beyond).otherwise(inside).cast("int")
 
 
 def inner_cell(v: Column, low: Column, high: Column) -> Column:
@@ -55,8 +57,9 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
     """keys, _rank, _value, _total for the 0-based ranks of `value` within each key.
 
     `ranks` maps the per-key row count to an array of ranks. Exact for any numeric
-    type. Two passes shrink the candidates to one inner cell per rank (about one
-    row in 100,000 of a smooth distribution); only those are counted by value.
+    type. Two passes over the rows, run here, shrink the candidates to one inner cell
+    per rank (about one row in 100,000 of a smooth distribution); only those are
+    counted by value. A pass that would have nothing to narrow is left out.
     """
     data = df.filter(col(value).isNotNull()).select(*cols(keys), col(value).alias("_v"))
     if is_small(df):
@@ -80,19 +83,26 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
     data = data.withColumn("_c", outer_cell(F.col("_v")))
     t1 = data.groupBy(*cols(keys), "_c").agg(*bounds)
     t1 = t1.withColumn("_before", _before(F.col("_n"), keys, ["_c"])).withColumn("_total", _all(F.col("_n"), keys))
-    t1 = t1.withColumn("_want", _wanted(ranks(F.col("_total")))).filter(F.size("_want") > 0)
+    # Written once, so that each later pass is exactly one scan of the rows.
+    t1 = cut_lineage(t1.withColumn("_want", _wanted(ranks(F.col("_total")))).filter(F.size("_want") > 0))
+    found = emit(t1.filter(solved))
 
     # At most len(ranks) cells per key are left, so the broadcasts do not grow with the rows.
     open1 = t1.filter(~solved).select(*cols(keys), "_c", "_lo", "_hi", F.col("_before").alias("_base"), "_total", "_want")
+    if open1.isEmpty():
+        return found
     x = data.join(F.broadcast(open1.select(*cols(keys), "_c", "_lo", "_hi")), [*keys, "_c"])
     x = x.select(*cols(keys), "_c", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_d"), "_v")
-    t2 = narrowed(x.groupBy(*cols(keys), "_c", "_d").agg(*bounds), open1, [*keys, "_c"], "_d")
+    t2 = cut_lineage(narrowed(x.groupBy(*cols(keys), "_c", "_d").agg(*bounds), open1, [*keys, "_c"], "_d"))
+    found = found.unionByName(emit(t2.filter(solved)))
 
     open2 = t2.filter(~solved).select(*cols(keys), "_c", "_d", "_lo", "_hi", F.col("_before").alias("_base"), "_total", "_want")
+    if open2.isEmpty():
+        return found
     y = x.join(F.broadcast(open2.select(*cols(keys), "_c", "_d")), [*keys, "_c", "_d"])
     t3 = y.groupBy(*cols(keys), "_c", "_d", "_v").agg(F.count("*").alias("_n"))
     t3 = narrowed(t3, open2, [*keys, "_c", "_d"], "_v").withColumn("_lo", F.col("_v"))
-    return emit(t1.filter(solved)).unionByName(emit(t2.filter(solved))).unionByName(emit(t3))
+    return found.unionByName(emit(t3))
 
 
 def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
@@ -122,7 +132,7 @@ def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
         h = position(p, F.col("n"))
         low = F.element_at("_at", F.floor(h).cast("bigint"))
         high = F.element_at("_at", F.ceil(h).cast("bigint"))
-        return low + (high - low) * (h - F.floor(h))
+        return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
 
     return found.select(*cols(keys), "n", F.array(*[level(p) for p in probs]).alias("q"))
 

@@ -70,10 +70,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("class", "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
-def with_weights(df: DataFrame, label: str, out: str = "_weight") -> DataFrame:
-    """Balanced weights; one weight row per class, which is what makes the broadcast safe."""
-    weights = class_weights(df, label).select(F.col("class").alias(label), F.col("weight").alias(out))
-    return df.join(F.broadcast(weights), label)
+def with_weights(df: DataFrame, label: str, weights: DataFrame, out: str = "_weight") -> DataFrame:
+    """Adds the balanced weight of each row's class; one number per class becomes a literal."""
+    known = {r["class"]: r["weight"] for r in weights.collect()}
+    return df.withColumn(out, F.element_at(F.create_map(*[F.lit(x) for p in known.items() for x in p]), col(label)))
 
 
 def majority_scores(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
@@ -122,23 +122,24 @@ def _estimator(c: Candidate, label: str, weight_total: float):
 def fit(c: Candidate, train: DataFrame, features, label: str, codes) -> PipelineModel:
     """Every learned number comes from `train`; its rows must carry all classes 0..k-1."""
     features = list(c.features or features)
-    data = spread(train.select(*cols(features), col(label).cast("int").alias(label)).filter(col(label).isNotNull()))
-    stages = preprocessor(data, features, c.scale)
-    if c.balanced:
-        data = with_weights(data, label)
-    if c.kind != "boosting":
-        return Pipeline(stages=[*stages, _estimator(c, label, float(data.count()))]).fit(data)
-    ready = Pipeline(stages=stages).fit(data)
-    vectors = ready.transform(data).select("_features", label).persist()
+    # Every fit reads its rows several times.
+    data = spread(train.select(*cols(features), col(label).cast("int").alias(label)).filter(col(label).isNotNull())).persist()
     try:
+        stages = preprocessor(data, features, c.scale)
+        if c.kind != "boosting":
+            rows = with_weights(data, label, class_weights(data, label)) if c.balanced else data
+            # Balanced weights add up to the row count.
+            return Pipeline(stages=[*stages, _estimator(c, label, float(data.count()))]).fit(rows)
+        ready = Pipeline(stages=stages).fit(data)
+        vectors = ready.transform(data).select("_features", label)
         boosted = []
         for code in codes:
             one = GBTClassifier(featuresCol="_features", labelCol="_one", predictionCol=f"_pred_{code}", seed=SEED, **c.settings)
             one = one.setProbabilityCol(f"_prob_{code}").setRawPredictionCol(f"_raw_{code}")
             boosted.append(one.fit(vectors.withColumn("_one", (col(label) == code).cast("double"))))
+        return PipelineModel(stages=[*ready.stages, *boosted])
     finally:
-        vectors.unpersist()
-    return PipelineModel(stages=[*ready.stages, *boosted])
+        data.unpersist()
 
 
 def probabilities(df: DataFrame, model: PipelineModel, codes, out: str = "p") -> DataFrame:

@@ -47,11 +47,12 @@ def inspect(df: DataFrame, features, obs: str, target: str | None = None, codes=
     data = P.rename_map(frame, mapping, features, target)
     present = [f for f in features if f in data.columns]
     body = frame.drop(obs)
+    supplied = F.element_at(F.create_map(*[F.lit(x) for f in features for x in (f, mapping.get(f, f))]), F.col("feature"))
     out = {
         "columns": P.column_report(data.drop(obs), features, target),
         "duplicates": D.duplicate_count(body, out="duplicate_rows"),
         "blank": E.blank_counts(body),
-        "issues": C.first_issues(data, present, obs, low=low, high=high),
+        "issues": C.first_issues(data, present, obs, low=low, high=high).withColumn("column", supplied),
         "statistics": E.feature_statistics(data, present),
         "verdict": C.compatibility(data, features, low=low, high=high),
     }
