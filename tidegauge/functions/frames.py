@@ -16,6 +16,12 @@ def grid(spark: SparkSession, **axes) -> DataFrame:
     return out
 
 
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row aggregate to every row, as a scalar subquery instead of a join."""
+    value = one_row.select(F.struct(*cols(one_row.columns)).alias("_v")).scalar()
+    return df.select("*", *[value.getField(c).alias(c) for c in one_row.columns])
+
+
 def zero_fill(counts: DataFrame, frame: DataFrame, keys, measures) -> DataFrame:
     """Every key combination of a literal frame, with 0 where there was no row."""
     joined = frame.join(counts, list(keys), "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
-from tidegauge.functions.frames import grid
+from tidegauge.functions.frames import attach, grid
 from tidegauge.functions.ordering import quantiles
 from tidegauge.operators.distribution import feature_pairs
 
@@ -92,7 +92,7 @@ def class_rate_ratio(rates: DataFrame, distribution: DataFrame, codes) -> DataFr
     """feature, bin, <part>_ratio_<code>: the bin's class rate over the part's class rate."""
     base = distribution.agg(*[F.max(F.when((F.col("part") == p) & (F.col("class") == c), F.col("share"))).alias(f"_{p}_{c}")
                               for p in ("train", "test") for c in codes])
-    out = rates.crossJoin(F.broadcast(base))
+    out = attach(rates, base)
     return out.select("feature", "bin", *[X.ratio(F.col(f"{p}_rate_{c}"), F.col(f"_{p}_{c}")).alias(f"{p}_ratio_{c}")
                                           for p in ("train", "test") for c in codes])
 
@@ -128,7 +128,7 @@ def pair_rate_deviation(df: DataFrame, edges, target: str, partition: str, min_c
     cells = _pair_cells(df, edges, [target, partition],
                         [e for p, v in parts.items() for e in (F.count(v).alias(f"{p}_n"), F.avg(v).alias(f"{p}_rate"))])
     base = df.agg(*[F.avg(v).alias(f"{p}_base") for p, v in parts.items()])
-    cells = cells.crossJoin(F.broadcast(base))
+    cells = attach(cells, base)
 
     def deviation(p: str) -> Column:
         d = F.when(F.col(f"{p}_n") >= min_cell, F.abs(F.col(f"{p}_rate") - F.col(f"{p}_base")))
@@ -153,7 +153,7 @@ def pair_class_pattern(df: DataFrame, edges, label: str, codes, partition: str,
     cells = _pair_cells(df, edges, [label, partition], [*totals, *counts])
     prior = df.agg(*[F.avg(F.when(col(partition) == p, (col(label) == c).cast("double"))).alias(f"{p}_prior_{c}")
                      for p in ("train", "test") for c in codes])
-    cells = cells.crossJoin(F.broadcast(prior))
+    cells = attach(cells, prior)
 
     def residual(p: str, c) -> Column:
         return X.ratio0(F.col(f"{p}_{c}"), F.col(f"{p}_n")) - F.col(f"{p}_prior_{c}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols
+from tidegauge.functions.frames import attach
 from tidegauge.functions.ordering import count_descents
 
 
@@ -66,7 +67,7 @@ def valid_timestamps(df: DataFrame, column: str, order: str) -> DataFrame:
     typed = dtype in ("timestamp", "timestamp_ntz", "date")
     t = col(column)
     n = df.agg(F.count("*").alias("rows"), F.count(t).alias("present"), F.count_distinct(t).alias("kinds"))
-    n = n.crossJoin(count_descents(df, order, column))
+    n = attach(n, count_descents(df, order, column))
     rows = [
         _row("timestamp_type", column, F.lit(0 if typed else 1), "" if typed else dtype),
         _row("timestamp_null", column, F.col("rows") - F.col("present")),

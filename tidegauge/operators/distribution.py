@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
-from tidegauge.functions.frames import grid, with_groups, zero_fill
+from tidegauge.functions.frames import attach, grid, with_groups, zero_fill
 from tidegauge.operators.profile import QUARTILES, summarize
 from tidegauge.session import spread
 
@@ -251,7 +251,7 @@ def mean_confidence(df: DataFrame, confidence: str) -> DataFrame:
 def first_rows(df: DataFrame, order: str, n: int = SAMPLE_ROWS) -> DataFrame:
     """The first n rows by order, each with the total row count and whether rows were left out."""
     total = df.agg(F.count("*").alias("total_rows"))
-    out = df.orderBy(col(order)).limit(n).crossJoin(F.broadcast(total))
+    out = attach(df.orderBy(col(order)).limit(n), total)
     return out.withColumn("truncated", F.col("total_rows") > n)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols
-from tidegauge.functions.frames import grid, zero_fill
+from tidegauge.functions.frames import attach, grid, zero_fill
 from tidegauge.functions.ordering import prefix_sums
 from tidegauge.operators.contracts import bad_probabilities
 
@@ -61,7 +61,7 @@ def binary_metrics(df: DataFrame, y: str, yhat: str, score: str | None = None, k
         return out
     curve = score_metrics(df.select(*cols(keys), F.lit(1).alias("_one"), (col(y) == 1).cast("int").alias("_y"), col(score).alias("_s")),
                           [*keys, "_one"], "_y", "_s").drop("_one")
-    return out.join(curve, list(keys), "left") if keys else out.crossJoin(curve)
+    return out.join(curve, list(keys), "left") if keys else attach(out, curve)
 
 
 def score_tally(df: DataFrame, keys, score: str, positives: dict[str, Column]) -> DataFrame:
@@ -123,7 +123,7 @@ def macro_metrics(df: DataFrame, y: str, yhat: str, codes, keys=()) -> DataFrame
         X.ratio(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
     macro = class_scores(matrix, codes, keys).groupBy(*cols(keys)).agg(
         *[F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")])
-    return hits.join(macro, list(keys)) if keys else hits.crossJoin(macro)
+    return hits.join(macro, list(keys)) if keys else attach(hits, macro)
 
 
 def class_report(df: DataFrame, y: str, yhat: str, codes) -> DataFrame:
@@ -192,5 +192,5 @@ def evaluate(df: DataFrame, y: str, yhat: str, p: str, codes) -> DataFrame:
     macro = macro_metrics(df, y, yhat, codes)
     out = df.agg(F.count("*").alias("rows_evaluated"), F.count_if(bad_probabilities(p, len(codes))).alias("bad_probabilities"))
     for part in (macro, macro_auc(df, y, p, codes), probability_losses(df, y, p, codes)):
-        out = out.crossJoin(part)
+        out = attach(out, part)
     return out.withColumn("independent_test", F.lit(False))

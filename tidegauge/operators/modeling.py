@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
+from tidegauge.functions.frames import attach
 from tidegauge.functions.ordering import number_by_hash, quantiles
 from tidegauge.operators.evaluation import argmax_class, macro_auc, macro_metrics
 from tidegauge.session import cut_lineage, spread
@@ -67,7 +68,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """class, n, weight = n_total / (n_classes * n)."""
     counts = df.groupBy(col(label).alias("class")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_t"), F.count("*").alias("_k"))
-    return counts.crossJoin(F.broadcast(total)).select("class", "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"))
+    return attach(counts, total).select("class", "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
 def with_weights(df: DataFrame, label: str, weights: DataFrame, out: str = "_weight") -> DataFrame:
@@ -79,7 +80,7 @@ def with_weights(df: DataFrame, label: str, weights: DataFrame, out: str = "_wei
 def majority_scores(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """test with yhat = the most frequent training class (the smallest on a tie) and its constant 0/1 score for class 1."""
     top = train.groupBy(col(label).alias("c")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "c").limit(1)
-    out = test.crossJoin(F.broadcast(top.select(F.col("c").alias("yhat"))))
+    out = attach(test, top.select(F.col("c").alias("yhat")))
     return out.withColumn("score", (F.col("yhat") == 1).cast("double"))
 
 
@@ -235,7 +236,7 @@ def permutation_importance(model: PipelineModel, validation: DataFrame, features
         return macro_metrics(scored, label, "_yhat", codes, keys).select(*cols(keys), "macro_f1")
 
     base = f1(validation, []).withColumnRenamed("macro_f1", "_base")
-    rows = f1(permuted_rows(validation, key, features, repeats, seed), ["permuted", "rep"]).crossJoin(F.broadcast(base))
+    rows = attach(f1(permuted_rows(validation, key, features, repeats, seed), ["permuted", "rep"]), base)
     drop = F.col("_base") - F.col("macro_f1")
     return rows.groupBy(F.col("permuted").alias("feature")).agg(F.avg(drop).alias("drop_mean"), F.stddev_pop(drop).alias("drop_sd"))
 

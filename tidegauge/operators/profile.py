@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
-from tidegauge.functions.frames import grid, zero_fill
+from tidegauge.functions.frames import attach, grid, zero_fill
 from tidegauge.functions.ordering import count_descents, quantiles
 from tidegauge.operators.columns import try_timestamp
 from tidegauge.operators.dedup import duplicate_count
@@ -59,7 +59,7 @@ def quality_summary(df: DataFrame, timestamp: str, order: str) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("_ts").isNull(), F.col("_n"))), F.lit(0)).cast("bigint").alias("invalid_timestamps"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_timestamps"))
     steps = count_descents(parsed, order, "_ts")
-    out = base.crossJoin(duplicate_count(df, out="duplicate_rows")).crossJoin(stamps).crossJoin(steps)
+    out = attach(attach(attach(base, duplicate_count(df, out="duplicate_rows")), stamps), steps)
     in_order = (F.col("descents") == 0) & (F.col("invalid_timestamps") == 0)
     return out.withColumn("timestamps_sorted", in_order).drop("descents")
 
@@ -70,7 +70,7 @@ def value_counts(df: DataFrame, column: str, codes=None, group=()) -> DataFrame:
     if codes is not None and not group:
         counts = zero_fill(counts, grid(df.sparkSession, code=list(codes)), ["code"], ["n"])
     total = counts.groupBy(*cols(group)).agg(F.sum("n").alias("_t"))
-    out = counts.join(total, list(group)) if group else counts.crossJoin(F.broadcast(total))
+    out = counts.join(total, list(group)) if group else attach(counts, total)
     return out.select(*cols(group), "code", "n", X.ratio0(F.col("n"), F.col("_t")).alias("share"))
 
 

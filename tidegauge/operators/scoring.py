@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.expr import col, cols
+from tidegauge.functions.frames import attach
 from tidegauge.operators.contracts import bad_probabilities, require, strict_frame
 from tidegauge.operators.distribution import class_share, dominant_abnormal
 from tidegauge.operators.evaluation import argmax_class
@@ -55,7 +56,7 @@ def batch_summary(records: DataFrame, names: dict, normal=0, limit: int = 1000)
     totals = records.agg(F.count("*").alias("rows_analyzed"), F.avg("confidence").alias("mean_confidence"))
     totals = totals.withColumn("predictions_returned", F.least("rows_analyzed", F.lit(limit).cast("bigint")))
     totals = totals.withColumn("truncated", F.col("rows_analyzed") > limit)
-    return totals.crossJoin(dominant_abnormal(class_share(records, "code", list(names)), names, normal))
+    return attach(totals, dominant_abnormal(class_share(records, "code", list(names)), names, normal))
 
 
 def attach_guidance(records: DataFrame, rules: DataFrame, code: str, sensors) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.expr import col, cols
+from tidegauge.functions.frames import attach
 from tidegauge.functions.ordering import number_rows
 from tidegauge.operators import association as A
 from tidegauge.operators import binning as B
@@ -34,7 +35,7 @@ def clean(df: DataFrame, timestamp: str = "timestamp", tiebreak=()) -> tuple[Dat
     if left:
         raise ValueError(f"Missing values remain after cleaning: { {r['column']: r['n_null'] for r in left} }")
     after = out.agg(F.count("*").alias("processed_rows"), F.lit(len(out.columns)).alias("processed_columns"))
-    report = before.crossJoin(after).withColumn("duplicates_removed", F.col("original_rows") - F.col("processed_rows"))
+    report = attach(before, after).withColumn("duplicates_removed", F.col("original_rows") - F.col("processed_rows"))
     types = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("dtype")) for n, t in out.dtypes]
     return out, report.withColumn("data_types", F.array(*types))
 

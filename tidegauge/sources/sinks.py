@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.expr import cols
+from tidegauge.functions.frames import attach
 from tidegauge.operators import distribution as D
 
 SNAPSHOT_TABLES = ("summary", "histogram", "correlation", "eta_squared", "joint_bins", "quality")
@@ -47,7 +48,7 @@ def document(tables: dict[str, DataFrame], **labels) -> DataFrame:
     out = None
     for name, t in tables.items():
         one = t.agg(F.array_sort(F.collect_list(F.struct(*cols(t.columns)))).alias(name))
-        out = one if out is None else out.crossJoin(one)
+        out = one if out is None else attach(out, one)
     return out.select(*[F.lit(v).alias(k) for k, v in labels.items()], *tables)
 
 
