@@ -55,3 +55,57 @@ class SpanHasher:
     def fixed(self, length: int) -> np.ndarray:
         """Hashes of every span of one length, by start."""
         return mix((self.sums[length:] - self.sums[: len(self.sums) - length]) * self.back[: len(self.sums) - length])
+
+
+class IntTable:
+    """Open addressing from 64-bit keys to 64-bit values, for whole arrays at a time."""
+
+    def __init__(self, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int64)
+        self.used = 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(MULTIPLIERS[0])) >> self.shift).astype(np.int64)
+
+    def add(self, keys, values) -> None:
+        """New keys, one by one; the table doubles when half full."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            held = self.keys >= 0
+            keys, values = [*self.keys[held].tolist(), *keys], [*self.values[held].tolist(), *values]
+            self.__init__((2 * len(keys)).bit_length() + 1)
+        self.used += len(keys)
+        for slot, key, value in zip(self._slot(np.array(keys, np.int64)).tolist(), keys, values):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (len(self.keys) - 1)
+            self.keys[slot], self.values[slot] = key, value
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where a key is missing."""
+        slot = self._slot(keys)
+        seen = self.keys[slot]
+        out = np.where(seen == keys, self.values[slot], -1)
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            seen = self.keys[slot[open_]]
+            hit = seen == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> IntTable:
+        """A table from distinct keys to their places in the array, filled for all keys at once."""
+        made = cls((2 * max(1, len(keys))).bit_length() + 1)
+        slot, rest = made._slot(keys), np.arange(len(keys))
+        while len(rest):
+            free = np.flatnonzero(made.keys[slot[rest]] < 0)
+            slots, first = np.unique(slot[rest[free]], return_index=True)
+            placed = rest[free[first]]
+            made.keys[slots], made.values[slots] = keys[placed], placed
+            rest = np.setdiff1d(rest, placed, assume_unique=True)
+            slot[rest] = (slot[rest] + 1) & (len(made.keys) - 1)
+        made.used = len(keys)
+        return made

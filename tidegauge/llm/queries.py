@@ -81,3 +81,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+def held_out(modulus: int, rest: int):
+    """Whether a document is held out from learning."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.quality import score_quality
+
+    out = held_out(5, 0)
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_on=~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.toxicity import score_toxicity
+
+    out = held_out(4, 2)
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_on=~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.language_id import identify
+
+    out = held_out(4, 2)
+    found = identify(table(spark, sf_dir, "documents"), learn_on=~out)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
