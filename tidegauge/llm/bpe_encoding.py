@@ -21,7 +21,7 @@ from tidegauge.llm.hashing import SpanHasher
 from tidegauge.llm.segmenter import words
 from tidegauge.llm.vocabulary import Vocabulary, special_splitter, vocabulary
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 
 class SuffixAutomaton:

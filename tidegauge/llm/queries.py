@@ -45,10 +45,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.bpe_encoding import decode, encode
 
     path = tokenizer_path("byte_bpe_50k.json")
-    decoded = decode(encode(table(spark, sf_dir, "documents"), path).withColumn("kept", F.col("ids")), path)
-    ids = F.col("kept")
-    return decoded.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = encode(table(spark, sf_dir, "documents"), path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    decoded = decode(encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op8_token_counts")

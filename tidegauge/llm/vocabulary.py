@@ -65,7 +65,7 @@ class Vocabulary:
         """Whether the encoding of a's bytes followed by b's bytes is a, b."""
         known = self._kept.get(a << 32 | b)
         if known is None:
-            if len(self._kept) > 1_000_000:
+            if len(self._kept) > 300_000:
                 self._kept.clear()
             known = self._kept[a << 32 | b] = self.stays_apart(a, b)
         return known
