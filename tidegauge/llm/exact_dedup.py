@@ -46,6 +46,6 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of `df` that stay, with all their columns."""
-    gone = exact_duplicates(df, id_col, text_col, keep).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of `df` that stay, with all their columns. Rows that share an id stay or go together; null ids stay."""
+    judged = exact_duplicates(df, id_col, text_col, keep).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept"))
+    return df.join(judged.filter(~F.col("_kept")).select("_gone").hint("merge"), col(id_col) == F.col("_gone"), "left_anti")

@@ -188,4 +188,4 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` that stay, one of each component, with all their columns."""
     gone = near_duplicates(df, shingle, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, col(id_col) == F.col("_gone"), "left_anti")
+    return df.join(gone.hint("merge"), col(id_col) == F.col("_gone"), "left_anti")

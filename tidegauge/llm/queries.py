@@ -132,3 +132,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.suffix_dedup import repeated_substrings
+
+    cut = repeated_substrings(table(spark, sf_dir, "documents"), width=100)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["length"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
