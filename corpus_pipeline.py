@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes and more that start earlier in another place are cut out, in whole characters. Every document stays."""
     cut = repeated_substrings(docs, width=100, keep=("lang", "source"), whole_characters=True)
-    text = F.decode("kept", F.lit("UTF-8"))
+    text = F.decode("kept", "UTF-8")
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("bigint").alias("n_chars"))
 
 
