@@ -194,46 +194,50 @@ def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(every), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids array<int> of every whole text.
+def decoded_texts(path: str, flat: np.ndarray, counts: np.ndarray) -> list[str]:
+    """The texts that consecutive runs of ids stand for; bytes that are no UTF-8 become U+FFFD, as the tokenizers library has it."""
+    table, starts, sizes = token_table(path)
+    length = sizes[flat]
+    ends = np.cumsum(length)
+    where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[flat] - (ends - length), length)
+    line = table[where].tobytes()
+    edges = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+    return [line[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:])]
+
+
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id and ids array<int> of every whole text, and on request the text that the ids decode to.
 
     Null and empty texts give an empty array; repeated rows and ids are encoded each on its own; other columns are left out.
     """
 
     def step(batch: pa.RecordBatch) -> dict:
-        run = encoder(path)
-        packed = run(batch.column("text").to_pylist())
-        offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-        return {"doc_id": batch.column("doc_id"), "ids": ids}
+        packed = encoder(path)(batch.column("text").to_pylist())
+        counts = np.array([len(p) // 4 for p in packed], np.int64)
+        flat = np.frombuffer(b"".join(packed), "<i4")
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat))
+        more = {"decoded": pa.array(decoded_texts(path, flat, counts), pa.string())} if decoded else {}
+        return {"doc_id": batch.column("doc_id"), "ids": ids, **more}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_slices(texts(df, id_col, text_col), step, f"doc_id {kind}, ids array<int>")
+    return map_slices(texts(df, id_col, text_col), step, f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """The frame without its ids, and the text that they stand for.
 
-    Null ids give a null text; bytes that are no UTF-8 become U+FFFD, as the tokenizers library has it.
+    Null ids give a null text; see decoded_texts().
     """
     kept = [f for f in df.schema.fields if f.name != ids_col]
     names = [f"_{i}" for i in range(len(kept))]
     narrow = df.select(*[col(f.name).alias(n) for f, n in zip(kept, names, strict=True)], col(ids_col).alias("_ids"))
 
     def step(batches):
-        table, starts, sizes = token_table(path)
         for batch in batches:
             lists = batch.column("_ids")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
             counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            found, at = [], 0
-            for n, valid in zip(counts, lists.is_valid().to_pylist(), strict=True):
-                ids = flat[at : at + n]
-                at += n
-                length = sizes[ids]
-                ends = np.cumsum(length)
-                where = np.arange(ends[-1] if n else 0) + np.repeat(starts[ids] - (ends - length), length)
-                found.append(table[where].tobytes().decode("utf-8", "replace") if valid else None)
+            found = decoded_texts(path, lists.flatten().to_numpy(zero_copy_only=False), counts)
+            found = [t if valid else None for t, valid in zip(found, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.string())], [*names, "_out"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for f, n in zip(kept, names, strict=True))

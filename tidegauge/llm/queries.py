@@ -42,13 +42,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_bpe_encoding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidegauge.llm.bpe_encoding import decode, encode
+    from tidegauge.llm.bpe_encoding import encode
 
-    path = tokenizer_path("byte_bpe_50k.json")
-    encoded = encode(table(spark, sf_dir, "documents"), path)
+    done = encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), decoded=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    decoded = decode(encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op8_token_counts")
