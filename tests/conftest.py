@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tidegauge.session import SMALL_BYTES_DEFAULT, SMALL_BYTES_KEY, local_session  # noqa: E402
+from tidegauge.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,12 +15,9 @@ def spark():
     return session
 
 
-@pytest.fixture(params=["bounded", "distributed"])
-def path(request, spark):
-    """Runs a test on the short form for small inputs and on the form for any size."""
-    spark.conf.set(SMALL_BYTES_KEY, str(SMALL_BYTES_DEFAULT if request.param == "bounded" else 0))
-    yield request.param
-    spark.conf.unset(SMALL_BYTES_KEY)
+@pytest.fixture
+def path():
+    """Tests that once ran on two forms by size; there is one form now."""
 
 
 @pytest.fixture

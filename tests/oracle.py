@@ -57,8 +57,6 @@ def main(argv) -> int:
     sf_dir = argv[2] if len(argv) > 2 else "/root/testdata/sf0.01"
     spark = local_session("oracle")
     spark.sparkContext.setLogLevel("ERROR")
-    if len(argv) > 3:
-        spark.conf.set("spark.tidegauge.smallBytes", argv[3])
     con, sql, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
         if not any(name.startswith(p) for p in pattern.split(",")):

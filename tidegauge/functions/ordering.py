@@ -14,12 +14,14 @@ over a whole key; rows are never gathered per key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions.expr import as_number, col, cols
-from tidegauge.session import cut_lineage, is_small
+from tidegauge.session import cut_lineage
 
 CELLS_PER_OCTAVE = 8
 INNER = 16384
@@ -27,11 +29,20 @@ _SHIFT = 1100 * CELLS_PER_OCTAVE  # above the largest |log2| of a double, in cel
 
 
 def outer_cell(v: Column) -> Column:
+    """A null value has the lowest cell of all, as nulls sort first."""
     d = v.cast("double")
     octave = F.floor(F.log2(F.abs(d)) * CELLS_PER_OCTAVE) + _SHIFT
     beyond = F.when(F.isnan(d), F.lit(3 * _SHIFT)).when(d == float("inf"), F.lit(2 * _SHIFT)).when(d == float("-inf"), F.lit(-2 * _SHIFT))
     inside = F.when(d == 0, F.lit(0)).when(d > 0, octave).otherwise(-octave)
-    return F.when(F.isnan(d) | (F.abs(d) == float("inf")), beyond).otherwise(inside).cast("int")
+    cell = F.when(F.isnan(d) | (F.abs(d) == float("inf")), beyond).otherwise(inside)
+    return F.coalesce(cell, F.lit(-4 * _SHIFT)).cast("int")
+
+
+def same_cell(rows: DataFrame, cells: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Rows joined to the one cell with the same values in `on`, where null equals null."""
+    named = cells.select(*[col(n).alias(f"_at_{n}") if n in on else col(n) for n in cells.columns])
+    equal = reduce(lambda a, b: a & b, [col(n).eqNullSafe(col(f"_at_{n}")) for n in on])
+    return rows.join(named, equal, how).drop(*[f"_at_{n}" for n in on])
 
 
 def inner_cell(v: Column, low: Column, high: Column) -> Column:
@@ -62,12 +73,6 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
     counted by value. A pass that would have nothing to narrow is left out.
     """
     data = df.filter(col(value).isNotNull()).select(*cols(keys), col(value).alias("_v"))
-    if is_small(df):
-        tally = data.groupBy(*cols(keys), "_v").agg(F.count("*").alias("_n"))
-        tally = tally.withColumn("_before", _before(F.col("_n"), keys, ["_v"])).withColumn("_total", _all(F.col("_n"), keys))
-        hits = tally.withColumn("_want", _wanted(ranks(F.col("_total")))).filter(F.size("_want") > 0)
-        return hits.select(*cols(keys), F.explode("_want").alias("_rank"), F.col("_v").alias("_value"), "_total")
-
     bounds = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     solved = F.col("_lo") == F.col("_hi")
 
@@ -76,7 +81,7 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
 
     def narrowed(t: DataFrame, outer: DataFrame, within, cell: str) -> DataFrame:
         """Cells of one level that hold a wanted rank, counted on from where their outer cell starts."""
-        t = t.join(F.broadcast(outer.drop("_lo", "_hi")), within)
+        t = same_cell(t, outer.drop("_lo", "_hi"), within)
         t = t.withColumn("_before", F.col("_base") + _before(F.col("_n"), within, [cell]))
         return t.withColumn("_want", _wanted(F.col("_want"))).filter(F.size("_want") > 0)
 
@@ -91,7 +96,7 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
     open1 = t1.filter(~solved).select(*cols(keys), "_c", "_lo", "_hi", F.col("_before").alias("_base"), "_total", "_want")
     if open1.isEmpty():
         return found
-    x = data.join(F.broadcast(open1.select(*cols(keys), "_c", "_lo", "_hi")), [*keys, "_c"])
+    x = same_cell(data, open1.select(*cols(keys), "_c", "_lo", "_hi"), [*keys, "_c"])
     x = x.select(*cols(keys), "_c", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_d"), "_v")
     t2 = cut_lineage(narrowed(x.groupBy(*cols(keys), "_c", "_d").agg(*bounds), open1, [*keys, "_c"], "_d"))
     found = found.unionByName(emit(t2.filter(solved)))
@@ -99,7 +104,7 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
     open2 = t2.filter(~solved).select(*cols(keys), "_c", "_d", "_lo", "_hi", F.col("_before").alias("_base"), "_total", "_want")
     if open2.isEmpty():
         return found
-    y = x.join(F.broadcast(open2.select(*cols(keys), "_c", "_d")), [*keys, "_c", "_d"])
+    y = same_cell(x, open2.select(*cols(keys), "_c", "_d"), [*keys, "_c", "_d"])
     t3 = y.groupBy(*cols(keys), "_c", "_d", "_v").agg(F.count("*").alias("_n"))
     t3 = narrowed(t3, open2, [*keys, "_c", "_d"], "_v").withColumn("_lo", F.col("_v"))
     return found.unionByName(emit(t3))
@@ -108,12 +113,6 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
 def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
     """keys, n, q: exact linear-interpolated quantiles of the non-null values, one array per key."""
     probs = [float(p) for p in probs]
-    if is_small(df):
-        q = F.percentile(col(value), F.array(*[F.lit(p) for p in probs]))
-        agg = [F.count(col(value)).alias("n"), q.alias("q")]
-        out = df.groupBy(*cols(keys)).agg(*agg) if keys else df.agg(*agg)
-        return out.filter(F.col("n") > 0)
-
     def position(p: float, total: Column) -> Column:
         return F.lit(p) * (total - 1)
 
@@ -142,23 +141,18 @@ def prefix_sums(df: DataFrame, keys, order: str, measures, descending: bool = Fa
 
     The frame must hold one row per (key, order value); group it first.
     """
-    if is_small(df):
-        by = [col(order).desc() if descending else col(order)]
-        return df.select("*", *[_before(col(m), keys, by).alias(f"below_{m}") for m in measures])
-
     data = df.withColumn("_v", -col(order).cast("double") if descending else col(order).cast("double"))
     data = data.withColumn("_c", outer_cell(F.col("_v")))
     sums = [F.sum(col(m)).alias(f"_s_{m}") for m in measures]
     t1 = data.groupBy(*cols(keys), "_c").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *sums)
     t1 = t1.select(*cols(keys), "_c", "_lo", "_hi",
                    *[_before(F.col(f"_s_{m}"), keys, ["_c"]).alias(f"_o_{m}") for m in measures])
-    # One row per outer cell: at most 2 * 2100 octaves * 8 for each key, so broadcast is bounded.
-    data = data.join(F.broadcast(t1), [*keys, "_c"])
+    data = same_cell(data, t1, [*keys, "_c"])
     data = data.withColumn("_d", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
     t2 = data.groupBy(*cols(keys), "_c", "_d").agg(*sums)
     t2 = t2.select(*cols(keys), "_c", "_d",
                    *[_before(F.col(f"_s_{m}"), [*keys, "_c"], ["_d"]).alias(f"_i_{m}") for m in measures])
-    data = data.join(t2, [*keys, "_c", "_d"])
+    data = same_cell(data, t2, [*keys, "_c", "_d"])
     here = [*keys, "_c", "_d"]
     return data.select(
         *cols(df.columns),
@@ -169,12 +163,10 @@ def prefix_sums(df: DataFrame, keys, order: str, measures, descending: bool = Fa
 def number_rows(df: DataFrame, order_by, out: str = "obs") -> DataFrame:
     """1-based row numbers by `order_by`, whose first column should be (nearly) unique."""
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
-    if is_small(df):
-        return df.withColumn(out, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*cols(order_by))).cast("bigint"))
     data = df.withColumn("_v", as_number(df, order_by[0])).withColumn("_c", outer_cell(F.col("_v")))
     t1 = data.groupBy("_c").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     t1 = t1.select("_c", "_lo", "_hi", _before(F.col("_n"), [], ["_c"]).alias("_o"))
-    data = data.join(F.broadcast(t1), "_c").withColumn("_d", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    data = data.join(t1, "_c").withColumn("_d", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
     t2 = data.groupBy("_c", "_d").agg(F.count("*").alias("_n"))
     t2 = t2.select("_c", "_d", _before(F.col("_n"), ["_c"], ["_d"]).alias("_i"))
     data = data.join(t2, ["_c", "_d"])
@@ -188,14 +180,11 @@ def number_by_hash(df: DataFrame, keys, hashed: str, out: str, digits: int = 3)
     The leading hex digits spread each key evenly over 16**digits groups, so a
     key that holds most rows is still numbered by many tasks.
     """
-    if is_small(df):
-        w = W.partitionBy(*cols(keys)) if keys else W.partitionBy(F.lit(0))
-        return df.withColumn(out, F.row_number().over(w.orderBy(col(hashed))).cast("bigint"))
-    data = df.withColumn("_p", F.substring(col(hashed), 1, digits))
+    data = df.withColumn("_p", F.coalesce(F.substring(col(hashed), 1, digits), F.lit("")))
     t = data.groupBy(*cols(keys), "_p").agg(F.count("*").alias("_n"))
     t = t.select(*cols(keys), "_p", _before(F.col("_n"), keys, ["_p"]).alias("_o"))
     here = F.row_number().over(W.partitionBy(*cols(keys), "_p").orderBy(col(hashed)))
-    return data.join(t, [*keys, "_p"]).select(*cols(df.columns), (F.col("_o") + here).cast("bigint").alias(out))
+    return same_cell(data, t, [*keys, "_p"]).select(*cols(df.columns), (F.col("_o") + here).cast("bigint").alias(out))
 
 
 def value_at_rank(df: DataFrame, name: str, rank: int):
@@ -251,9 +240,8 @@ def count_descents(df: DataFrame, order: str, value: str) -> DataFrame:
                                           F.min_by("_first", by).alias("_first"), F.max_by("_last", by).alias("_last"))
 
     rows = data.select("_o", F.lit(0).alias("_n"), F.col("_v").alias("_first"), F.col("_v").alias("_last"))
-    if not is_small(df):
-        rows = rows.withColumn("_c", outer_cell(F.col("_o")))
-        spans = data.groupBy(outer_cell(F.col("_o")).alias("_c")).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-        rows = rows.join(F.broadcast(spans), "_c").withColumn("_d", inner_cell(F.col("_o"), F.col("_lo"), F.col("_hi")))
-        rows = fold(fold(rows, ["_c", "_d"], "_o"), ["_c"], "_d").withColumnRenamed("_c", "_o")
+    rows = rows.withColumn("_c", outer_cell(F.col("_o")))
+    spans = data.groupBy(outer_cell(F.col("_o")).alias("_c")).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
+    rows = rows.join(spans, "_c").withColumn("_d", inner_cell(F.col("_o"), F.col("_lo"), F.col("_hi")))
+    rows = fold(fold(rows, ["_c", "_d"], "_o"), ["_c"], "_d").withColumnRenamed("_c", "_o")
     return fold(rows, [], "_o").select(F.coalesce("_n", F.lit(0)).cast("bigint").alias("descents"))

@@ -101,10 +101,10 @@ def infinite_to_null(df: DataFrame, columns=None) -> DataFrame:
 def parse_timestamp(df: DataFrame, column: str, fmt: str | None = None) -> DataFrame:
     """Strict parse: a bad value fails the job."""
     if column not in df.columns:
-        raise ValueError(f"Missing timestamp column: {column}")
+        raise ValueError(f"there is no column {column!r} to parse as a time")
     parsed = F.to_timestamp(col(column), fmt) if fmt else F.to_timestamp(col(column))
     bad = col(column).isNotNull() & parsed.isNull()
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("Invalid timestamp: "), col(column).cast("string"))))
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("not a time: "), col(column).cast("string"))))
     return df.withColumn(column, F.coalesce(checked.cast("timestamp"), parsed.cast("timestamp")))
 
 
@@ -118,7 +118,7 @@ def parse_and_sort(df: DataFrame, column: str, tiebreak=()) -> DataFrame:
         return df
     invalid = df.filter(try_timestamp(col(column)).isNull()).count()
     if invalid:
-        raise ValueError(f"{column!r} contains {invalid} invalid timestamp value(s).")
+        raise ValueError(f"{invalid} values of {column!r} cannot be read as times")
     return df.withColumn(column, try_timestamp(col(column))).orderBy(col(column), *cols(tiebreak))
 
 

@@ -19,7 +19,7 @@ from tidegauge.functions.expr import col, cols, to_long
 from tidegauge.functions.frames import attach
 from tidegauge.functions.ordering import number_by_hash, quantiles
 from tidegauge.operators.evaluation import argmax_class, macro_auc, macro_metrics
-from tidegauge.session import cut_lineage, spread
+from tidegauge.session import cut_lineage
 
 SEED = 42
 FOLDS = 5
@@ -38,7 +38,7 @@ def preprocessing_stats(train: DataFrame, features) -> DataFrame:
 def _fitted(train: DataFrame, features) -> dict[str, tuple[float, float, float]]:
     stats = {r["feature"]: (r["median"], r["mean"], r["sd"]) for r in preprocessing_stats(train, features).collect()}
     if not features:
-        raise ValueError("At least one numeric feature is required.")
+        raise ValueError("a model needs at least one feature column of numbers")
     return {f: stats[f] for f in features}
 
 
@@ -124,7 +124,7 @@ def fit(c: Candidate, train: DataFrame, features, label: str, codes) -> Pipeline
     """Every learned number comes from `train`; its rows must carry all classes 0..k-1."""
     features = list(c.features or features)
     # Every fit reads its rows several times.
-    data = spread(train.select(*cols(features), col(label).cast("int").alias(label)).filter(col(label).isNotNull())).persist()
+    data = train.select(*cols(features), col(label).cast("int").alias(label)).filter(col(label).isNotNull()).persist()
     try:
         stages = preprocessor(data, features, c.scale)
         if c.kind != "boosting":

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
 from tidegauge.functions.frames import attach, grid, zero_fill
-from tidegauge.functions.ordering import count_descents, quantiles
+from tidegauge.functions.ordering import count_descents, quantiles, same_cell
 from tidegauge.operators.columns import try_timestamp
 from tidegauge.operators.dedup import duplicate_count
-from tidegauge.session import is_small
 
 LEVELS = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -25,18 +24,15 @@ def moments(value: Column) -> list[Column]:
 def summarize(long: DataFrame, keys, levels=LEVELS, value: str = "value", extra=()) -> DataFrame:
     """keys, n, mean, sd, min, max, one column per quantile level, plus `extra` aggregates.
 
-    Small inputs take one aggregate. Larger ones join the moments with quantiles
-    that were found by narrowing, both already down to one row per key.
+    The moments are joined with quantiles that were found by narrowing, both already
+    down to one row per key.
     """
     v = col(value)
     names = list(levels)
     pick = [F.col("q")[i].alias(n) for i, n in enumerate(names)]
-    if is_small(long):
-        q = F.percentile(v, F.array(*[F.lit(float(levels[n])) for n in names])).alias("q")
-        out = long.groupBy(*cols(keys)).agg(*moments(v), q, *extra)
-    else:
-        m = long.groupBy(*cols(keys)).agg(*moments(v), *extra)
-        out = m.join(quantiles(long, keys, value, levels.values()).drop("n"), list(keys), "left")
+    m = long.groupBy(*cols(keys)).agg(*moments(v), *extra)
+    q = quantiles(long, keys, value, levels.values()).drop("n")
+    out = same_cell(m, q, list(keys), "left") if keys else m.join(q)
     rest = [c for c in out.columns if c not in {*keys, "q", "n", "mean", "sd", "min", "max"}]
     return out.select(*cols(keys), "n", "mean", "sd", "min", "max", *pick, *cols(rest))
 

@@ -1,15 +1,13 @@
-"""Session settings, scratch folders and plan-size checks."""
+"""Session settings and scratch folders."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_BYTES_KEY = "spark.tidegauge.smallBytes"
-SMALL_BYTES_DEFAULT = 64 << 20
-
 
 def local_session(app: str = "tidegauge", cpus: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the local benchmark; a cluster brings its own."""
@@ -29,10 +27,12 @@ def local_session(app: str = "tidegauge", cpus: str = "*", partitions: int = 8)
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name under the shared folder named in spark.checkpoint.dir.
 
-    Only a session without that setting (local tests) falls back to a local folder.
+    Only a session whose driver and tasks are one process may do without that setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -49,26 +49,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; nothing is executed."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the plan is provably below the one-task bound.
-
-    Operators that have a short single-group form use it only behind this check;
-    above the bound (or when the estimate is unknown, hence huge) they take the
-    form that spreads every group over many tasks.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_BYTES_KEY, str(SMALL_BYTES_DEFAULT)))
-    return limit > 0 and plan_bytes(df) <= limit
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """A small frame dealt out to all cores; any larger one as it is.
-
-    Small tables often sit in a single file split, which would leave the
-    CPU-heavy step after it to one task.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+    """The rows dealt evenly over all cores, before a step that makes many rows of each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

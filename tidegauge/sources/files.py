@@ -91,23 +91,26 @@ def infer_types(df: DataFrame, order=("bigint", "double", "timestamp")) -> DataF
     return df.select(*out)
 
 
+#: A title and a header are looked for among so many first lines.
+HEAD_LINES = 1000
+
+
 def _titled_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    title, header = head_lines(spark, path, 2)
+    """Records below the title and the header, which are the first two non-empty lines; a record is one line."""
+    lines = numbered_lines(spark, [path]).filter(F.trim("text") != "")
+    first = numbered_lines(spark, [path]).filter((F.col("line") <= HEAD_LINES) & (F.trim("text") != "")).orderBy("line").limit(2)
+    header = max(first.collect(), key=lambda r: r["line"])
     sep = options.pop("sep", ",")
-    names = [n.strip().strip('"') for n in header.split(sep)]
+    names = [n.strip().strip('"') for n in header["text"].strip("\r").split(sep)]
     check_headers(names)
-    raw = spark.read.csv(path, schema=", ".join(f"c{i} STRING" for i in range(len(names))), header=False, sep=sep, **options)
-    first = F.trim(F.col("c0"))
-    is_title = (first == title.split(sep)[0].strip().strip('"')) & F.col(f"c{len(names) - 1}").isNull()
-    is_header = F.lit(True)
-    for i, n in enumerate(names):
-        is_header = is_header & (F.trim(F.col(f"c{i}")) == n)
-    head = (F.col("_metadata.file_block_start") == 0) & F.coalesce(is_title | is_header, F.lit(False))
-    return infer_types(raw.filter(~head).toDF(*names))
+    schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    record = F.from_csv(F.rtrim(F.lit("\r"), F.col("text")), schema, {"sep": sep, **{k: str(v) for k, v in options.items()}})
+    rows = lines.filter(F.col("line") > header["line"]).select(record.alias("r")).select("r.*")
+    return infer_types(rows.toDF(*names))
 
 
 def load_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Scan by extension: .csv (a title line above the header is skipped), .parquet or .json."""
+    """Scan by extension: .csv (a title line above the header is skipped), .parquet or .json with one object per line."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if suffix == "csv":
         if has_title_row(spark, path):
@@ -116,7 +119,7 @@ def load_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
     if suffix == "parquet":
         return spark.read.parquet(path, **options)
     if suffix == "json":
-        return spark.read.json(path, **{"multiLine": True, **options})
+        return spark.read.json(path, **options)
     raise ValueError(f"Unsupported dataset format: .{suffix}")
 
 
