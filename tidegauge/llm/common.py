@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a worker looks at together; all its temporary arrays are in proportion.
+SLICE_BYTES = 1 << 20
 
 
 def col(name: str) -> Column:

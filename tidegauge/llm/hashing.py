@@ -20,14 +20,14 @@ def _powers_of(multiplier: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse, n of each."""
     have = _powers.get(multiplier)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         made = []
         for base in (multiplier, _inverse(multiplier)):
             line = np.full(size, base, np.uint64)
             line[0] = 1
             made.append(np.cumprod(line))
         have = (made[0], made[1])
-        if size <= 1 << 23:  # a single huge text must not hold memory for good
+        if size <= 1 << 21:  # a single huge text must not hold memory for good
             _powers[multiplier] = have
     return have[0][:n], have[1][:n]
 

@@ -21,7 +21,7 @@ from tidegauge.llm.hashing import SpanHasher
 from tidegauge.llm.segmenter import words
 from tidegauge.llm.vocabulary import special_splitter
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 BUCKET_SHIFT, PARTITION_SHIFT = 56, 32
 
 
