@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker looks at together; all its temporary arrays are in proportion.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def col(name: str) -> Column:
@@ -41,6 +42,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives freed memory back, so that a reused Python worker does not hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_slices(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
     """`step` over slices of the frame's Arrow batches; it returns columns by name in the order of `schema`."""
 
@@ -50,5 +60,6 @@ def map_slices(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: st
                 out = step(piece)
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out)
+            release()
 
     return df.mapInArrow(run, schema)

@@ -159,7 +159,7 @@ def identify(df: DataFrame, learn_on: Column | None = None, lang_col: str = "lan
         if len(judged):
             codes, size = grams([every[i] for i in judged])
             ends = np.cumsum(size)
-            bits = np.add.reduceat(trees.bits(codes).astype(float), ends - size, axis=0)
+            bits = np.add.reduceat(trees.bits(codes), ends - size, axis=0, dtype=float)
             best = bits.argmin(1)
             behind = (bits - bits.min(1, keepdims=True)) * np.minimum(1, EVIDENCE_BYTES / size)[:, None]
             names[judged] = np.array(trees.languages, object)[best]

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidegauge.llm.common import slices, texts
+from tidegauge.llm.common import release, slices, texts
 from tidegauge.llm.hashing import SpanHasher
 from tidegauge.llm.segmenter import words
 from tidegauge.llm.vocabulary import special_splitter
 
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 BUCKET_SHIFT, PARTITION_SHIFT = 56, 32
 
 
@@ -119,6 +119,7 @@ def pack(df: DataFrame, path: str, largest: int = 4096, end_id: int = 2, id_col:
                 numbers = {k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in rows.items()}
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(at, pa.int64())), **numbers,
                                                   "sequence_offset": pa.array(np.zeros(len(at), np.int64))})
+            release()
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, sequence_offset bigint"

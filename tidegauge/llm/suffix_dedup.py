@@ -20,17 +20,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import col, slices, texts
+from tidegauge.llm.common import col, release, slices
 from tidegauge.llm.hashing import SpanHasher
 from tidegauge.session import cut_lineage
 
 GRAM = 32
 #: Bytes of a text that are looked at together; longer texts go piece by piece, overlapping by a window.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bits of a gram's hash that name a bucket. Buckets that share a name are only refined together.
 BUCKET_BITS = 63
 #: Kinds of spans up to which a bucket is refined in one task.
 SMALL_BUCKET = 512
+#: Anchors that a task sorts together before they leave it.
+TOGETHER = 400_000
 COVER, SPANS, WINDOWS = 2, 0, 1
 NO_ID = (1 << 63) - 1
 
@@ -102,29 +104,33 @@ def _later(*keys: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(width: int):
-    """Step 1: the anchors of each batch. Of equal spans in a batch only the earliest goes on as a bucket entry."""
+    """Step 1: the anchors. Of equal spans found together only the earliest goes on as a bucket entry."""
+
+    def settled(found) -> pa.RecordBatch:
+        doc, p0, n, bucket, span = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((p0, doc, span, bucket))
+        doc, p0, n, bucket, span = (x[order] for x in (doc, p0, n, bucket, span))
+        # A row that repeats an id is the same document, so its windows are not later ones.
+        later = _later(bucket, span) & ~_later(bucket, span, doc, p0)
+        key = np.where(later, doc & ((1 << BUCKET_BITS) - 1), bucket)
+        return _batch(kind=pa.array(np.where(later, COVER, SPANS), pa.int8()), key=key, span=np.where(later, 0, span), doc_id=doc, run=_pack(p0, n))
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            found = []
-            base = 0
+            found, held = [], 0
             for part in slices(batch):
-                raw = [t.encode() for t in part.column("text").to_pylist()]
-                for group in text_pieces(raw, width):
+                ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                for group in text_pieces([t.encode() for t in part.column("text").to_pylist()], width):
                     piece, p0, n, bucket, span = anchors([g[2] for g in group], width)
-                    row = np.array([g[0] for g in group], np.int64)[piece] + base
-                    found.append((ids[row], p0 + np.array([g[1] for g in group], np.int64)[piece], n, bucket, span))
-                base += part.num_rows
-            if not found:
-                continue
-            doc, p0, n, bucket, span = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((p0, doc, span, bucket))
-            doc, p0, n, bucket, span = (x[order] for x in (doc, p0, n, bucket, span))
-            # A row that repeats an id is the same document, so its windows are not later ones.
-            settled = _later(bucket, span) & ~_later(bucket, span, doc, p0)
-            key = np.where(settled, doc & ((1 << BUCKET_BITS) - 1), bucket)
-            yield _batch(kind=pa.array(np.where(settled, COVER, SPANS), pa.int8()), key=key, span=np.where(settled, 0, span), doc_id=doc, run=_pack(p0, n))
+                    row, offset = (np.array([g[i] for g in group], np.int64)[piece] for i in (0, 1))
+                    found.append((ids[row], p0 + offset, n, bucket, span))
+                    held += len(piece)
+                if held >= TOGETHER:
+                    yield settled(found)
+                    found, held = [], 0
+            if found:
+                yield settled(found)
+            release()
 
     return run
 
@@ -202,6 +208,7 @@ def _refine_rows(width: int):
                 settled = _later(key, check) & ~_later(key, check, doc, p)
                 yield _batch(kind=pa.array(np.where(settled, COVER, WINDOWS), pa.int8()), key=np.where(settled, doc, key), check=np.where(settled, 0, check),
                              doc_id=doc, run=_pack(p, np.ones(len(p), np.int64)), data=pa.nulls(len(p), pa.binary()))
+            release()
 
     return run
 
@@ -256,6 +263,7 @@ def _settle_windows(width: int):
                     held = [*(x[edge:] for x in spans[:3]), spans[3].slice(edge)]
                 if edge:
                     yield small_buckets(*(x[:edge] for x in spans[:3]), spans[3].slice(0, edge))
+            release()
         if held is not None:
             yield small_buckets(*held)
 
@@ -296,6 +304,7 @@ def _cut(width: int, kept_fields: list[str], whole_characters: bool):
                 kept.append(line[~gone].tobytes())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
             yield _batch(**{c: batch.column(c) for c in ("doc_id", *kept_fields)}, n_bytes=pa.array(sizes, pa.int64()), spans=pa.array(spans, kind), kept=pa.array(kept, pa.binary()))
+            release()
 
     return run
 
