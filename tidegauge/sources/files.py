@@ -104,7 +104,7 @@ def _titled_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     names = [n.strip().strip('"') for n in header["text"].strip("\r").split(sep)]
     check_headers(names)
     schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
-    record = F.from_csv(F.rtrim(F.lit("\r"), F.col("text")), schema, {"sep": sep, **{k: str(v) for k, v in options.items()}})
+    record = F.from_csv(F.rtrim(F.col("text"), F.lit("\r")), schema, {"sep": sep, **{k: str(v) for k, v in options.items()}})
     rows = lines.filter(F.col("line") > header["line"]).select(record.alias("r")).select("r.*")
     return infer_types(rows.toDF(*names))
 
