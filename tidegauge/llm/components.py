@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is linked to the smallest one around that node."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # one row for each edge
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,15 +22,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return inner.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every upper end has one edge and is no lower end, so that no round would change anything."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    open_ = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)")
+    return open_.agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node) of every node in the edges (a, b). Loops and repeated edges do no harm."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, seen = cut_lineage(edges), None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    edges = cut_lineage(edges)
+    while not _is_stars(edges):
         edges = cut_lineage(_small_star(_large_star(edges)))
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -239,7 +239,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     mixed = cut_lineage(placed.join(mixed.select("band", "centre"), "band").select("rep", "n_shingles", "component", "centre").distinct())
     more = cut_lineage(links_within_families(mixed, packed, shingle, percent))
     if not more.isEmpty():
-        found = cut_lineage(connected_components(links.unionByName(more)))
+        # The components found so far are stars already; only what the new links touch changes.
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = cut_lineage(connected_components(stars.unionByName(more)))
 
     ids = members.select("doc_id", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left")
     ids = ids.select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
