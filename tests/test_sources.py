@@ -246,3 +246,10 @@ def test_landing_stream_is_incremental(spark, tmp_path):
     assert run() == (1, 1)
     write(folder, "two.csv", "a,b\n0.5,0.2\n0.6,0.1\n")
     assert run() == (3, 1)
+    write(folder, "three.csv", "b,note,a\r\n0.2,x,0.9\r\n0.2,x,0.9,7\r\n\r\n")
+    write(folder, "four.csv", "a,c\n0.2,0.3\n")
+    assert run() == (4, 3)
+    got = spark.read.parquet(str(tmp_path / "out")).filter("source_file = 'three.csv'").first()
+    assert (got["a"], got["b"]) == (0.9, 0.2)
+    bad = spark.read.parquet(str(tmp_path / "bad")).selectExpr("source_file", "inline(problems)")
+    assert {(r["source_file"], r["kind"]) for r in bad.collect()} == {("one.csv", "nonnumeric"), ("three.csv", "width"), ("four.csv", "missing_column")}

@@ -109,6 +109,16 @@ def as_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"Order column {name!r} must be numeric, date or timestamp, not {dtype}")
 
 
+def order_pair(df: DataFrame, name: str, value) -> tuple[Column, Column]:
+    """The column and a literal of its own type for a number found by as_number, so that comparisons reach the scan."""
+    dtype = dict(df.dtypes)[name]
+    if dtype in ("timestamp", "timestamp_ntz"):
+        return col(name), F.timestamp_micros(F.lit(value).cast("bigint")).cast(dtype)
+    if dtype == "date":
+        return col(name), F.date_from_unix_date(F.lit(value).cast("int"))
+    return as_number(df, name), F.lit(value)
+
+
 def to_long(df: DataFrame, features, keep=(), value: str = "value") -> DataFrame:
     """One row per (row, feature); only the named columns survive, so scans stay pruned."""
     wide = df.select(*cols(keep), *[col(f).cast("double").alias(f) for f in features])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.functions.expr import as_number, col, cols
+from tidegauge.functions.expr import as_number, col, cols, order_pair
 from tidegauge.session import cut_lineage
 
 CELLS_PER_OCTAVE = 8
@@ -202,24 +202,26 @@ def row_at_rank(df: DataFrame, order_by, rank: int) -> list[tuple[str, object]]:
     """
     current, marks = df, []
     for name in order_by:
-        number = as_number(df, name)
         value = value_at_rank(current, name, rank)
-        earlier = current.filter(number < F.lit(value)).count()
+        key, at = order_pair(df, name, value)
+        earlier = current.filter(key < at).count()
         marks.append((name, value))
         rank -= earlier
         if rank == 0:
             return marks
-        current = current.filter(number == F.lit(value))
+        current = current.filter(key == at)
     raise ValueError(f"{list(order_by)} does not identify rows uniquely at the cut; add a tie-break column")
 
 
 def at_or_after(df: DataFrame, marks) -> Column:
     """Lexicographic predicate: the row is at or after the marked position."""
     *head, (last, value) = marks
-    test = as_number(df, last) >= F.lit(value)
+    key, at = order_pair(df, last, value)
+    test = key >= at
     for name, v in reversed(head):
-        number = as_number(df, name)
-        test = (number > F.lit(v)) | ((number == F.lit(v)) & test)
+        key, at = order_pair(df, name, v)
+        # The wider test comes first and reaches the scan.
+        test = (key >= at) & ((key > at) | test)
     return test
 
 

@@ -273,7 +273,8 @@ def assess(df: DataFrame, model, features, obs: str, names: dict, version: str,
     keep = [obs] + ([target] if mode == "evaluate" else [])
     scored = R.score_batch(typed, model, features, names, keep, strict=False)
     records = R.prediction_records(scored, names, version)
-    report["predictions"] = G.first_rows(records, obs)
+    report["predictions"] = records
+    report["first_predictions"] = G.first_rows(records, obs)
     report["summary"] = R.batch_summary(records, names)
     report["classes"] = G.class_share(records, "code", codes)
     if mode == "evaluate":
