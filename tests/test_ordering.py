@@ -112,6 +112,21 @@ def test_split_rejects_bad_requests(frame):
 def test_order_columns_must_be_orderable_numbers(frame):
     with pytest.raises(TypeError):
         S.chronological_split(frame([("a",), ("b",), ("c",)], "t string"), ["t"], 0.5)
+    with pytest.raises(ValueError, match="1 of 3 rows"):
+        S.chronological_split(frame([(1,), (None,), (3,)], "t int"), ["t"], 0.5)
+
+
+def test_split_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.sql("SELECT id, timestamp_seconds(id DIV 3) AS t, cast(timestamp_seconds(id DIV 3) AS timestamp_ntz) AS n FROM range(100)").write.parquet(path)
+    rows = spark.read.parquet(path)
+    for time in ("t", "n"):
+        data, train, test = S.chronological_parts(rows, [time, "id"])
+        assert {r["part"]: r["count"] for r in data.groupBy("part").count().collect()} == {"train": 80, "test": 20}
+        for part, want in ((train, range(80)), (test, range(80, 100))):
+            assert sorted(r["id"] for r in part.collect()) == list(want)
+            plan = part._jdf.queryExecution().executedPlan().toString()
+            assert f"ThanOrEqual({time}," in plan or f"LessThan({time}," in plan
 
 
 @pytest.mark.parametrize("values,want", [([1, 2, 3, 3, 5], 0), ([5, 4, 3], 2), ([1, 3, 2, 4, 1], 2), ([7], 0)])

@@ -88,18 +88,17 @@ def dashboard(df: DataFrame, features, obs: str, label: str | None = None, codes
     return out
 
 
-def _series(df: DataFrame, timestamp: str, target: str, codes, order: str, test_size: float) -> DataFrame:
+def _series(df: DataFrame, timestamp: str, target: str, codes, order: str, test_size: float) -> tuple[DataFrame, DataFrame]:
     data = df if dict(df.dtypes)[timestamp] in ("timestamp", "timestamp_ntz") else P.parse_timestamp(df, timestamp)
     C.require(C.target_classes(data, target, codes))
     C.require(C.valid_timestamps(data, timestamp, order))
-    return S.chronological_split(data, timestamp, test_size)
+    return S.chronological_parts(data, timestamp, test_size)[:2]
 
 
 def binary_signal(df: DataFrame, features, target: str, timestamp: str, test_size: float = 0.2, lags=T.LAGS,
                   min_cell: int = B.MIN_CELL, min_month: int = T.COMPLETE_MONTH_ROWS) -> dict[str, DataFrame]:
     """Associations of a binary target: features and bins from the earlier part, the later part only to compare."""
-    data = _series(df, timestamp, target, [0, 1], timestamp, test_size)
-    train = data.filter("part = 'train'")
+    data, train = _series(df, timestamp, target, [0, 1], timestamp, test_size)
     ten, five = B.fit_edges(train, features, 10), B.fit_edges(train, features, 5)
     groups = A.two_group_summary(train, features, target)
     rates = B.binned_rates(data, ten, target, "part")
@@ -121,8 +120,7 @@ def class_signal(df: DataFrame, features, label: str, names: dict, timestamp: st
                  min_cell: int = B.MIN_CELL, min_month: int = T.COMPLETE_MONTH_ROWS) -> dict[str, DataFrame]:
     """Associations of a class target, with the same split discipline."""
     codes = list(names)
-    data = _series(df, timestamp, label, codes, timestamp, test_size)
-    train = data.filter("part = 'train'")
+    data, train = _series(df, timestamp, label, codes, timestamp, test_size)
     ten, five = B.fit_edges(train, features, 10), B.fit_edges(train, features, 5)
     summary = G.eta_squared(train, features, label, undefined_zero=True)
     summary = summary.join(A.auc_summary(A.one_vs_rest_auc(train, features, label, codes)), "feature")
