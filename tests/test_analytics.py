@@ -55,6 +55,18 @@ def test_stratified_sample_is_bounded_and_repeatable(spark):
     assert len(first) == 1000 and first == sorted(r["id"] for r in G.stratified_sample(df.repartition(5), "c", "id", 4).collect())
 
 
+def test_stratified_sample_ranks_few_rows_of_a_hot_class(spark):
+    hot = spark.range(200_000).select("id", F.when(F.col("id") % 50 != 0, 1).when(F.col("id") % 100 == 0, 2).alias("_class"))
+    df = hot.unionByName(spark.createDataFrame([(None, 1), (200_001, 3)], "id bigint, _class int"))
+    got = G.stratified_sample(df, "_class", "id", 4, limit=12_000)
+    by_class = {r["_class"]: r["count"] for r in got.groupBy("_class").count().collect()}
+    assert by_class == {1: 3000, 2: 2000, None: 2000, 3: 1} and got.columns == ["id", "_class"]
+    want = df.filter("_class = 1").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit("42")).cast("binary")), "id").limit(3000)
+    kept = {r["id"] for r in got.filter("_class = 1").collect()}
+    assert kept == {r["id"] for r in want.collect()} and None in kept
+    assert G.stratified_sample(df.limit(0), "_class", "id", 4).count() == 0
+
+
 def test_joint_bins_sum_to_class_counts(spark):
     df = spark.range(500).select((F.rand(1)).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("d"), (F.col("id") % 3).cast("int").alias("c"))
     t = G.joint_bins(df, ["a", "b", "d"], "c").groupBy("feature_a", "feature_b", "class").agg(F.sum("n").alias("n")).collect()

@@ -22,6 +22,8 @@ REVIEW_DISTANCE = 0.25
 REVIEW_ROWS = 30
 SAMPLE_ROWS = 1000
 JOINT_BINS = 20
+#: Hash digits of a sampling cell: about a millionth of a class.
+CELL_DIGITS = 5
 
 
 def _grouped(df: DataFrame, features, label: str | None) -> tuple[DataFrame, list[str]]:
@@ -122,13 +124,21 @@ def correlation_matrix(df: DataFrame, features, label: str | None = None, min_pa
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, n_classes: int, limit: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """At most max(1, limit // n_classes) rows of each class, the same ones every time.
+    """At most max(1, limit // n_classes) rows of each class, the same ones every time. A null class is a class of its own.
 
-    The rank filter is applied inside each input partition before the shuffle.
+    Rows are counted by class and leading hash digits first. Only cells that reach into the sample go on to the ranking, so no class
+    is ranked whole at any limit. Rows that share a key share a cell: `key` should be unique or nearly so.
     """
     budget = max(1, limit // n_classes)
-    w = W.partitionBy(col(label)).orderBy(X.hash_order(col(key), seed), col(key))
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= budget).drop("_r")
+    rank_key = X.hash_order(col(key), seed)
+    cell = F.coalesce(F.substring(rank_key, 1, CELL_DIGITS), F.lit(""))  # a null key comes first, as in the ranking
+    cells = df.groupBy(col(label).alias("_sampled"), cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(W.partitionBy("_sampled").orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow))
+    reached = cells.withColumn("_before", so_far - F.col("_n")).filter(F.col("_before") < budget)
+    last = reached.groupBy("_sampled").agg(F.max("_cell").alias("_last_cell"))
+    rows = df.join(last, col(label).eqNullSafe(F.col("_sampled"))).filter(cell <= F.col("_last_cell")).drop("_sampled", "_last_cell")
+    w = W.partitionBy(col(label)).orderBy(rank_key, col(key))
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= budget).drop("_r")
 
 
 def joint_bins(df: DataFrame, features, label: str, bins: int = JOINT_BINS) -> DataFrame:
