@@ -44,6 +44,26 @@ def test_title_row(spark, tmp_path):
     assert sorted((r["a"], r["b"]) for r in df.collect()) == [(1, 2.5), (3, None)]
 
 
+def test_titled_csv_of_several_files(spark, tmp_path):
+    (tmp_path / "d.csv").mkdir()
+    write(tmp_path / "d.csv", "1.csv", "Sensors\r\na,b\r\n1,2\r\n3,4\r\n")
+    write(tmp_path / "d.csv", "2.csv", "\n\nSensors, north\n\na,b\n5,6\nSensors,7\n")
+    write(tmp_path / "d.csv", "3.csv", "Sensors\n")
+    got = A._titled_csv(spark, str(tmp_path / "d.csv"))
+    assert sorted(tuple(r) for r in got.collect()) == [("1", 2), ("3", 4), ("5", 6), ("Sensors", 7)]
+    write(tmp_path / "d.csv", "4.csv", "\n" * A.HEAD_LINES + "Sensors\na,b\n8,9\n")
+    with pytest.raises(Exception, match="no header among the first"):
+        A._titled_csv(spark, str(tmp_path / "d.csv")).collect()
+
+
+def test_titled_csv_with_two_headers_is_rejected(spark, tmp_path):
+    (tmp_path / "d.csv").mkdir()
+    write(tmp_path / "d.csv", "1.csv", "Sensors\na,b\n1,2\n")
+    write(tmp_path / "d.csv", "2.csv", "Sensors\nb,a\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        A._titled_csv(spark, str(tmp_path / "d.csv"))
+
+
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
 def test_sniff(spark, tmp_path, sep):
     path = write(tmp_path, "d.csv", "\n".join(sep.join(r) for r in (["a", "b", "c"], ["1", "2", "3"], ["4", "5", "6"])))

@@ -24,11 +24,10 @@ def csv_copy(t, df, purpose, title=None, **options):
     if title is None:
         df.write.csv(path, header=True, **options)
     else:
-        line = F.concat_ws(",", *df.columns)
-        body = df.select(line.alias("value"))
-        top = t.spark.range(1).select(F.explode(F.array(F.lit(title), F.lit(",".join(df.columns)))).alias("value"))
-        # One output file so that the title is the first line; this only prepares the query's input.
-        top.unionAll(body).coalesce(1).write.text(path)
+        body = df.select(F.spark_partition_id().alias("piece"), F.lit(1).alias("o"), F.concat_ws(",", *df.columns).alias("value"))
+        top = F.array(F.struct(F.lit(-1).alias("o"), F.lit(title).alias("value")), F.struct(F.lit(0).alias("o"), F.lit(",".join(df.columns)).alias("value")))
+        heads = body.select("piece").distinct().select("piece", F.inline(top))
+        body.unionAll(heads).repartition("piece").sortWithinPartitions("piece", "o").select("piece", "value").write.partitionBy("piece").text(path)
     return path
 
 

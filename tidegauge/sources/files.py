@@ -96,16 +96,29 @@ HEAD_LINES = 1000
 
 
 def _titled_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Records below the title and the header, which are the first two non-empty lines; a record is one line."""
+    """Records below the title and the header, the first two non-empty lines of every file; a record is one line.
+
+    All files have the same header, among their first HEAD_LINES lines. A file with fewer than two non-empty lines has no records.
+    """
     lines = numbered_lines(spark, [path]).filter(F.trim("text") != "")
-    first = numbered_lines(spark, [path]).filter((F.col("line") <= HEAD_LINES) & (F.trim("text") != "")).orderBy("line").limit(2)
-    header = max(first.collect(), key=lambda r: r["line"])
+    place = F.row_number().over(W.partitionBy("file").orderBy("line"))
+    heads = numbered_lines(spark, [path]).filter((F.col("line") <= HEAD_LINES) & (F.trim("text") != "")).withColumn("_place", place)
+    heads = heads.filter("_place = 2").select("file", F.col("line").alias("head_line"), F.rtrim(F.col("text"), F.lit("\r")).alias("header"))
+    header = heads.agg(F.min("header").alias("first"), F.max("header").alias("last")).first()
+    if header["first"] is None:
+        raise ValueError(f"There is no header among the first {HEAD_LINES} lines of {path}")
+    if header["first"] != header["last"]:
+        raise ValueError(f"Files of one dataset have different headers: {header['first']!r} and {header['last']!r}")
     sep = options.pop("sep", ",")
-    names = [n.strip().strip('"') for n in header["text"].strip("\r").split(sep)]
+    names = [n.strip().strip('"') for n in header["first"].split(sep)]
     check_headers(names)
     schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
     record = F.from_csv(F.rtrim(F.col("text"), F.lit("\r")), schema, {"sep": sep, **{k: str(v) for k, v in options.items()}})
-    rows = lines.filter(F.col("line") > header["line"]).select(record.alias("r")).select("r.*")
+    # One row per file, fewer than the file blocks that number the lines.
+    placed = lines.join(F.broadcast(heads.select("file", "head_line")), "file", "left")
+    no_header = F.raise_error(F.concat(F.lit(f"There is no header among the first {HEAD_LINES} lines of "), F.col("file"))).cast("boolean")
+    below = F.when(F.col("head_line").isNotNull(), F.col("line") > F.col("head_line")).when(F.col("line") > HEAD_LINES, no_header).otherwise(False)
+    rows = placed.filter(below).select(record.alias("r")).select("r.*")
     return infer_types(rows.toDF(*names))
 
 
