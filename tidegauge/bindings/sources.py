@@ -82,11 +82,12 @@ def _(t):
 
 
 def text_files(t, df, key, header, line):
-    """One CSV file per key value, header first; returns the folder glob."""
+    """CSV files of each key value, header first, one for each input partition; returns the folder."""
     folder = scratch_dir(t.spark, "landing")
-    rows = df.select(key.alias("source"), F.lit(1).alias("o"), line.alias("value"))
-    heads = rows.select("source").distinct().select("source", F.lit(0).alias("o"), F.lit(header).alias("value"))
-    rows.unionAll(heads).repartition("source").sortWithinPartitions("source", "o").select("source", "value").write.partitionBy("source").text(folder)
+    rows = df.select(key.alias("source"), F.spark_partition_id().alias("piece"), F.lit(1).alias("o"), line.alias("value"))
+    place = ["source", "piece"]
+    heads = rows.select(*place).distinct().select(*place, F.lit(0).alias("o"), F.lit(header).alias("value"))
+    rows.unionAll(heads).repartition(*place).sortWithinPartitions(*place, "o").select(*place, "value").write.partitionBy(*place).text(folder)
     return folder
 
 
@@ -122,8 +123,8 @@ def _(t):
     sep = F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("source"))
     line = F.concat(F.col("p_partkey").cast("string"), sep, F.col("p_size").cast("string"), sep, F.col("p_retailprice").cast("string"))
     folder = scratch_dir(t.spark, "sniff")
-    df.select("source", line.alias("value")).repartition("source").write.partitionBy("source").text(folder)
-    return A.sniff_delimiters(t.spark, folder).select("delimiter", source_name().alias("source"))
+    df.select("source", line.alias("value")).write.partitionBy("source").text(folder)
+    return A.sniff_delimiters(t.spark, folder).select("delimiter", source_name().alias("source")).distinct()
 
 
 @query("a10_chosen_table", "SELECT n_regionkey, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
