@@ -111,9 +111,9 @@ def _(t):
 
 SPLIT = "obs % 10 < 7"
 TRAIN_HIST = hist_sql("obs % 10 < 7")
-TEST_HIST = hist_sql("obs % 10 >= 7 AND cls < 2")
+TEST_HIST = hist_sql("obs % 10 >= 7")
 DRIFT_SQL = f"""WITH {WIDE_LONG}, a AS (SELECT feature, min(value) AS training_min, max(value) AS training_max, median(value) AS training_median FROM long WHERE obs % 10 < 7 GROUP BY feature),
-  o AS (SELECT * FROM long WHERE obs % 10 >= 7 AND cls < 2),
+  o AS (SELECT * FROM long WHERE obs % 10 >= 7),
   b AS (SELECT feature, min(value) AS observed_min, max(value) AS observed_max, median(value) AS observed_median, count(value) AS finite_rows FROM o GROUP BY feature),
   c AS (SELECT o.feature, count(*) FILTER (value < training_min - 1e-12 OR value > training_max + 1e-12) AS outside_training_range FROM o JOIN a USING (feature) GROUP BY o.feature),
   h AS (SELECT x.feature, sum(abs(x.n / tx.n - y.n / ty.n)) / 2 AS total_variation FROM ({TRAIN_HIST}) x JOIN ({TEST_HIST}) y USING (feature, bin)
@@ -130,7 +130,7 @@ def snapshot(t):
 
 
 def observed(t):
-    return wide(t).filter("obs % 10 >= 7 AND cls < 2")
+    return wide(t).filter("obs % 10 >= 7")
 
 
 @query("f7_training_comparison", DRIFT_SQL, DRIFT_DOUBLES)
@@ -189,7 +189,7 @@ def _(t):
 
 
 @query("f15_quality_warnings", f"""WITH {WIDE_LONG}, q AS (SELECT feature, count(*) FILTER (value IS NULL) AS excluded, count(*) FILTER (value < -1e-12 OR value > 1 + 1e-12) AS outside
-    FROM long WHERE obs % 10 >= 7 AND cls < 2 GROUP BY feature), d AS ({DRIFT_SQL})
+    FROM long WHERE obs % 10 >= 7 GROUP BY feature), d AS ({DRIFT_SQL})
   SELECT feature, feature || ': ' || excluded || ' cells unavailable for charts.' AS warning FROM q WHERE excluded > 0
   UNION ALL SELECT feature, feature || ': ' || outside || ' values outside [0,1].' FROM q WHERE outside > 0
   UNION ALL SELECT feature, feature || ': ' || outside_training_range || ' outside the training range.' FROM d WHERE outside_training_range > 0
