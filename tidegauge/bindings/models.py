@@ -70,7 +70,7 @@ def metrics_of(t, c):
     return I.evaluate(scored, "cls", "yhat", "p", SENSOR_CLASSES)
 
 
-LOGISTIC = M.Candidate("logistic_regression", "logistic", scale=True, settings={"maxIter": 50})
+LOGISTIC = M.Candidate("logistic_regression", "logistic", scale=True, settings={"maxIter": 2000})
 FOREST = M.Candidate("random_forest", "forest", settings={"numTrees": 10, "maxDepth": 6})
 BOOSTING = M.Candidate("gradient_boosting", "boosting", balanced=False, settings={"maxIter": 3, "maxDepth": 3, "stepSize": 0.1})
 
@@ -98,7 +98,7 @@ def _(t):
 
 @query("m09_univariate_trees")
 def _(t):
-    return M.univariate_tree_scores(sensors(t), SENSORS[:2], "cls", "obs", SENSOR_CLASSES, folds=3)
+    return M.univariate_tree_scores(sensors(t), SENSORS, "cls", "obs", SENSOR_CLASSES, folds=5)
 
 
 @query("m10_stratified_folds", """SELECT event_id, event_type, CAST((row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR) || '42'), event_id) - 1) % 5 AS INTEGER) AS fold FROM events""")
@@ -108,7 +108,7 @@ def _(t):
 
 @query("m11_cross_validation")
 def _(t):
-    return M.cv_summary(M.cross_validate(sensors(t), [LOGISTIC, FOREST], SENSORS, "cls", "obs", SENSOR_CLASSES, folds=3))
+    return M.cv_summary(M.cross_validate(sensors(t), [LOGISTIC, FOREST], SENSORS, "cls", "obs", SENSOR_CLASSES, folds=5))
 
 
 @query("m12_select_candidate", f"""SELECT event_type AS candidate, avg(value) AS score FROM events GROUP BY 1 ORDER BY avg(value) DESC LIMIT 1""", "score")
@@ -146,7 +146,7 @@ def _(t):
 
 @query("m16_binary_baseline")
 def _(t):
-    return W.baseline(lines(t), FEATURES, "y", LINE_KEY, max_iter=50)
+    return W.baseline(lines(t), FEATURES, "y", LINE_KEY, max_iter=1000)
 
 
 @query("m17_notebook_baseline")

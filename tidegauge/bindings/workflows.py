@@ -96,4 +96,4 @@ def _(t):
 @query("g29_training_signal")
 def _(t):
     df = split_sensors(t).filter("part = 'train'").drop("part")
-    return W.training_signal(df, SENSORS[:2], "cls", "obs", SENSOR_CLASSES, folds=3)["associations"]
+    return W.training_signal(df, SENSORS, "cls", "obs", SENSOR_CLASSES, folds=5)["associations"]
