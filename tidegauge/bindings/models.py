@@ -136,7 +136,7 @@ def _(t):
 
 @query("m14_permutation_importance")
 def _(t):
-    return W.explain(sensors(t), FOREST, SENSORS, "cls", "obs", SENSOR_CLASSES, repeats=3)["permutation"]
+    return W.explain(sensors(t), FOREST, SENSORS, "cls", "obs", SENSOR_CLASSES, repeats=10)["permutation"]
 
 
 @query("m15_impurity_importance")
@@ -209,7 +209,7 @@ def _(t):
 @query("m22_experiment")
 def _(t):
     out = scratch_dir(t.spark, "experiment")
-    return W.experiment(split_files(t), SENSORS, "cls", FAULT_NAMES, out, t.spark, [LOGISTIC, FOREST, BOOSTING], repeats=2, folds=2)["results"]
+    return W.experiment(split_files(t), SENSORS, "cls", FAULT_NAMES, out, t.spark, [LOGISTIC, FOREST, BOOSTING], repeats=10, folds=5)["results"]
 
 
 @query("b6_saved_model")
