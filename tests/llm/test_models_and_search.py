@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegauge.llm import queries
+from tidegauge.llm import language_id, queries
 from tidegauge.llm.language_id import context_trees, grams, identify
 from tidegauge.llm.quality import STATISTICS, score_quality, text_statistics, tree_paths
 from tidegauge.llm.topk import top_k
@@ -37,6 +38,35 @@ def test_code_lengths_by_hand():
     assert size.tolist() == [2, 2, 2] and bits == pytest.approx([-np.log2(3 / 4), -np.log2(2 / 5)])
 
 
+@pytest.mark.parametrize("short", [True, False])
+def test_languages_of_long_texts_alone_are_learned(spark, short):
+    rnd = random.Random(5)
+
+    def text(letters, n):
+        return " ".join("".join(rnd.choices(letters, k=5)) for _ in range(n))
+
+    rows = [(i, text("abcdefg", 5000), "aa") for i in range(3)] + [(10 + i, text("uvwxyz", 40 if short else 5000), "uu") for i in range(3)]
+    rows += [(20, text("abcdefg", 30), None), (21, text("uvwxyz", 30), None)]
+    found = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found == {i: "aa" if i < 10 or i == 20 else "uu" for i in found}
+
+
+def test_counts_of_a_text_in_pieces(monkeypatch):
+    text = "".join(random.Random(6).choices("abcdé", k=1000))
+    monkeypatch.setattr(language_id, "SLICE_BYTES", 64)
+    monkeypatch.setattr(language_id, "TOGETHER", 300)
+    batch = pa.RecordBatch.from_pydict({"text": [text, "", "ab"], "language": pa.array([0, 0, 1], pa.int32())})
+    got = {}
+    for out in language_id.gram_counts([batch.slice(0, 1), batch.slice(1)]):
+        for r in out.to_pylist():
+            got[r["language"], r["code"]] = got.get((r["language"], r["code"]), 0) + r["n"]
+    want = {}
+    for i, t in ((0, text), (1, "ab")):
+        for c in grams([t])[0][-1].tolist():
+            want[i, c] = want.get((i, c), 0) + 1
+    assert got == want
+
+
 @pytest.mark.parametrize("name, label, least", [("op1_quality", "quality", 0.9), ("op3_toxicity", "toxic", 0.9)])
 def test_accuracy_on_held_out_labels(spark, name, label, least):
     found = queries.QUERIES[name](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out")

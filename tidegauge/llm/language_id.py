@@ -16,13 +16,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import col, map_slices, texts
+from tidegauge.llm.common import SLICE_BYTES, col, map_slices, release, slices, texts
 from tidegauge.llm.hashing import IntTable
 
 ORDER = 3
 UNKNOWN = "und"
 #: Bits of evidence per byte count for as many bytes at most, so that a score below 1 keeps its meaning on long texts.
 EVIDENCE_BYTES = 64
+#: Different grams that a task counts together before they leave it.
+TOGETHER = 1 << 20
 _letter = regex.compile(r"\p{L}")
 
 
@@ -31,7 +33,11 @@ def grams(batch: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
     Texts are in lower case; zero bytes stand before the first one.
     """
-    raw = [t.lower().encode() for t in batch]
+    return byte_grams([t.lower().encode() for t in batch])
+
+
+def byte_grams(raw: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """grams() of bytes."""
     size = np.array([len(r) for r in raw], np.int64)
     line = np.frombuffer(b"".join(bytes(ORDER) + r for r in raw), np.uint8).astype(np.int64)
     starts = np.cumsum(size + ORDER) - size
@@ -103,12 +109,47 @@ def context_trees(languages: list[str], rows: list[tuple[np.ndarray, np.ndarray,
     return trees
 
 
-def learn(df: DataFrame, lang_col: str, condition: Column, sample_rows: int, sample_bytes: int, id_col: str, text_col: str) -> ContextTrees | None:
-    """Context trees from a bounded sample: about `sample_rows` texts per language, of up to `sample_bytes` bytes each.
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    key, at = np.unique(key, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, at, n)
+    return key, total
+
+
+def gram_counts(batches):
+    """Counts of the (ORDER+1)-grams of whole texts by language. A task sums up what it meets; long texts go piece by piece."""
+    keys, counts, held = [], [], 0
+    for batch in batches:
+        for part in slices(batch):
+            raw = [t.lower().encode() for t in part.column("text").to_pylist()]
+            language = part.column("language").to_numpy(zero_copy_only=False).astype(np.int64)
+            step = SLICE_BYTES if len(raw) == 1 else max(map(len, raw)) + 1  # a slice of several texts is short
+            for offset in range(0, max(map(len, raw)), step):
+                before = min(offset, ORDER)  # bytes that are only context here
+                codes, size = byte_grams([r[offset - before : offset + step] for r in raw])
+                key, n = np.unique((codes[ORDER] | np.repeat(language, size) << 32)[before:], return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > TOGETHER:
+                    key, n = summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held = [key], [n], len(key)
+                    if held > TOGETHER // 2:
+                        yield pa.RecordBatch.from_pydict({"code": key & 0xFFFFFFFF, "language": pa.array(key >> 32, pa.int32()), "n": n})
+                        keys, counts, held = [], [], 0
+        release()
+    if held:
+        key, n = summed(np.concatenate(keys), np.concatenate(counts))
+        yield pa.RecordBatch.from_pydict({"code": key & 0xFFFFFFFF, "language": pa.array(key >> 32, pa.int32()), "n": n})
+
+
+def learn(df: DataFrame, lang_col: str, condition: Column, sample_rows: int, id_col: str, text_col: str) -> ContextTrees | None:
+    """Context trees from about `sample_rows` whole texts per language, whatever their length.
 
     The sample is chosen by a hash of text and id, so every run and every retry takes the same rows.
     """
-    known = df.filter(condition & col(lang_col).isNotNull() & col(text_col).isNotNull() & (F.octet_length(col(text_col)) <= sample_bytes))
+    known = df.filter(condition & col(lang_col).isNotNull() & col(text_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy(col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
@@ -118,34 +159,23 @@ def learn(df: DataFrame, lang_col: str, condition: Column, sample_rows: int, sam
     lang = col(lang_col).cast("string")
     place = F.pmod(F.xxhash64(col(id_col).cast("string"), col(text_col)), F.lit(1 << 30)) / (1 << 30)
     sample = texts(known.filter(place < share[lang]), id_col, text_col, number[lang].alias("language"))
-
-    def count(batch: pa.RecordBatch) -> dict | None:
-        codes, size = grams(batch.column("text").to_pylist())
-        language = np.repeat(batch.column("language").to_numpy(zero_copy_only=False), size).astype(np.int64)
-        found = []
-        for k, code in enumerate(codes):
-            key, n = np.unique(code | language << 40, return_counts=True)
-            found.append((np.full(len(key), k), key & ((1 << 40) - 1), key >> 40, n))
-        order, code, language, n = (np.concatenate(x) for x in zip(*found))
-        return {"k": pa.array(order, pa.int32()), "code": code, "language": pa.array(language, pa.int32()), "n": n}
-
-    counted = map_slices(sample, count, "k int, code bigint, language int, n bigint").groupBy("k", "code", "language").agg(F.sum("n").alias("n"))
-    # At most sample_rows * sample_bytes entries per language and order, whatever the table holds.
+    counted = sample.mapInArrow(gram_counts, "code bigint, language int, n bigint").groupBy("code", "language").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
-    rows = [got[got.k == k] for k in range(ORDER + 1)]
-    return context_trees(languages, [(r.code.to_numpy(), r.language.to_numpy(), r.n.to_numpy()) for r in rows])
+    code, language, n = (got[c].to_numpy() for c in ("code", "language", "n"))
+    # The last bytes of the longest grams are the shorter ones.
+    return context_trees(languages, [(code & ((1 << 8 * (k + 1)) - 1), language, n) for k in range(ORDER + 1)])
 
 
 def identify(df: DataFrame, learn_on: Column | None = None, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
-             sample_rows: int = 2000, sample_bytes: int = 20000, keep: tuple[str, ...] = ()) -> DataFrame:
+             sample_rows: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score for every whole text, and the columns `keep` of the frame.
 
-    Languages are learned from the rows where `learn_on` holds (all, if None) and text and language are not null. Null texts and texts
+    Languages are learned from whole texts of the rows where `learn_on` holds (all, if None) and text and language are not null. Null texts and texts
     without a letter are `und` with score 0, as is every text when nothing was learned. Equal code lengths go to the first language
     in alphabetical order. The score is the share of the best language when each code counts for at most 64 bytes. Repeated rows are
     judged each on its own.
     """
-    trees = learn(df, lang_col, F.lit(True) if learn_on is None else learn_on, sample_rows, sample_bytes, id_col, text_col)
+    trees = learn(df, lang_col, F.lit(True) if learn_on is None else learn_on, sample_rows, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
     types = {f"_k{i}": df.schema[n].dataType.simpleString() for i, n in enumerate(keep)}
     rows = texts(df, id_col, text_col, *[col(n).alias(f"_k{i}") for i, n in enumerate(keep)])
