@@ -126,3 +126,47 @@ def test_substrings_in_whole_characters_and_odd_tables(spark):
     same = spark.createDataFrame([(1, text), (1, text)], DOCS)
     assert len({bytes(r.kept) for r in repeated_substrings(same, 99).collect()}) == 1
     assert repeated_substrings(df.limit(0), 100).count() == 0
+
+
+def cut_rows(rows, width):
+    """What is kept of (id, text) rows, where rows of one id, null included, are one document."""
+    first, windows = {}, []
+    for i, text in rows:
+        b, i = text.encode(), float("inf") if i is None else i
+        windows.append([(b[p : p + width], (i, p)) for p in range(len(b) - width + 1)])
+        for w, place in windows[-1]:
+            first[w] = min(first.get(w, place), place)
+    out = []
+    for (i, text), found in zip(rows, windows):
+        b = text.encode()
+        gone = bytearray(len(b))
+        for w, (_, p) in found:
+            if first[w] < (float("inf") if i is None else i, p):
+                gone[p : p + width] = b"\1" * width
+        out.append((i, hashlib.sha256(b).hexdigest(), bytes(x for x, g in zip(b, gone) if not g)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("batch_rows", [10000, 1])
+@pytest.mark.parametrize("many", [4, 700])
+def test_substrings_of_rows_that_share_an_id(spark, batch_rows, many):
+    rnd = random.Random(many)
+
+    def text(n):
+        return "".join(rnd.choices("abcdefgh ", k=n))
+
+    passage, one, two, three = (text(n) for n in (260, 300, 350, 150))
+    rows = [(1, one), (1, one), (None, two), (None, two), (None, two + three), (None, text(400)), (None, text(130) + two[40:]), (3, passage), (3, passage + three)]
+    rows += [(4, text(20) + passage), (4, text(20) + passage), (4, passage), (5, three + three), (5, three + three)]
+    rows += [(rnd.choice([6, None, 100 + i]), text(rnd.choice([0, 0, 35])) + passage[rnd.choice([0, 31]) :] + text(rnd.randint(0, 40))) for i in range(many)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, DOCS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        source = df.selectExpr("doc_id", "text", "sha2(text, 256) AS sha")
+        got = [(r.doc_id, r.sha, bytes(r.kept)) for r in repeated_substrings(source, 100, keep=("sha",)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = cut_rows(rows, 100)
+    assert sorted(got, key=str) == want
+    assert [kept for i, _, kept in want if i == 1] == [one.encode()] * 2

@@ -103,27 +103,48 @@ def _later(*keys: np.ndarray) -> np.ndarray:
     return same
 
 
+def _after_first(same: np.ndarray, doc: np.ndarray, place: np.ndarray, first: tuple | None = None) -> tuple[np.ndarray, tuple | None]:
+    """Where a row, sorted by place within its group, stands at a later place than the group's first, and the last group's first place.
+
+    `same` tells whether a row is of the group of the row before it; `first` is that of the group that goes on at the beginning. Rows of one
+    id at one place take nothing from each other, and all of them lose what stands earlier.
+    """
+    if not len(same):
+        return same, first
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    first_doc, first_place = doc[head], place[head]
+    if same[0]:
+        goes_on = np.logical_and.accumulate(same)
+        first_doc[goes_on], first_place[goes_on] = first
+    return same & ((doc != first_doc) | (place != first_place)), (first_doc[-1], first_place[-1])
+
+
 def _anchor_rows(width: int):
     """Step 1: the anchors. Of equal spans found together only the earliest goes on as a bucket entry."""
 
     def settled(found) -> pa.RecordBatch:
-        doc, p0, n, bucket, span = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((p0, doc, span, bucket))
-        doc, p0, n, bucket, span = (x[order] for x in (doc, p0, n, bucket, span))
-        # A row that repeats an id is the same document, so its windows are not later ones.
-        later = _later(bucket, span) & ~_later(bucket, span, doc, p0)
-        key = np.where(later, doc & ((1 << BUCKET_BITS) - 1), bucket)
-        return _batch(kind=pa.array(np.where(later, COVER, SPANS), pa.int8()), key=key, span=np.where(later, 0, span), doc_id=doc, run=_pack(p0, n))
+        columns = [np.concatenate(x) for x in zip(*found)]
+        doc, p0, n, bucket, span, text_key = columns
+        order = np.lexsort((text_key, p0, doc, span, bucket))
+        columns = [x[order] for x in columns]
+        doc, p0, n, bucket, span, text_key = columns
+        later, _ = _after_first(_later(bucket, span), doc, p0)
+        # Rows with equal id and text are told once.
+        once = ~_later(bucket, span, doc, p0, text_key)
+        doc, p0, n, bucket, span, text_key, later = (x[once] for x in (*columns, later))
+        key = np.where(later, doc ^ text_key, bucket)  # covers are spread by row: ids and texts may both repeat
+        return _batch(kind=pa.array(np.where(later, COVER, SPANS), pa.int8()), key=key, span=np.where(later, 0, span), doc_id=doc, run=_pack(p0, n), text_key=text_key)
 
     def run(batches):
         for batch in batches:
             found, held = [], 0
             for part in slices(batch):
                 ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                text_key = part.column("text_key").to_numpy(zero_copy_only=False)
                 for group in text_pieces([t.encode() for t in part.column("text").to_pylist()], width):
                     piece, p0, n, bucket, span = anchors([g[2] for g in group], width)
                     row, offset = (np.array([g[i] for g in group], np.int64)[piece] for i in (0, 1))
-                    found.append((ids[row], p0 + offset, n, bucket, span))
+                    found.append((ids[row], p0 + offset, n, bucket, span, text_key[row]))
                     held += len(piece)
                 if held >= TOGETHER:
                     yield settled(found)
@@ -135,25 +156,29 @@ def _anchor_rows(width: int):
     return run
 
 
-ANCHOR_ROWS = "kind tinyint, key bigint, span bigint, doc_id bigint, run bigint"
+ANCHOR_ROWS = "kind tinyint, key bigint, span bigint, doc_id bigint, run bigint, text_key bigint"
 
 
 def _settle_spans(batches):
-    """Step 2, over rows sorted by (kind, key, span, doc_id, run): covers, and what is left to refine."""
+    """Step 2, over rows sorted by (kind, key, span, doc_id, run, text_key): covers, and what is left to refine."""
     held = None  # earliest entries of the last bucket, which may go on in the next batch
     large = -1  # the last bucket, once it is known to be large
-    last = None
+    last = first = None
     for batch in batches:
-        kind, key, span, doc, run = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "span", "doc_id", "run"))
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "span", "doc_id", "run", "text_key")]
+        kind, key, span, doc, run, text_key = columns
+        if not len(key):
+            continue
         entry = kind == SPANS
-        again = _later(kind, key, span)
-        if last is not None and len(key):
-            again[0] = (kind[0], key[0], span[0]) == last
-        if len(key):
-            last = (kind[-1], key[-1], span[-1])
-        cover = ~entry | again
-        yield _batch(kind=pa.array(np.full(int(cover.sum()), COVER), pa.int8()), key=key[cover], doc_id=doc[cover], run=run[cover])
-        rows = [x[entry & ~again] for x in (key, doc, run)]
+        same, repeats = _later(kind, key, span), _later(*columns)
+        if last is not None:
+            same[0] = (kind[0], key[0], span[0]) == last[:3]
+            repeats[0] = tuple(x[0] for x in columns) == last
+        last = tuple(x[-1] for x in columns)
+        later, first = _after_first(same, doc, run, first)
+        cover = ~entry | (later & ~repeats)
+        yield _batch(kind=pa.array(np.full(int(cover.sum()), COVER), pa.int8()), key=key[cover], doc_id=doc[cover], run=run[cover], text_key=text_key[cover])
+        rows = [x[entry & ~later & ~repeats] for x in (key, doc, run, text_key)]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows)]
             held = None
@@ -169,57 +194,60 @@ def _settle_spans(batches):
         else:
             held = [x[edge[-1] :] for x in rows]
             out[edge[-1] :] = False
-        yield _batch(kind=pa.array(how[of][out], pa.int8()), key=rows[0][out], doc_id=rows[1][out], run=rows[2][out])
+        yield _batch(kind=pa.array(how[of][out], pa.int8()), key=rows[0][out], doc_id=rows[1][out], run=rows[2][out], text_key=rows[3][out])
     if held is not None and len(held[0]) > 1:
-        yield _batch(kind=pa.array(np.full(len(held[0]), SPANS), pa.int8()), key=held[0], doc_id=held[1], run=held[2])
+        yield _batch(kind=pa.array(np.full(len(held[0]), SPANS), pa.int8()), key=held[0], doc_id=held[1], run=held[2], text_key=held[3])
 
 
-SETTLED_ROWS = "kind tinyint, key bigint, doc_id bigint, run bigint"
+SETTLED_ROWS = "kind tinyint, key bigint, doc_id bigint, run bigint, text_key bigint"
 
 
 def _refine_rows(width: int):
     """Step 3, from documents with their open runs: a small bucket's run with its bytes, a large one's windows one by one."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, last = zstandard.ZstdDecompressor().decompress, None
         for batch in batches:
             small, windows = [], []
-            for doc, packed, runs in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("runs")):
+            for doc, text_key, packed, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("packed"), batch.column("runs")):
+                if (doc, text_key) == last:  # equal id and text
+                    continue
+                last = (doc, text_key)
                 text = unpack(packed.as_py())
                 kinds, keys, places = (runs.values.field(f).to_numpy(zero_copy_only=False) for f in ("kind", "key", "run"))
                 first, n = places >> 21, places & ((1 << 21) - 1)
-                # An id may stand for several rows; a place beyond this one's text belongs to another.
+                # Two texts of one id may share a hash; a place beyond this one's text belongs to another.
                 fits = first + n + width - 1 <= len(text)
                 for i in np.flatnonzero(fits & (kinds == SPANS)):
-                    small.append((keys[i], doc, places[i], text[first[i] : first[i] + n[i] + width - 1]))
+                    small.append((keys[i], doc, places[i], text_key, text[first[i] : first[i] + n[i] + width - 1]))
                 open_ = np.flatnonzero(fits & (kinds == WINDOWS))
                 if len(open_):
                     data = np.frombuffer(text, np.uint8)
                     p = np.unique(np.arange(int(n[open_].sum())) + np.repeat(first[open_] - (np.cumsum(n[open_]) - n[open_]), n[open_]))
-                    windows.append((*(SpanHasher(data, w)(p, p + width).view(np.int64) for w in (0, 1)), np.full(len(p), doc), p))
+                    windows.append((*(SpanHasher(data, w)(p, p + width).view(np.int64) for w in (0, 1)), np.full(len(p), doc), p, np.full(len(p), text_key)))
             if small:
-                key, doc, place, data = zip(*small)
+                key, doc, place, text_key, data = zip(*small)
                 yield _batch(kind=pa.array(np.full(len(key), SPANS), pa.int8()), key=pa.array(key, pa.int64()), check=pa.array(np.zeros(len(key), np.int64)),
-                             doc_id=pa.array(doc, pa.int64()), run=pa.array(place, pa.int64()), data=pa.array(data, pa.binary()))
+                             doc_id=pa.array(doc, pa.int64()), run=pa.array(place, pa.int64()), text_key=pa.array(text_key, pa.int64()), data=pa.array(data, pa.binary()))
             if windows:
-                key, check, doc, p = (np.concatenate(x) for x in zip(*windows))
-                order = np.lexsort((p, doc, check, key))
-                key, check, doc, p = (x[order] for x in (key, check, doc, p))
-                settled = _later(key, check) & ~_later(key, check, doc, p)
-                yield _batch(kind=pa.array(np.where(settled, COVER, WINDOWS), pa.int8()), key=np.where(settled, doc, key), check=np.where(settled, 0, check),
-                             doc_id=doc, run=_pack(p, np.ones(len(p), np.int64)), data=pa.nulls(len(p), pa.binary()))
+                key, check, doc, p, text_key = (np.concatenate(x) for x in zip(*windows))
+                order = np.lexsort((text_key, p, doc, check, key))
+                key, check, doc, p, text_key = (x[order] for x in (key, check, doc, p, text_key))
+                settled, _ = _after_first(_later(key, check), doc, p)
+                yield _batch(kind=pa.array(np.where(settled, COVER, WINDOWS), pa.int8()), key=np.where(settled, doc ^ text_key, key), check=np.where(settled, 0, check),
+                             doc_id=doc, run=_pack(p, np.ones(len(p), np.int64)), text_key=text_key, data=pa.nulls(len(p), pa.binary()))
             release()
 
     return run
 
 
-REFINE_ROWS = "kind tinyint, key bigint, check bigint, doc_id bigint, run bigint, data binary"
+REFINE_ROWS = "kind tinyint, key bigint, check bigint, doc_id bigint, run bigint, text_key bigint, data binary"
 
 
 def _settle_windows(width: int):
-    """The last step, over rows sorted by (kind, key, check, doc_id, run): covers only."""
+    """The last step, over rows sorted by (kind, key, check, doc_id, run, text_key): covers only."""
 
-    def small_buckets(key, doc, run, data: pa.Array):
+    def small_buckets(key, doc, run, text_key, data: pa.Array):
         """Windows of every run, compared within the bucket."""
         n = run & ((1 << 21) - 1)
         line = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
@@ -230,39 +258,40 @@ def _settle_windows(width: int):
         one, two = (SpanHasher(line, w)(at, at + width) for w in (0, 1))
         p = (run >> 21)[row] + j
         order = np.lexsort((p, doc[row], two, one, key[row]))
-        same = _later(one[order], two[order], key[row][order]) & ~_later(one[order], two[order], key[row][order], doc[row][order], p[order])
+        same, _ = _after_first(_later(one[order], two[order], key[row][order]), doc[row][order], p[order])
         hit = np.zeros(len(row), bool)
         hit[order] = same
         first = hit & np.append(True, ~hit[:-1] | (row[1:] != row[:-1]))
         length = np.diff(np.append(np.flatnonzero(first), len(row)))
         number = np.cumsum(first) - 1
         length = np.bincount(number[hit], minlength=len(length))
-        return _batch(doc_id=doc[row][first], run=_pack(p[first], length))
+        return _batch(doc_id=doc[row][first], run=_pack(p[first], length), text_key=text_key[row][first])
 
     def run(batches):
-        held, last, last_place = None, None, None
+        held, last, first = None, None, None
         for batch in batches:
             batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
-            kind, key, check, doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "check", "doc_id", "run"))
+            kind, key, check, doc, place, text_key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "check", "doc_id", "run", "text_key"))
             own = kind != SPANS
-            again = _later(kind, key, check)
+            same = _later(kind, key, check)
             if last is not None and len(key):
-                again[0] = (kind[0], key[0], check[0]) == last
+                same[0] = (kind[0], key[0], check[0]) == last
             if len(key):
                 last = (kind[-1], key[-1], check[-1])
-            cover = (kind == COVER) | ((kind == WINDOWS) & again)
-            yield _batch(doc_id=doc[cover], run=place[cover])
-            spans = [key[~own], doc[~own], place[~own], batch.column("data").filter(pa.array(~own))]
+            later, first = _after_first(same, doc, place, first)
+            cover = (kind == COVER) | ((kind == WINDOWS) & later)
+            yield _batch(doc_id=doc[cover], run=place[cover], text_key=text_key[cover])
+            spans = [key[~own], doc[~own], place[~own], text_key[~own], batch.column("data").filter(pa.array(~own))]
             if held is not None:
-                spans = [*(np.concatenate(x) for x in zip(held[:3], spans[:3])), pa.concat_arrays([held[3], spans[3]])]
+                spans = [*(np.concatenate(x) for x in zip(held[:4], spans[:4])), pa.concat_arrays([held[4], spans[4]])]
                 held = None
             if len(spans[0]):
                 # The last bucket may go on, and is bounded.
                 edge = int(np.searchsorted(spans[0], spans[0][-1])) if not own.any() else len(spans[0])
                 if edge < len(spans[0]):
-                    held = [*(x[edge:] for x in spans[:3]), spans[3].slice(edge)]
+                    held = [*(x[edge:] for x in spans[:4]), spans[4].slice(edge)]
                 if edge:
-                    yield small_buckets(*(x[:edge] for x in spans[:3]), spans[3].slice(0, edge))
+                    yield small_buckets(*(x[:edge] for x in spans[:4]), spans[4].slice(0, edge))
             release()
         if held is not None:
             yield small_buckets(*held)
@@ -315,10 +344,11 @@ def repeated_substrings(df: DataFrame, width: int = 100, id_col: str = "doc_id",
 
     Texts are UTF-8 bytes, null as empty. A byte goes when a string of `width` bytes over it also starts earlier: in a document with a smaller
     id, or before it in its own. Matches never cross documents and are judged on the input; spans are maximal runs. Ids are integers; null ids
-    come last and, like repeated ids, count as one document, whose rows take nothing from each other at the same place. Texts shorter
-    than `width` stay whole. With `whole_characters` a character goes only with all its bytes, so that `kept` is UTF-8 again. Other columns may have any names.
+    come last and, like repeated ids, count as one document, whose rows take nothing from each other at the same place; each row loses what
+    repeats in its own text. Texts shorter than `width` stay whole. With `whole_characters` a character goes only with all its bytes, so that `kept` is UTF-8 again. Other columns may have any names.
     """
     plain = df.select(col(id_col).cast("bigint").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"), *[col(n).alias(f"_k{i}") for i, n in enumerate(keep)])
+    plain = plain.withColumn("text_key", F.xxhash64("text"))  # with the id, a row's own key
     fields = [f"_k{i}" for i in range(len(keep))]
     types = dict(plain.dtypes)
 
@@ -328,19 +358,19 @@ def repeated_substrings(df: DataFrame, width: int = 100, id_col: str = "doc_id",
             for batch in batches:
                 for part in slices(batch):
                     packed = pa.array([squeeze(t.encode()) for t in part.column("text").to_pylist()], pa.binary())
-                    yield _batch(**{c: part.column(c) for c in ("doc_id", *names)}, packed=packed)
-
-        source = plain.select("doc_id", "text", *names)
-        return source.mapInArrow(step, "doc_id bigint, " + "".join(f"{n} {types[n]}, " for n in names) + "packed binary").withColumn("key_id", F.coalesce("doc_id", F.lit(NO_ID)))
-
-    entries = plain.select("doc_id", "text").mapInArrow(_anchor_rows(width), ANCHOR_ROWS).repartition("key")
-    settled = cut_lineage(entries.sortWithinPartitions("kind", "key", "span", "doc_id", "run").mapInArrow(_settle_spans, SETTLED_ROWS))
-    open_ = settled.filter(F.col("kind") != COVER).groupBy(F.col("doc_id").alias("key_id")).agg(F.collect_list(F.struct("kind", "key", "run")).alias("runs"))
-    asked = pack([]).join(open_.hint("merge"), "key_id").select(F.col("key_id").alias("doc_id"), "packed", "runs")
-    refined = asked.mapInArrow(_refine_rows(width), REFINE_ROWS).repartition("key").sortWithinPartitions("kind", "key", "check", "doc_id", "run")
-    covers = settled.filter(F.col("kind") == COVER).select("doc_id", "run").unionByName(refined.mapInArrow(_settle_windows(width), "doc_id bigint, run bigint"))
-    covers = covers.groupBy(F.col("doc_id").alias("key_id")).agg(F.collect_list("run").alias("runs"))
-    whole = pack(fields).join(covers.hint("merge"), "key_id", "left").select("doc_id", *fields, "packed", "runs")
+                    yield _batch(**{c: part.column(c) for c in ("doc_id", "text_key", *names)}, packed=packed)
+
+        source = plain.select("doc_id", "text_key", "text", *names)
+        return source.mapInArrow(step, "doc_id bigint, text_key bigint, " + "".join(f"{n} {types[n]}, " for n in names) + "packed binary").withColumn("key_id", F.coalesce("doc_id", F.lit(NO_ID)))
+
+    entries = plain.select("doc_id", "text_key", "text").mapInArrow(_anchor_rows(width), ANCHOR_ROWS).repartition("key")
+    settled = cut_lineage(entries.sortWithinPartitions("kind", "key", "span", "doc_id", "run", "text_key").mapInArrow(_settle_spans, SETTLED_ROWS))
+    open_ = settled.filter(F.col("kind") != COVER).groupBy(F.col("doc_id").alias("key_id"), "text_key").agg(F.collect_list(F.struct("kind", "key", "run")).alias("runs"))
+    asked = pack([]).join(open_.hint("merge"), ["key_id", "text_key"]).select(F.col("key_id").alias("doc_id"), "text_key", "packed", "runs")
+    refined = asked.mapInArrow(_refine_rows(width), REFINE_ROWS).repartition("key").sortWithinPartitions("kind", "key", "check", "doc_id", "run", "text_key")
+    covers = settled.filter(F.col("kind") == COVER).select("doc_id", "run", "text_key").unionByName(refined.mapInArrow(_settle_windows(width), "doc_id bigint, run bigint, text_key bigint"))
+    covers = covers.groupBy(F.col("doc_id").alias("key_id"), "text_key").agg(F.collect_list("run").alias("runs"))
+    whole = pack(fields).join(covers.hint("merge"), ["key_id", "text_key"], "left").select("doc_id", *fields, "packed", "runs")
     schema = "doc_id bigint, " + "".join(f"{n} {types[n]}, " for n in fields) + "n_bytes bigint, spans array<struct<start:bigint,length:bigint>>, kept binary"
     out = whole.mapInArrow(_cut(width, fields, whole_characters), schema)
     return out.select("doc_id", *[F.col(f).alias(n) for f, n in zip(fields, keep)], "n_bytes", "spans", "kept")
