@@ -139,3 +139,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeated_substrings(table(spark, sf_dir, "documents"), width=100)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["length"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_decontamination", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: w[k : k + n - 1])) AS x
+  FROM (SELECT *, least(10, len(w)) AS n FROM i) WHERE n > 0 AND item_id IS NOT NULL),
+dw AS (SELECT r, n, k, list_slice(w, k, k + n - 1) AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT r, item_id, k, n FROM dw JOIN iw USING (n, x)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r),
+s AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.decontamination import build_index, contamination, covered
+
+    found = contamination(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), width=10)
+    hit = covered("spans")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (hit > 0).alias("contaminated"))
