@@ -162,3 +162,22 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = covered("spans")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (hit > 0).alias("contaminated"))
+
+
+@query("op12_lexical_search", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+n AS (SELECT r, count(*) AS n FROM d GROUP BY r), s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n),
+tf AS (SELECT r, doc_id, t, count(*) AS tf FROM d GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, nn),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN w USING (t) JOIN n USING (r), s GROUP BY item_id, r, doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM p WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.lexical_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
