@@ -181,3 +181,21 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.lexical_search import ranked_search
 
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op11_hard_negatives", """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.id AS a, c.id AS c, a.y = c.y AS same, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS s
+  FROM v a JOIN v c ON a.id <> c.id AND len(a.v) = len(c.v) WHERE a.id % 100 = 0),
+f AS (SELECT a, c, s FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, c) <= 5)
+SELECT f.a AS anchor_id, f.c AS positive_id, CAST(row_number() OVER (PARTITION BY f.a, f.c ORDER BY p.s DESC, p.c) AS INTEGER) AS rank, p.c AS negative_id,
+  f.s AS positive_score, p.s AS negative_score
+FROM f JOIN p ON p.a = f.a AND NOT p.same AND 80 * f.s <= 100 * p.s AND 100 * p.s <= 100 * f.s
+QUALIFY row_number() OVER (PARTITION BY f.a, f.c ORDER BY p.s DESC, p.c) <= 5
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label_col=label)

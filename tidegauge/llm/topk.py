@@ -39,14 +39,27 @@ def blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
     return dealt.groupBy(name, "width").agg(F.collect_list("row").alias(name + "_rows"))
 
 
-def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Exact inner products; floating point only where every sum is below 2**53."""
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(1, queries.shape[1])
-    if most < 1 << 53:
+def products(queries: np.ndarray, candidates: np.ndarray, most: int = 1 << 60) -> np.ndarray:
+    """Inner products, exact up to `most`; larger ones count as `most`, smaller than -most as that. Floating point only where every sum is below 2**53."""
+    width = max(1, queries.shape[1])
+    high_q, high_c = (np.abs(x.astype(float)).max(axis=1, initial=0) for x in (queries, candidates))
+    top = high_q.max(initial=0) * high_c.max(initial=0) * width
+    if top < 1 << 53:
         return (queries.astype(float) @ candidates.astype(float).T).astype(np.int64)
-    if most >= 1 << 63:
-        raise OverflowError("an inner product may not fit into 64 bits")
-    return queries @ candidates.T
+    if top < most / 2:
+        return queries @ candidates.T
+    # Numbers that 64 bits may not hold: the few rows that have them go through whole numbers of any size.
+    line = (most / 4 / width) ** 0.5
+    out = np.empty((len(queries), len(candidates)), np.int64)
+    for q in (high_q <= line, high_q > line):
+        for c in (high_c <= line, high_c > line):
+            if q.any() and c.any():
+                if high_q[q].max() <= line and high_c[c].max() <= line:
+                    part = queries[q] @ candidates[c].T
+                else:
+                    part = np.clip(queries[q].astype(object) @ candidates[c].T.astype(object), -most, most).astype(np.int64)
+                out[np.ix_(q, c)] = part
+    return out
 
 
 def unpacked(rows: pa.StructArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -87,7 +100,8 @@ def top_k(df: DataFrame, queries, k: int = 10, scale: int = 1024, lists: int = 4
 
     `queries` makes a condition from the id column. Components x count as floor(scale * x); vectors that are null or hold null or non-finite
     components take no part, and vectors meet only vectors of their own width (empty ones score 0). Ties go to the smaller id. A
-    query is not its own candidate: rows that repeat its id are left out too. Fewer than k candidates give fewer rows.
+    query is not its own candidate: rows that repeat its id are left out too. Fewer than k candidates give fewer rows. Components beyond 64 bits count
+    as the nearest 64-bit number, and a list's partial score beyond 2**60 as 2**60.
     """
     rows = cut_lineage(quantised(df, id_col, vector_col, scale).dropDuplicates(["id", "v"]))
     asked = rows.filter(queries(F.col("id")))
