@@ -9,9 +9,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegauge.llm import queries
+from tidegauge.llm import queries, word_ids
 from tidegauge.llm.bpe_encoding import decode, encode, encoder
 from tidegauge.llm.packing import binary_lengths, pack, word_encoder
+from tidegauge.llm.segmenter import words
 from tidegauge.llm.token_counts import count_tokens, counter
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -47,6 +48,31 @@ def test_word_encoder_equals_library():
     assert [np.frombuffer(p, "<u4").tolist() for p in word_encoder(WORDS)(texts)] == want
 
 
+def test_words_of_settled_characters_equal_library():
+    texts = [f"{chr(c)} x{chr(c)}y {chr(c)}{chr(c)}1" for c in range(0x400)]
+    want = [e.ids for e in library(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(p, "<u4").tolist() for p in word_encoder(WORDS)(texts)] == want
+
+
+@pytest.mark.parametrize("held", [0, 20, 1000])
+def test_held_words_keep_their_ids(monkeypatch, held):
+    monkeypatch.setattr(word_ids, "WAITING", held // 10)
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return np.array([b for w in new for b in w], np.uint32), np.array([len(w) for w in new], np.int64)
+
+    ids, rnd = word_ids.WordIds(encode, held), random.Random(held)
+    for _ in range(40):
+        texts = [" ".join(rnd.choices(["often"] * 9 + [f"w{rnd.randrange(300)}" for _ in range(9)] + ["l" * 70], k=12)) for _ in range(5)]
+        flat, counts = ids(words(texts, plain=True), len(texts))
+        want = ["".join(t.split()).encode() for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and bytes(flat.astype(np.uint8).tolist()) == b"".join(want)
+    assert held == 0 or asked.count(b"often") == 1 and asked.count(b"l" * 70) > 1
+    assert sum(len(level.keys) for level in ids.levels) <= held + held // 10 + 70
+
+
 def test_every_character_is_classed_as_by_the_library():
     texts = [f"a{chr(c)}1{chr(c)}!'{chr(c)}" for c in range(0x3200) if not 0xD800 <= c < 0xE000]
     assert counter(BYTES)(texts).tolist() == [len(e.ids) for e in library(BYTES).encode_batch(texts, add_special_tokens=False)]

@@ -17,11 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidegauge.llm.common import col, map_slices, texts
-from tidegauge.llm.hashing import SpanHasher
 from tidegauge.llm.segmenter import words
 from tidegauge.llm.vocabulary import Vocabulary, special_splitter, vocabulary
-
-CACHED_WORDS = 100_000
+from tidegauge.llm.word_ids import WordIds, with_specials
 
 
 class SuffixAutomaton:
@@ -140,44 +138,25 @@ class TextEncoder:
 
     def __init__(self, path: str):
         vocab = vocabulary(path)
-        self.encode, self.parts = PrefixEncoder(vocab), special_splitter(vocab.special)
-        self.special = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special.items()}
-        self.known: dict[bytes, bytes] = {}
+        self.prefixes, self.parts = PrefixEncoder(vocab), special_splitter(vocab.special)
+        self.special, self.ids = vocab.special, WordIds(self.encode_words)
+
+    def encode_words(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        order = sorted(range(len(new)), key=new.__getitem__)
+        packed = [b""] * len(new)
+        for i, ids in zip(order, self.prefixes.sorted_words([new[i] for i in order])):
+            packed[i] = ids
+        return np.frombuffer(b"".join(packed), np.uint32), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and each text's number of ids."""
+        split = [self.parts(t) for t in texts]
+        plain = [p for parts in split for p in parts[::2]]
+        return with_specials(*self.ids(words(plain), len(plain)), split, self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
-        found = words([p for parts in split for p in parts[::2]])
-        data, known = np.frombuffer(found.data, np.uint8), self.known
-        # Equal words by two independent hashes; only one of each goes through Python.
-        first, second = (SpanHasher(data, i)(found.starts, found.ends) for i in (0, 1))
-        _, sample, which = np.unique(first, return_index=True, return_inverse=True)
-        if (second != second[sample][which]).any():
-            _, sample, which = np.unique(np.stack([first, second]), axis=1, return_index=True, return_inverse=True)
-        different = [found.data[a:b] for a, b in zip(found.starts[sample].tolist(), found.ends[sample].tolist())]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = sorted([w for w in different if w not in known])
-        known.update(zip(new, self.encode.sorted_words(new)))
-        packed = [known[w] for w in different]
-        for word in new:
-            if len(word) > 64:  # these hardly recur
-                del known[word]
-        sizes = np.array([len(p) // 4 for p in packed], np.int64)
-        table, starts = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(sizes) - sizes
-        ends = np.cumsum(sizes[which])
-        flat = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - sizes[which]), sizes[which])]
-        ends = np.append(0, ends)[np.searchsorted(found.part, np.arange(sum(len(p[::2]) for p in split) + 1))].tolist()
-        out, at = [], 0
-        for parts in split:
-            ids = []
-            for n, part in enumerate(parts):
-                if n % 2:
-                    ids.append(self.special[part])
-                else:
-                    ids.append(flat[ends[at] : ends[at + 1]].tobytes())
-                    at += 1
-            out.append(b"".join(ids))
-        return out
+        ids, counts = self.flat(texts)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -212,9 +191,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
 
     def step(batch: pa.RecordBatch) -> dict:
-        packed = encoder(path)(batch.column("text").to_pylist())
-        counts = np.array([len(p) // 4 for p in packed], np.int64)
-        flat = np.frombuffer(b"".join(packed), "<i4")
+        flat, counts = encoder(path).flat(batch.column("text").to_pylist())
+        flat = flat.astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat))
         more = {"decoded": pa.array(decoded_texts(path, flat, counts), pa.string())} if decoded else {}
         return {"doc_id": batch.column("doc_id"), "ids": ids, **more}

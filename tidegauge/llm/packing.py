@@ -17,16 +17,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidegauge.llm.common import release, slices, texts
-from tidegauge.llm.hashing import SpanHasher
 from tidegauge.llm.segmenter import words
-from tidegauge.llm.vocabulary import special_splitter
+from tidegauge.llm.vocabulary import byte_letters, special_splitter
+from tidegauge.llm.word_ids import WordIds, with_specials
 
-CACHED_WORDS = 100_000
 BUCKET_SHIFT, PARTITION_SHIFT = 56, 32
+#: Below, lower case and normal forms are the same in all versions of Unicode.
+SETTLED = "\u0250"
 
 
 class WordEncoder:
-    """Packed ids of whole texts by a tokenizer with word ends: each different word goes to the tokenizers library once."""
+    """Ids of whole texts by a tokenizer with word ends: each different word goes to the tokenizers library's model once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,46 +35,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
-        self.parts, self.known = special_splitter(added), {}
+        self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.parts, self.ids = special_splitter(self.special), WordIds(self.encode_words)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def encode_words(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, letters, ids, sizes = self.model.tokenize, self.letters, [], []
+        for word in new:
+            text = word.decode()
+            if max(text) < SETTLED:
+                plain = text.isascii() and text.isprintable()
+                own = [t.id for t in tokenize(text if plain else word.decode("latin-1").translate(letters))]
+            else:
+                own = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids += own
+            sizes.append(len(own))
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and each text's number of ids."""
         split = [self.parts(t) for t in texts]
         # Lower case letter by letter, as the library has it: no final form of sigma.
         plain = [unicodedata.normalize("NFC", p).replace("Σ", "σ").lower() for parts in split for p in parts[::2]]
-        found = words(plain, plain=True)
-        data, known = np.frombuffer(found.data, np.uint8), self.known
-        first, second = (SpanHasher(data, i)(found.starts, found.ends) for i in (0, 1))
-        _, sample, which = np.unique(first, return_index=True, return_inverse=True)
-        if (second != second[sample][which]).any():
-            _, sample, which = np.unique(np.stack([first, second]), axis=1, return_index=True, return_inverse=True)
-        different = [found.data[a:b] for a, b in zip(found.starts[sample].tolist(), found.ends[sample].tolist())]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = [w for w in different if w not in known]
-        ids = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in ids)))
-        packed = [known[w] for w in different]
-        for word in new:
-            if len(word) > 64:  # these hardly recur
-                del known[word]
-        sizes = np.array([len(p) // 4 for p in packed], np.int64)
-        table, starts = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(sizes) - sizes
-        ends = np.cumsum(sizes[which])
-        flat = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - sizes[which]), sizes[which])]
-        ends = np.append(0, ends)[np.searchsorted(found.part, np.arange(len(plain) + 1))].tolist()
-        out, at = [], 0
-        for parts in split:
-            own = []
-            for n, part in enumerate(parts):
-                if n % 2:
-                    own.append(self.special[part])
-                else:
-                    own.append(flat[ends[at] : ends[at + 1]].tobytes())
-                    at += 1
-            out.append(b"".join(own))
-        return out
+        return with_specials(*self.ids(words(plain, plain=True), len(plain)), split, self.special)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Packed little-endian 32-bit ids of each text."""
+        ids, counts = self.flat(texts)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -84,9 +73,19 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def pieces(counts: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and length of all pieces, in order: full sequences, then the binary digits of the rest."""
+    bits = np.arange(largest.bit_length() - 1, -1, -1)
+    document, digit = np.nonzero((counts % largest)[:, None] >> bits & 1)
+    full = np.repeat(np.arange(len(counts)), counts // largest)
+    document, length = np.append(full, document), np.append(np.full(len(full), largest), 1 << bits[digit])
+    order = np.argsort(document, kind="stable")
+    return document[order], length[order]
+
+
 def binary_lengths(n: int, largest: int) -> list[int]:
-    """Lengths of a document's pieces: full sequences, then the binary digits of the rest."""
-    return [largest] * (n // largest) + [1 << b for b in range(largest.bit_length() - 1, -1, -1) if n % largest >> b & 1]
+    """Lengths of the pieces of a document with n ids."""
+    return pieces(np.array([n]), largest)[1].tolist()
 
 
 def pack(df: DataFrame, path: str, largest: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,26 +98,24 @@ def pack(df: DataFrame, path: str, largest: int = 4096, end_id: int = 2, id_col:
         raise ValueError(f"sequences need a power of two as their length, not {largest}")
 
     def run(batches):
-        partition, used = TaskContext.get().partitionId(), [0] * largest.bit_length()
-        last = np.array([end_id], "<u4").tobytes()
+        partition, used = TaskContext.get().partitionId(), np.zeros(largest.bit_length(), np.int64)
         for batch in batches:
             for part in slices(batch):
-                rows = {k: [] for k in ("row", "start", "length", "ids", "doc_tokens", "sequence_id")}
-                for row, ids in enumerate(word_encoder(path)(part.column("text").to_pylist())):
-                    ids += last
-                    n, start = len(ids) // 4, 0
-                    for length in binary_lengths(n, largest):
-                        bucket = length.bit_length() - 1
-                        values = (row, start, length, ids[4 * start : 4 * (start + length)], n,
-                                  bucket << BUCKET_SHIFT | partition << PARTITION_SHIFT | used[bucket])
-                        for key, value in zip(rows, values):
-                            rows[key].append(value)
-                        used[bucket] += 1
-                        start += length
-                at = rows.pop("row")
-                numbers = {k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in rows.items()}
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(at, pa.int64())), **numbers,
-                                                  "sequence_offset": pa.array(np.zeros(len(at), np.int64))})
+                ids, counts = word_encoder(path).flat(part.column("text").to_pylist())
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype("<u4"), counts + 1
+                row, length = pieces(counts, largest)
+                # Pieces follow each other as the ids do, so the ids are cut where they stand.
+                ends = np.cumsum(length)
+                start = ends - length - (np.cumsum(counts) - counts)[row]
+                bucket = np.log2(length).astype(np.int64)
+                number = np.empty(len(row), np.int64)
+                for b in np.unique(bucket).tolist():
+                    own = np.flatnonzero(bucket == b)
+                    number[own] = used[b] + np.arange(len(own))
+                    used[b] += len(own)
+                cut = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((4 * np.append(0, ends)).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(row)), "start": start, "length": length, "ids": cut, "doc_tokens": counts[row],
+                                                  "sequence_id": bucket << BUCKET_SHIFT | partition << PARTITION_SHIFT | number, "sequence_offset": np.zeros(len(row), np.int64)})
             release()
 
     kind = df.schema[id_col].dataType.simpleString()
