@@ -32,7 +32,7 @@ BLOCK_BYTES = 1 << 20
 #: Documents and vector entries of a tree, documents of a leaf, bands of terms.
 TREE_ROWS, TREE_ENTRIES, LEAF, BANDS = 4096, 1 << 20, 32, 8192
 #: Bytes of text that are tokenized together.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Floating-point bounds grow by this share and by one: far more than the rounding of sums of a million terms.
 MARGIN = 1e-9
 #: Stands for a missing document id, so that it is last among equal scores.
