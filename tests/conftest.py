@@ -15,11 +15,6 @@ def spark():
     return session
 
 
-@pytest.fixture
-def path():
-    """Tests that once ran on two forms by size; there is one form now."""
-
-
 @pytest.fixture
 def frame(spark, tmp_path):
     """Frames read from parquet, so that their plan size is known."""

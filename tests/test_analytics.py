@@ -16,7 +16,7 @@ from tidegauge.operators import temporal as T
 from tidegauge.plans import workflows as W
 
 
-def test_under_and_overflow(frame, path):
+def test_under_and_overflow(frame):
     df = frame([(-0.1,), (0.0,), (1.0000000000000002,), (20.0,), (None,), (float("inf"),)], "a double")
     h = {r["bin"]: r["n"] for r in G.unit_histogram(df, ["a"]).collect()}
     assert len(h) == 37 and (h[-1], h[0], h[34], h[35]) == (1, 1, 1, 1)
@@ -38,7 +38,7 @@ def test_constant_out_of_range_feature_has_one_bin(spark):
     assert [(r["bin"], r["low"], r["high"], r["n"]) for r in got] == [(0, 5.0, 5.0, 3)]
 
 
-def test_feature_without_finite_values(frame, path):
+def test_feature_without_finite_values(frame):
     r = G.feature_summary(frame([(None,), (float("nan"),)], "a double"), ["a"]).first()
     assert (r["n"], r["excluded"], r["median"], r["sd"]) == (0, 2, None, None)
 
@@ -84,7 +84,7 @@ def test_cumulative_share_of_nothing(spark):
     assert {r["end_percent"] for r in G.cumulative_share(df).collect()} == {0.0}
 
 
-def test_edges_need_two_distinct_values(frame, path):
+def test_edges_need_two_distinct_values(frame):
     with pytest.raises(ValueError, match="two distinct"):
         B.fit_edges(frame([(1.0,)] * 9, "a double"), ["a"], 5)
 
@@ -114,14 +114,14 @@ def test_short_series_has_no_autocorrelation(spark):
     assert {r["r"] for r in T.autocorrelation(df, "obs", "v", (1, 672)).collect()} == {None}
 
 
-def test_binary_golden_vector(frame, path):
+def test_binary_golden_vector(frame):
     df = frame([(0, 0, .1), (0, 1, .8), (1, 0, .2), (1, 1, .9)], "y int, yhat int, s double")
     r = I.binary_metrics(df, "y", "yhat", "s").first()
     assert r["roc_auc"] == pytest.approx(0.75) and r["average_precision"] == pytest.approx(0.8333333333)
     assert {r["accuracy"], r["precision"], r["recall"], r["f1"]} == {0.5}
 
 
-def test_perfect_and_missing_classes(frame, path):
+def test_perfect_and_missing_classes(frame):
     rows = [(c, [1.0 if i == c else 0.0 for i in range(4)]) for c in range(4)]
     df = I.argmax_class(frame(rows, "y int, p array<double>"), "p", [0, 1, 2, 3])
     r = I.evaluate(df, "y", "yhat", "p", [0, 1, 2, 3]).first()
@@ -133,7 +133,7 @@ def test_perfect_and_missing_classes(frame, path):
     assert part["macro_roc_auc"] is None and part["macro_average_precision"] is None
 
 
-def test_auc_with_ties_equals_pair_counting(frame, path):
+def test_auc_with_ties_equals_pair_counting(frame):
     rng = np.random.default_rng(8)
     y, s = rng.integers(0, 2, 300), np.round(rng.uniform(0, 1, 300), 1)
     pos, neg = s[y == 1], s[y == 0]
@@ -142,7 +142,7 @@ def test_auc_with_ties_equals_pair_counting(frame, path):
     assert I.roc_auc(df, "y", "s").first()["roc_auc"] == pytest.approx(want)
 
 
-def test_one_class_only_gives_no_auc(frame, path):
+def test_one_class_only_gives_no_auc(frame):
     assert I.roc_auc(frame([(1, 0.5), (1, 0.6)], "y int, s double"), "y", "s").first()["roc_auc"] is None
 
 

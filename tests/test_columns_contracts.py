@@ -66,7 +66,7 @@ def test_strict_and_lenient_timestamps(spark):
     assert P.parse_and_sort(df, "ts").first()["ts"] == dt.datetime(2024, 1, 1)
     assert P.parse_and_sort(df, "other") is df
     broken = df.unionAll(spark.createDataFrame([("nope",), (None,)], "ts string"))
-    with pytest.raises(ValueError, match="contains 2 invalid"):
+    with pytest.raises(ValueError, match="2 values of 'ts' cannot be read"):
         P.parse_and_sort(broken, "ts")
     with pytest.raises(Exception):
         P.parse_timestamp(broken, "ts").collect()
@@ -105,7 +105,7 @@ def test_strict_frame_matrix(spark, change, check):
             C.require(violations)
 
 
-def test_timestamps(frame, path):
+def test_timestamps(frame):
     t = [dt.datetime(2024, 1, d) for d in (1, 2, 2, 4, 3)]
     df = frame([(i, v) for i, v in enumerate([*t, None])], "i int, ts timestamp")
     assert bad(C.valid_timestamps(df, "ts", "i")) == {("timestamp_null", "ts"): 1, ("timestamp_duplicate", "ts"): 1, ("timestamp_unsorted", "ts"): 1}
@@ -152,14 +152,14 @@ def test_split_algebra(spark):
     test = full.filter("a = 3")
     train = full.filter("a <> 3")
     assert D.require_split(full, train, test, ["a", "y"], ["a"])["row_overlap"] == 0
-    with pytest.raises(ValueError, match="reconstruct"):
+    with pytest.raises(ValueError, match="do not add up to the full table"):
         D.require_split(full, train.dropDuplicates(), test, ["a", "y"], ["a"])
     shared = spark.createDataFrame([(1.0, 0), (1.0, 1)], "a double, y int")
     with pytest.raises(ValueError, match="overlapping"):
         D.require_split(shared, shared.filter("y = 0"), shared.filter("y = 1"), ["a", "y"], ["a"])
 
 
-def test_quality_summary_counts_every_kind_of_bad_time(frame, path):
+def test_quality_summary_counts_every_kind_of_bad_time(frame):
     df = frame([(1, "2024-01-01"), (2, "bad"), (3, None), (4, "2024-01-01"), (5, "2023-01-01")], "i int, ts string")
     r = E.quality_summary(df, "ts", "i").first()
     assert (r["n_rows"], r["invalid_timestamps"], r["duplicate_timestamps"], r["timestamps_sorted"], r["n_null"]) == (5, 2, 2, False, 1)

@@ -31,7 +31,7 @@ def keyed(frame):
     return frame(rows, "k string, v double")
 
 
-def test_quantiles_equal_numpy(keyed, path):
+def test_quantiles_equal_numpy(keyed):
     found = {r["k"]: r for r in O.quantiles(keyed, ["k"], "v", PROBS).collect()}
     assert set(found) == set(samples())
     for k, vs in samples().items():
@@ -39,19 +39,19 @@ def test_quantiles_equal_numpy(keyed, path):
         np.testing.assert_allclose(found[k]["q"], np.quantile(vs, PROBS), rtol=1e-12, atol=0)
 
 
-def test_quantiles_without_keys(keyed, path):
+def test_quantiles_without_keys(keyed):
     row = O.quantiles(keyed, [], "v", [0.5]).collect()
     assert len(row) == 1 and row[0]["q"][0] == pytest.approx(np.quantile(np.concatenate(list(samples().values())), 0.5))
 
 
-def test_infinities_are_ordered_values(frame, path):
+def test_infinities_are_ordered_values(frame):
     df = frame([(v,) for v in (float("-inf"), 1.0, 2.0, float("inf"), float("inf"))], "v double")
     assert O.quantiles(df, [], "v", [0.0, 0.375, 0.5, 0.75, 1.0]).first()["q"] == [float("-inf"), 1.5, 2.0, float("inf"), float("inf")]
     tally = df.groupBy("v").agg(F.count("*").alias("n"))
     assert {r["v"]: r["below_n"] for r in O.prefix_sums(tally, [], "v", ["n"]).collect()} == {float("-inf"): 0, 1.0: 1, 2.0: 2, float("inf"): 3}
 
 
-def test_values_at_ranks_keep_the_integer_type(frame, path):
+def test_values_at_ranks_keep_the_integer_type(frame):
     big = 2 ** 60
     df = frame([(big + i,) for i in range(50)] * 3, "v bigint")
     got = O.values_at_ranks(df, [], "v", lambda n: F.array(F.lit(0).cast("bigint"), F.lit(75).cast("bigint"), n - 1))
@@ -69,7 +69,7 @@ def test_prefix_sums(keyed, path, descending):
             assert r["below_n"] == want
 
 
-def test_number_rows(frame, path):
+def test_number_rows(frame):
     rng = np.random.default_rng(3)
     base = dt.datetime(2024, 1, 1)
     seconds = sorted(set(int(s) for s in np.exp(rng.normal(8, 3, 2000))))
@@ -78,7 +78,7 @@ def test_number_rows(frame, path):
     assert [o for _, o in got] == list(range(1, len(seconds) + 1))
 
 
-def test_number_by_hash_of_a_hot_class(frame, path):
+def test_number_by_hash_of_a_hot_class(frame):
     df = frame([(i, "hot" if i % 3 else f"c{i % 7}") for i in range(1500)], "id int, c string").withColumn("h", hash_order(F.col("id"), 1))
     got = O.number_by_hash(df, ["c"], "h", "n").collect()
     for c in {r["c"] for r in got}:

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions without spark.checkpoint.dir, by application; the setting itself cannot change in a running session.
+_own_folders: dict[str, str] = {}
+
 
 def local_session(app: str = "tidegauge", cpus: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the local benchmark; a cluster brings its own."""
@@ -33,8 +36,10 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _own_folders:
+            _own_folders[application] = tempfile.mkdtemp(prefix="tidegauge-")
+        root = _own_folders[application]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
