@@ -208,14 +208,14 @@ def test_cross_validation_learns_and_selects(spark, tmp_path):
         M.cross_validate(df.filter("y < 3"), [FOREST], ["a", "b"], "y", "obs", range(4), 3)
 
 
-def test_permutation_importance_finds_the_feature(spark, tmp_path, path):
+def test_permutation_importance_finds_the_feature(spark, tmp_path):
     df = stable(spark, tmp_path)
     model = M.fit(FOREST, df, ["a", "b"], "y", range(4))
     r = {x["feature"]: x["drop_mean"] for x in M.permutation_importance(model, df, ["a", "b"], "y", "obs", range(4), repeats=2).collect()}
     assert r["a"] > 0.4 > abs(r["b"])
 
 
-def test_permuted_rows_keep_every_value(spark, tmp_path, path):
+def test_permuted_rows_keep_every_value(spark, tmp_path):
     df = stable(spark, tmp_path).select("obs", "a", "b")
     rows = M.permuted_rows(df, "obs", ["a", "b"], repeats=3)
     assert rows.count() == 240 * 6

@@ -86,7 +86,8 @@ def text_files(t, df, key, header, line):
     folder = scratch_dir(t.spark, "landing")
     rows = df.select(key.alias("source"), F.spark_partition_id().alias("piece"), F.lit(1).alias("o"), line.alias("value"))
     place = ["source", "piece"]
-    heads = rows.select(*place).distinct().select(*place, F.lit(0).alias("o"), F.lit(header).alias("value"))
+    header = F.lit(header) if isinstance(header, str) else header
+    heads = rows.select(*place).distinct().select(*place, F.lit(0).alias("o"), header.alias("value"))
     rows.unionAll(heads).repartition(*place).sortWithinPartitions(*place, "o").select(*place, "value").write.partitionBy(*place).text(folder)
     return folder
 
@@ -127,6 +128,35 @@ def _(t):
     return A.sniff_delimiters(t.spark, folder).select("delimiter", source_name().alias("source")).distinct()
 
 
+SEPARATORS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
+SEPARATOR_SQL = "CASE event_id % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END"
+
+
+def quoted_files(t, value):
+    """All events in files of four delimiters, with a quoted cell that holds the delimiter, doubled quotes and a line break."""
+    names = F.array(*[F.lit(n) for n in SEPARATORS])
+    sep = F.element_at(F.create_map(*[F.lit(x) for p in SEPARATORS.items() for x in p]), F.col("source"))
+    rows = t.events.withColumn("source", F.get(names, (F.col("event_id") % 4).cast("int")))
+    note = F.concat(F.lit('"said ""'), "event_type", F.lit('""'), sep, F.lit('\ntwice"'))
+    return text_files(t, rows, F.col("source"), F.concat(F.lit('id'), sep, F.lit('" no\nte"'), sep, F.lit("v")), F.concat(F.col("event_id").cast("string"), sep, note, sep, value))
+
+
+@query("a09_read_sniffed", f"""SELECT delimiter, CAST(event_id AS VARCHAR) AS id, 'said "' || event_type || '"' || delimiter || chr(10) || 'twice' AS note, props AS v
+  FROM (SELECT *, {SEPARATOR_SQL} AS delimiter FROM events)""")
+def _(t):
+    found = A.read_delimited(t.spark, quoted_files(t, F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('""')), F.lit('"'))))
+    cell = lambda name: F.get("cells", F.array_position("names", name).cast("int") - 1)
+    return found.records.join(found.headers.select("file", "delimiter", "names"), "file").select("delimiter", cell("id").alias("id"), cell("no\nte").alias("note"), cell("v").alias("v"))
+
+
+@query("a08_quoted_breaks", f"""SELECT delimiter AS source, count(*) AS n, sum(event_id % 1000 / 1000) AS v FROM (SELECT *, {SEPARATOR_SQL} AS delimiter FROM events) GROUP BY 1""", "v")
+def _(t):
+    value = F.concat(F.lit("0."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"))
+    rows = A.strict_csv(t.spark, quoted_files(t, value), ["v"], sep=None).rows
+    source = F.element_at(F.create_map(*[F.lit(x) for p in SEPARATORS.items() for x in p]), source_name())
+    return rows.groupBy(source.alias("source")).agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+
+
 @query("a10_chosen_table", "SELECT n_regionkey, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def _(t):
     name = "picked_" + scratch_dir(t.spark, "t").rsplit("-", 1)[-1]

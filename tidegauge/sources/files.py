@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,9 @@ from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols
 from tidegauge.operators.columns import check_headers
 from tidegauge.operators.dedup import require_split
+from tidegauge.sources.records import by_delimiter, read_records, sniff_delimiters
 
 FORMATS = ("csv", "parquet", "json")
-DELIMITERS = (",", ";", "\t", "|")
-SNIFF_BYTES = 8192
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,19 +61,6 @@ def has_title_row(spark: SparkSession, path: str) -> bool:
     return len(lines) == 2 and lines[0].strip().count(",") < lines[1].strip().count(",")
 
 
-def sniff_delimiters(spark: SparkSession, paths) -> DataFrame:
-    """file, delimiter: the candidate with the same non-zero count on each line of the first 8 KiB, else a comma."""
-    lines = numbered_lines(spark, paths).filter((F.col("line") <= SNIFF_BYTES) & (F.trim("text") != ""))
-    size = F.sum(F.length("text") + 1).over(W.partitionBy("file").orderBy("line"))
-    lines = lines.withColumn("_size", size).filter((F.col("_size") <= SNIFF_BYTES) | (F.col("line") == 1))
-    counts = [(F.length("text") - F.length(F.replace("text", F.lit(d)))).alias(f"_{i}") for i, d in enumerate(DELIMITERS)]
-    per = lines.select("file", *counts).groupBy("file").agg(*[F.struct(F.min(f"_{i}").alias("lo"), F.max(f"_{i}").alias("hi")).alias(f"_{i}")
-                                                              for i in range(len(DELIMITERS))])
-    choices = F.array(*[F.when((F.col(f"_{i}.lo") == F.col(f"_{i}.hi")) & (F.col(f"_{i}.lo") > 0), F.lit(d)) for i, d in enumerate(DELIMITERS)])
-    found = F.filter(choices, lambda c: c.isNotNull())
-    return per.select("file", F.when(F.size(found) > 0, F.element_at(found, 1)).otherwise(F.lit(",")).alias("delimiter"))
-
-
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return sniff_delimiters(spark, path).first()["delimiter"]
 
@@ -110,7 +97,7 @@ def _titled_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     if header["first"] != header["last"]:
         raise ValueError(f"Files of one dataset have different headers: {header['first']!r} and {header['last']!r}")
     sep = options.pop("sep", ",")
-    names = [n.strip().strip('"') for n in header["first"].split(sep)]
+    names = [n.strip() for n in next(csv.reader([header["first"]], delimiter=sep))]
     check_headers(names)
     schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
     record = F.from_csv(F.rtrim(F.col("text"), F.lit("\r")), schema, {"sep": sep, **{k: str(v) for k, v in options.items()}})
@@ -154,25 +141,68 @@ def _field_pattern(sep: str) -> tuple[str, str]:
     return s, rf'"(?:[^"]++|"")*+"|[^{s}]*+'
 
 
-def csv_cells(text: Column, sep: str = ",") -> Column:
-    """Cells of one CSV line of any width: unquoted, doubled quotes undone, empty cells kept."""
-    s, field = _field_pattern(sep)
-    found = F.regexp_extract_all(F.concat(F.lit(sep), text), F.lit(f"{s}({field})"), F.lit(1))
+def csv_cells(text: Column, sep: Column | str = ",") -> Column:
+    """Cells of one CSV record of any width: unquoted, doubled quotes undone, empty cells kept. The delimiter may differ by row."""
+    def found(d: str) -> Column:
+        s, field = _field_pattern(d)
+        return F.regexp_extract_all(F.concat(F.lit(d), text), F.lit(f"{s}({field})"), F.lit(1))
 
     def bare(c: Column) -> Column:
         inner = F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
         return F.when(c.startswith('"') & (F.length(c) > 1), inner).otherwise(c)
 
-    return F.transform(found, bare)
+    return F.transform(by_delimiter(sep, found), bare)
 
 
 def well_quoted(text: Column, sep: str = ",") -> Column:
-    """Every cell is either free of a leading quote or quoted to its end."""
+    """Every cell of a one-line record is either free of a leading quote or quoted to its end."""
     s, _ = _field_pattern(sep)
     cell = rf'(?:"(?:[^"]++|"")*+"|(?:[^"{s}][^{s}]*+)?)'
     return text.rlike(rf"^{cell}(?:{s}{cell})*+$")
 
 
+@dataclass
+class DelimitedFiles:
+    """Tables of one delimited read: header and delimiter per file, cells per record with its line, and what is wrong with which line."""
+
+    headers: DataFrame
+    records: DataFrame
+    issues: DataFrame
+
+
+def read_delimited(spark: SparkSession, paths, sep: str | None = None) -> DelimitedFiles:
+    """Files of any header and width, each read with the delimiter that its first lines show, or with `sep`.
+
+    `headers`: file, delimiter, names (trimmed), width. `records`: file, line (the record's last), cells, as many as the header has names.
+    `issues`: file, line, kind, feature-free, of records that are not UTF-8, have broken quoting or another width. A blank line is a record of
+    another width, as in the strict reader. Files without a line are left out.
+    """
+    records = read_records(spark, paths, sep)
+    cells = csv_cells(F.col("text"), F.col("delimiter") if sep is None else sep)
+    headers = records.filter("first_line = 1").select("file", "delimiter", F.transform(cells, lambda c: F.trim(c)).alias("names"))
+    headers = headers.withColumn("width", F.size("names"))
+    body = records.filter("first_line > 1").withColumn("cells", cells).join(headers.select("file", "width"), "file")
+    kind = F.when(~F.col("utf8"), F.lit("invalid_utf8")).when(F.col("broken"), F.lit("bad_quote")).when((F.col("text") == "") | (F.size("cells") != F.col("width")), F.lit("width"))
+    body = body.withColumn("kind", kind)
+    first = records.filter("first_line = 1 AND (broken OR NOT utf8)").select("file", "line", F.when(F.col("broken"), F.lit("bad_quote")).otherwise(F.lit("invalid_utf8")).alias("kind"))
+    return DelimitedFiles(headers, body.filter("kind IS NULL").select("file", "line", "cells"), body.filter("kind IS NOT NULL").select("file", "line", "kind").unionAll(first))
+
+
+def load_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """One table of text columns from files with the same header, whatever the delimiter of each; a wrong record fails the load and names its line."""
+    found = read_delimited(spark, path, sep)
+    heads = found.headers.agg(F.min("names").alias("first"), F.max("names").alias("last"), F.min("file").alias("file")).first()
+    if heads["first"] is None:
+        raise ValueError(f"There is no line in {path}")
+    if heads["first"] != heads["last"]:
+        raise ValueError(f"Files of one dataset have different headers: {heads['first']} and {heads['last']}")
+    check_headers(heads["first"])
+    wrong = found.issues.agg(F.min(F.struct("file", "line", "kind")).alias("w")).first()["w"]
+    if wrong is not None:
+        raise ValueError(f"Line {wrong['line']} of {wrong['file']}: {wrong['kind']}")
+    return found.records.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(heads["first"])])
+
+
 @dataclass
 class StrictFiles:
     """Tables of one strict read: verdict per file, issues per line and cell, accepted rows."""
@@ -182,26 +212,25 @@ class StrictFiles:
     rows: DataFrame
 
 
-def strict_csv(spark: SparkSession, paths, features, sep: str = ",", low: float = 0.0, high: float = 1.0,
+def strict_csv(spark: SparkSession, paths, features, sep: str | None = ",", low: float = 0.0, high: float = 1.0,
                max_columns: int | None = None, max_header: int | None = None, max_rows: int | None = None) -> StrictFiles:
     """Read sensor columns from CSV files, each file accepted or rejected as a whole.
 
     Headers are trimmed and located by name in each file, so column order and extra
-    columns do not matter. A file is rejected for a blank, repeated, missing or
-    oversized header, for invalid UTF-8, broken quoting, a record of the wrong width
-    (a blank line included), and for any cell that is not a finite number in range.
-    One bad file leaves the others untouched.
+    columns do not matter. A quoted cell may hold line breaks; a record's line is its
+    last one. Without `sep` each file has the delimiter that its first lines show. A file
+    is rejected for a blank, repeated, missing or oversized header, for invalid UTF-8,
+    broken quoting, a record of the wrong width (a blank line included), and for any
+    cell that is not a finite number in range. One bad file leaves the others untouched.
     """
     features = list(features)
     # Validity is read off the raw bytes: any string function would already have replaced bad ones.
-    lines = numbered_lines(spark, paths).withColumn("_utf8", F.is_valid_utf8("text"))
-    lines = lines.withColumn("text", F.regexp_replace("text", "\r$", ""))
-    lines = lines.withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")))
-    heads = lines.filter("line = 1")
-    cells = csv_cells(F.col("text"), sep)
+    lines = read_records(spark, paths, sep)
+    heads = lines.filter("first_line = 1")
+    cells = csv_cells(F.col("text"), F.col("delimiter") if sep is None else sep)
 
     names = F.transform(cells, lambda c: F.trim(c))
-    header = heads.select("file", names.alias("names"), cells.alias("original"))
+    header = heads.select("file", "broken", names.alias("names"), cells.alias("original"))
     spots = F.array(*[F.array_position("names", f) for f in features])
     counted = F.size(F.array_distinct("names"))
     absent = F.array(*[F.when(~F.array_contains("names", f), F.lit(f)) for f in features])
@@ -212,7 +241,7 @@ def strict_csv(spark: SparkSession, paths, features, sep: str = ",", low: float
         oversize = oversize | F.exists("names", lambda n: F.length(n) > max_header)
     header = header.select(
         "file", "names", F.size("names").alias("_width"), spots.alias("_spots"),
-        F.when(oversize, F.lit("header_limit")).when(F.exists("names", lambda n: n == ""), F.lit("blank_header"))
+        F.when(F.col("broken"), F.lit("bad_quote")).when(oversize, F.lit("header_limit")).when(F.exists("names", lambda n: n == ""), F.lit("blank_header"))
         .when(counted < F.size("names"), F.lit("duplicate_header"))
         .when(F.size(F.filter(absent, lambda a: a.isNotNull())) > 0, F.lit("missing_feature")).alias("header_problem"),
         F.filter(absent, lambda a: a.isNotNull()).alias("missing_features"),
@@ -222,12 +251,12 @@ def strict_csv(spark: SparkSession, paths, features, sep: str = ",", low: float
 
     # One header row per file. No hint: Spark broadcasts it when small, and otherwise splits
     # a file that holds most of the lines by its skew-join rule.
-    body = lines.filter("line > 1").join(header.select("file", "_width", "_spots"), "file")
+    body = lines.filter("first_line > 1").join(header.select("file", "_width", "_spots"), "file")
     # The one-element explode keeps the optimizer from repeating the parse for every use of a cell.
     body = body.withColumn("_cells", F.explode(F.array(cells)))
     values = [F.when(F.col("_spots")[i] > 0, F.get(F.col("_cells"), (F.col("_spots")[i] - 1).cast("int"))).alias(f)
               for i, f in enumerate(features)]
-    shape = (F.when(~F.col("_utf8"), F.lit("invalid_utf8")).when(~well_quoted(F.col("text"), sep), F.lit("bad_quote"))
+    shape = (F.when(~F.col("utf8"), F.lit("invalid_utf8")).when(F.col("broken"), F.lit("bad_quote"))
              .when((F.col("text") == "") | (F.size("_cells") != F.col("_width")), F.lit("width")))
     body = body.select("file", "line", shape.alias("_shape"), *values)
     kinds = F.array(*[F.struct(F.lit(f).alias("feature"), X.cell_kind(col(f), low, high).alias("kind")) for f in features])
