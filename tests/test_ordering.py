@@ -59,7 +59,7 @@ def test_values_at_ranks_keep_the_integer_type(frame):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_prefix_sums(keyed, path, descending):
+def test_prefix_sums(keyed, descending):
     tally = keyed.filter("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
     got = O.prefix_sums(tally, ["k"], "v", ["n"], descending).collect()
     for k, vs in samples().items():
@@ -87,7 +87,7 @@ def test_number_by_hash_of_a_hot_class(frame):
 
 
 @pytest.mark.parametrize("n,size", [(10, 0.2), (60, 0.2), (101, 0.35)])
-def test_split_with_a_day_that_holds_most_rows(frame, path, n, size):
+def test_split_with_a_day_that_holds_most_rows(frame, n, size):
     day = dt.date(2024, 5, 1)
     rows = [(day + dt.timedelta(days=(i % 5) if i % 3 == 0 else 2), (i * 37) % n, i) for i in range(n)]
     df = frame(rows, "d date, a int, b int")
@@ -130,7 +130,7 @@ def test_split_filters_reach_the_scan(spark, tmp_path):
 
 
 @pytest.mark.parametrize("values,want", [([1, 2, 3, 3, 5], 0), ([5, 4, 3], 2), ([1, 3, 2, 4, 1], 2), ([7], 0)])
-def test_count_descents(frame, path, values, want):
+def test_count_descents(frame, values, want):
     df = frame([(i * 10, v) for i, v in enumerate(values)], "o int, v int")
     assert O.count_descents(df, "o", "v").first()["descents"] == want
 
@@ -155,3 +155,34 @@ def test_null_order_values_and_null_keys_stay(frame):
     tally = df.groupBy("k", "o").agg(F.count("*").alias("n"))
     below = {(r["k"], r["o"]): r["below_n"] for r in O.prefix_sums(tally, ["k"], "o", ["n"]).collect()}
     assert len(below) == tally.count() and below[None, None] == 0 and below[None, 4] == 5
+
+
+def test_no_range_holds_a_run_of_ties(spark):
+    """Nine of ten rows share the first order value, and a third of all rows are equal throughout."""
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 10 = 0 THEN id ELSE 7 END AS t", "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS u", "id % 11 AS v", "id")
+    rows = rows.withColumn("id", F.expr("CASE WHEN t = 7 AND u = -1 THEN 0 ELSE id END"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows make one range
+    ranges = O.in_ranges(rows.repartition(8), ["t", "u"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in ranges.groupBy("_p").count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 2.5 * 30_000 / spark.sparkContext.defaultParallelism
+    got = sorted((r["obs"], r["t"], r["u"]) for r in O.number_rows(rows, ["t", "u"]).collect())
+    assert [o for o, *_ in got] == list(range(1, 30_001)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+
+
+def test_prefix_sums_and_descents_of_a_dense_key(spark):
+    """One key with most rows, whose values lie close together around one number."""
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 10 = 0 THEN id % 7 ELSE 3 END AS k", "1 + id * 1e-14 AS v", "id % 5 AS n", "id")
+    got = O.prefix_sums(rows, ["k"], "v", ["n"]).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r["id"]):
+        assert r["below_n"] == seen.get(r["k"], 0)
+        seen[r["k"]] = seen.get(r["k"], 0) + r["n"]
+    assert len(got) == 20_000
+    assert O.count_descents(rows, "id", "n").first()["descents"] == 3_999
+
+
+def test_numbering_an_empty_table(spark):
+    none = spark.range(0).selectExpr("id", "id AS v")
+    assert O.number_rows(none, "id").count() == 0 and O.prefix_sums(none, [], "id", ["v"]).count() == 0
+    assert O.count_descents(none, "id", "v").first()["descents"] == 0

@@ -95,7 +95,7 @@ def test_strict_reader_takes_quoted_breaks_and_sniffs(spark, tmp_path):
 
 def test_records_that_never_close_are_not_put_together(spark, tmp_path, small_blocks):
     path = write(tmp_path, "a.csv", "a,b\n1,2\n" + '3,"open\n' + "x,y\n" * 500)
-    found = {r.first_line: (r.line, r.text, r.broken) for r in read_records(spark, path, longest=100).collect()}
+    found = {r.first_line: (r.line, r.text, r.broken) for r in read_records(spark, longest=100).collect()}
     assert found == {1: (1, "a,b", False), 2: (2, "1,2", False), 3: (503, None, True)}
     with pytest.raises(ValueError, match="Line 503 of .*bad_quote"):
         A.load_delimited(spark, write(tmp_path, "b.csv", "a,b\n1,2\n" + '3,"open\n' + "x,y\n" * 500))

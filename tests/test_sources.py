@@ -100,7 +100,7 @@ def test_sniff_falls_back_to_comma(spark, tmp_path):
 ])
 def test_strict_matrix(spark, tmp_path, content, reason, line, feature):
     path = write(tmp_path, "f.csv", content)
-    r = A.strict_csv(spark, path, ["a", "b"], max_header=128, max_rows=4)
+    r = A.strict_csv(spark, ["a", "b"], max_header=128, max_rows=4)
     v = r.verdict.first()
     assert (v["accepted"], v["reason"], v["first_line"], v["first_feature"]) == (reason is None, reason, line, feature)
     assert (r.rows.count() > 0) == (reason is None)
@@ -183,10 +183,10 @@ def test_saved_model_checks(spark, tmp_path, candidate):
     model = M.fit(candidate, df, ["a", "b"], "y", range(4))
     path = str(tmp_path / "model")
     B.save_model(model, path, df.agg(F.count("*").alias("rows")), df, lambda rows, m: M.probabilities(rows, m, range(4)))
-    B.load_model(spark, path, ["a", "b"], range(4))
+    B.load_model(spark, ["a", "b"], range(4))
     for features, codes, message in ((["b", "a"], range(4), "feature order"), (["a", "b"], range(3), "classes")):
         with pytest.raises(ValueError, match=message):
-            B.load_model(spark, path, features, codes)
+            B.load_model(spark, features, codes)
     with pytest.raises(FileNotFoundError):
         B.load_model(spark, str(tmp_path / "nothing"), ["a"], range(4))
 

@@ -1,6 +1,6 @@
 """Exact order statistics, prefix sums and row numbers without a global sort task.
 
-The building block is a pair of cells computed from the value alone:
+Ranks are found with a pair of cells computed from the value alone:
 
 * the outer cell is logarithmic, CELLS_PER_OCTAVE cells for each doubling, so
   any double lands in one of a few thousand cells whatever its scale;
@@ -10,6 +10,9 @@ Both are monotone in the value and depend only on exact aggregates, so a task
 that is recomputed after an executor loss gets the same cells. Tables with one
 row per cell are small, whatever the row count, and only those are windowed
 over a whole key; rows are never gathered per key.
+
+Numbers, prefix sums and neighbours come from sorted ranges with sampled bounds
+over all order columns, see in_ranges().
 """
 
 from __future__ import annotations
@@ -136,42 +139,37 @@ def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
     return found.select(*cols(keys), "n", F.array(*[level(p) for p in probs]).alias("q"))
 
 
+def in_ranges(df: DataFrame, order_by) -> DataFrame:
+    """The rows as a written table, dealt into sorted ranges: _p numbers the ranges in order, _i the rows of a range from 0.
+
+    The ranges' bounds are sampled over all order columns together, with a row's own place as the last one. So a run of ties, even of
+    rows that are equal throughout, is spread over as many ranges as its size asks for.
+    """
+    by = [c if isinstance(c, Column) else col(c) for c in order_by] + [F.col("_salt")]
+    rows = df.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_salt")
+    rows = rows.withColumn("_p", F.spark_partition_id())
+    return cut_lineage(rows.withColumn("_i", F.monotonically_increasing_id() - F.col("_p") * F.lit(1 << 33)))
+
+
 def prefix_sums(df: DataFrame, keys, order: str, measures, descending: bool = False) -> DataFrame:
     """Adds below_<m>: the sum of m over the key's rows that come strictly earlier.
 
-    The frame must hold one row per (key, order value); group it first.
+    The frame must hold one row per (key, order value); group it first. A key that holds most rows lies in many ranges, whose
+    sums (one row per range and key) give each range its start.
     """
-    data = df.withColumn("_v", -col(order).cast("double") if descending else col(order).cast("double"))
-    data = data.withColumn("_c", outer_cell(F.col("_v")))
-    sums = [F.sum(col(m)).alias(f"_s_{m}") for m in measures]
-    t1 = data.groupBy(*cols(keys), "_c").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *sums)
-    t1 = t1.select(*cols(keys), "_c", "_lo", "_hi",
-                   *[_before(F.col(f"_s_{m}"), keys, ["_c"]).alias(f"_o_{m}") for m in measures])
-    data = same_cell(data, t1, [*keys, "_c"])
-    data = data.withColumn("_d", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    t2 = data.groupBy(*cols(keys), "_c", "_d").agg(*sums)
-    t2 = t2.select(*cols(keys), "_c", "_d",
-                   *[_before(F.col(f"_s_{m}"), [*keys, "_c"], ["_d"]).alias(f"_i_{m}") for m in measures])
-    data = same_cell(data, t2, [*keys, "_c", "_d"])
-    here = [*keys, "_c", "_d"]
-    return data.select(
-        *cols(df.columns),
-        *[(F.col(f"_o_{m}") + F.col(f"_i_{m}") + _before(col(m), here, ["_v"])).alias(f"below_{m}") for m in measures],
-    )
+    rows = in_ranges(df, [*keys, col(order).desc() if descending else col(order)])
+    starts = rows.groupBy("_p", *cols(keys)).agg(*[F.sum(col(m)).alias(f"_s_{m}") for m in measures])
+    starts = starts.select("_p", *cols(keys), *[_before(F.col(f"_s_{m}"), keys, ["_p"]).alias(f"_o_{m}") for m in measures])
+    here = ["_p", *keys]
+    return same_cell(rows, starts, here).select(*cols(df.columns), *[(F.col(f"_o_{m}") + _before(col(m), here, ["_i"])).alias(f"below_{m}") for m in measures])
 
 
 def number_rows(df: DataFrame, order_by, out: str = "obs") -> DataFrame:
-    """1-based row numbers by `order_by`, whose first column should be (nearly) unique."""
-    order_by = [order_by] if isinstance(order_by, str) else list(order_by)
-    data = df.withColumn("_v", as_number(df, order_by[0])).withColumn("_c", outer_cell(F.col("_v")))
-    t1 = data.groupBy("_c").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    t1 = t1.select("_c", "_lo", "_hi", _before(F.col("_n"), [], ["_c"]).alias("_o"))
-    data = data.join(t1, "_c").withColumn("_d", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    t2 = data.groupBy("_c", "_d").agg(F.count("*").alias("_n"))
-    t2 = t2.select("_c", "_d", _before(F.col("_n"), ["_c"], ["_d"]).alias("_i"))
-    data = data.join(t2, ["_c", "_d"])
-    here = F.row_number().over(W.partitionBy("_c", "_d").orderBy(*cols(order_by)))
-    return data.select(*cols(df.columns), (F.col("_o") + F.col("_i") + here).cast("bigint").alias(out))
+    """1-based row numbers by `order_by`; ties are numbered in no particular order."""
+    rows = in_ranges(df, [order_by] if isinstance(order_by, str) else order_by)
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", _before(F.col("_n"), [], ["_p"]).alias("_o"))
+    # One row per range, so Spark sends it to the rows.
+    return rows.join(sizes, "_p").select(*cols(df.columns), (F.col("_o") + F.col("_i") + 1).cast("bigint").alias(out))
 
 
 def number_by_hash(df: DataFrame, keys, hashed: str, out: str, digits: int = 3) -> DataFrame:
@@ -228,22 +226,15 @@ def at_or_after(df: DataFrame, marks) -> Column:
 def count_descents(df: DataFrame, order: str, value: str) -> DataFrame:
     """One row: descents = how often `value` falls from one row to the next in `order`.
 
-    Neighbours inside a cell are compared by one task per cell. A cell then counts as
-    one step from its first to its last value, first among the cells of an outer
-    cell and at the end among the outer cells.
+    Neighbours are compared inside sorted ranges, of which no run of ties makes one large. A range then counts as one step from
+    its first to its last value.
     """
-    data = df.select(as_number(df, order).alias("_o"), col(value).alias("_v"))
-    falls = F.count_if(F.col("_first") < F.col("_p"))
-
     def fold(steps: DataFrame, within, by: str) -> DataFrame:
         w = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
-        steps = steps.withColumn("_p", F.lag("_last").over(w.orderBy(by)))
-        return steps.groupBy(*within).agg((F.coalesce(F.sum("_n"), F.lit(0)) + falls).alias("_n"),
-                                          F.min_by("_first", by).alias("_first"), F.max_by("_last", by).alias("_last"))
-
-    rows = data.select("_o", F.lit(0).alias("_n"), F.col("_v").alias("_first"), F.col("_v").alias("_last"))
-    rows = rows.withColumn("_c", outer_cell(F.col("_o")))
-    spans = data.groupBy(outer_cell(F.col("_o")).alias("_c")).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-    rows = rows.join(spans, "_c").withColumn("_d", inner_cell(F.col("_o"), F.col("_lo"), F.col("_hi")))
-    rows = fold(fold(rows, ["_c", "_d"], "_o"), ["_c"], "_d").withColumnRenamed("_c", "_o")
-    return fold(rows, [], "_o").select(F.coalesce("_n", F.lit(0)).cast("bigint").alias("descents"))
+        steps = steps.withColumn("_before", F.lag("_last").over(w.orderBy(by)))
+        falls = F.count_if(F.col("_first") < F.col("_before"))
+        return steps.groupBy(*within).agg((F.coalesce(F.sum("_n"), F.lit(0)) + falls).alias("_n"), F.min_by("_first", by).alias("_first"), F.max_by("_last", by).alias("_last"))
+
+    rows = in_ranges(df.select(col(order).alias("_o"), col(value).alias("_v")), ["_o"])
+    rows = rows.select("_p", "_i", F.lit(0).alias("_n"), F.col("_v").alias("_first"), F.col("_v").alias("_last"))
+    return fold(fold(rows, ["_p"], "_i"), [], "_p").select(F.coalesce("_n", F.lit(0)).cast("bigint").alias("descents"))
