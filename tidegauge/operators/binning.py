@@ -13,7 +13,7 @@ from tidegauge.functions import expr as X
 from tidegauge.functions.expr import col, cols, to_long
 from tidegauge.functions.frames import attach, grid
 from tidegauge.functions.ordering import quantiles
-from tidegauge.operators.distribution import feature_pairs
+from tidegauge.functions.pairs import pair_counts
 
 MIN_CELL = 100
 
@@ -110,10 +110,11 @@ def class_distribution(df: DataFrame, label: str, codes, partition: str, names:
     return out.select("part", "class", *named, n.alias("n"), X.ratio0(n, F.col("_t")).alias("share"))
 
 
-def _pair_cells(df: DataFrame, edges, keep, agg) -> DataFrame:
-    binned = assign_bins(df.select(*cols(edges), *cols(keep)), edges)
-    # Every pair counts on a handful of cells, combined inside each input task.
-    return feature_pairs(binned, list(edges), keep).groupBy("feature_a", "feature_b", "a", "b").agg(*agg)
+def _pair_cells(df: DataFrame, edges, group: Column, measure: Column | None = None) -> DataFrame:
+    """feature_a, feature_b, a, b, grp, n, total of every occupied cell; rows with a null in a feature, or a null group, take no part."""
+    binned = assign_bins(df.select(group.alias("_grp"), *([measure.alias("_y")] if measure is not None else []), *cols(edges)), edges).filter("_grp IS NOT NULL")
+    found = pair_counts(binned, list(edges), "_grp", max(map(len, edges.values())), "_y" if measure is not None else None)
+    return found.withColumnRenamed("_grp", "grp")
 
 
 def pair_rate_deviation(df: DataFrame, edges, target: str, partition: str, min_cell: int = MIN_CELL) -> DataFrame:
@@ -125,8 +126,10 @@ def pair_rate_deviation(df: DataFrame, edges, target: str, partition: str, min_c
     """
     y = col(target).cast("double")
     parts = {p: F.when(col(partition) == p, y) for p in ("train", "test")}
-    cells = _pair_cells(df, edges, [target, partition],
-                        [e for p, v in parts.items() for e in (F.count(v).alias(f"{p}_n"), F.avg(v).alias(f"{p}_rate"))])
+    counted = _pair_cells(df, edges, F.when(col(partition).isin("train", "test"), col(partition)), y)
+    of = lambda p, name: F.sum(F.when(F.col("grp") == p, F.col(name)))
+    cells = counted.groupBy("feature_a", "feature_b", "a", "b").agg(
+        *[e for p in parts for e in (F.coalesce(of(p, "n"), F.lit(0)).alias(f"{p}_n"), F.try_divide(of(p, "total"), of(p, "n")).alias(f"{p}_rate"))])
     base = df.agg(*[F.avg(v).alias(f"{p}_base") for p, v in parts.items()])
     cells = attach(cells, base)
 
@@ -148,9 +151,14 @@ def pair_class_pattern(df: DataFrame, edges, label: str, codes, partition: str,
     the cells that are large enough in both parts.
     """
     codes = list(codes)
-    counts = [F.count_if((col(partition) == p) & (col(label) == c)).alias(f"{p}_{c}") for p in ("train", "test") for c in codes]
-    totals = [F.count_if(col(partition) == p).alias(f"{p}_n") for p in ("train", "test")]
-    cells = _pair_cells(df, edges, [label, partition], [*totals, *counts])
+    # One number for part and class; labels without a code count in the totals only.
+    place = sum((F.when(col(label) == c, i + 1).otherwise(0) for i, c in enumerate(codes)), F.lit(0))
+    step = len(codes) + 1
+    grp = F.when(col(partition) == "train", F.coalesce(place, F.lit(0))).when(col(partition) == "test", F.coalesce(place, F.lit(0)) + step)
+    n = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    counts = [n(F.col("grp") == k * step + i + 1).alias(f"{p}_{c}") for k, p in enumerate(("train", "test")) for i, c in enumerate(codes)]
+    totals = [n(F.col("grp").between(k * step, k * step + step - 1)).alias(f"{p}_n") for k, p in enumerate(("train", "test"))]
+    cells = _pair_cells(df, edges, grp.cast("int")).groupBy("feature_a", "feature_b", "a", "b").agg(*totals, *counts)
     prior = df.agg(*[F.avg(F.when(col(partition) == p, (col(label) == c).cast("double"))).alias(f"{p}_prior_{c}")
                      for p in ("train", "test") for c in codes])
     cells = attach(cells, prior)

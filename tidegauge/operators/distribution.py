@@ -5,17 +5,15 @@ Tables are long: one row per (group, feature[, bin]). `grp` is `all` or a class
 
 from __future__ import annotations
 
-from itertools import combinations, combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions import expr as X
+from tidegauge.functions import pairs
 from tidegauge.functions.expr import col, cols, to_long
 from tidegauge.functions.frames import attach, grid, with_groups, zero_fill
 from tidegauge.operators.profile import QUARTILES, summarize
-from tidegauge.session import spread
 
 BINS = 35
 REVIEW_DISTANCE = 0.25
@@ -99,26 +97,22 @@ def range_histogram(df: DataFrame, features, label: str | None = None, bins: int
     return out.select(*keys, "bin", edge(b).alias("low"), high.alias("high"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def feature_pairs(df: DataFrame, features, keep=(), diagonal: bool = False) -> DataFrame:
-    """keep, feature_a, feature_b, a, b: each row once per unordered feature pair.
+def correlation_matrix(df: DataFrame, features, label: str | None = None, min_pairs: int = 3) -> DataFrame:
+    """grp, feature_a, feature_b, r, n for the full matrix; r is null below min_pairs or for a constant.
 
-    The fan-out depends on the feature count only and is combined before any shuffle.
+    One scan finds each feature's mean, the second adds up the products of the distances from it, by class; `all` is the sum of the classes.
     """
-    choose = combinations_with_replacement if diagonal else combinations
-    pairs = [F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"), col(x).alias("a"), col(y).alias("b"))
-             for x, y in choose(features, 2)]
-    return spread(df.select(*cols(keep), *cols(features))).select(*cols(keep), F.inline(F.array(*pairs)))
-
-
-def correlation_matrix(df: DataFrame, features, label: str | None = None, min_pairs: int = 3) -> DataFrame:
-    """grp, feature_a, feature_b, r, n for the full matrix; r is null below min_pairs or for a constant."""
-    wide, _ = _grouped(df, features, label)
-    wide = wide.select("grp", *[X.finite(col(f).cast("double")).alias(f) for f in features])
-    pairs = feature_pairs(wide, features, ["grp"], diagonal=True)
-    a, b = F.col("a"), F.col("b")
-    half = pairs.groupBy("grp", "feature_a", "feature_b").agg(
-        X.pearson(a, b, min_pairs).alias("r"), F.count_if(a.isNotNull() & b.isNotNull()).alias("n"))
-    x, y = F.col("feature_a"), F.col("feature_b")
+    features = list(features)
+    grp = F.lit("all") if label is None else col(label).cast("string")
+    wide = df.select(grp.alias("grp"), *[X.finite(col(f).cast("double")).alias(f) for f in features])
+    means = wide.agg(*[F.coalesce(F.avg(col(f)), F.lit(0.0)).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    parts = pairs.pair_moments(wide.select("grp", *[(col(f) - F.lit(means[i])).alias(f) for i, f in enumerate(features)]), features, "grp")
+    if label is not None:
+        parts = with_groups(parts.withColumnRenamed("grp", "_class"), "_class")
+    names = F.array(*[F.lit(f) for f in features])
+    x, y = (F.element_at(names, F.col(i) + 1) for i in ("ia", "ib"))
+    half = pairs.added(parts, "grp").select("grp", x.alias("x"), y.alias("y"), pairs.correlation(min_pairs).alias("r"), F.col("n").cast("bigint").alias("n"))
+    x, y = F.col("x"), F.col("y")
     both = F.array_distinct(F.array(F.struct(x.alias("feature_a"), y.alias("feature_b")), F.struct(y.alias("feature_a"), x.alias("feature_b"))))
     return half.select("grp", F.inline(both), "r", "n")
 
@@ -144,9 +138,8 @@ def stratified_sample(df: DataFrame, label: str, key: str, n_classes: int, limit
 def joint_bins(df: DataFrame, features, label: str, bins: int = JOINT_BINS) -> DataFrame:
     """feature_a, feature_b, class, i, j, n for occupied cells of every feature pair."""
     cell = [F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(col(f) * bins))).cast("int").alias(f) for f in features]
-    pairs = feature_pairs(df.select(col(label).alias("class"), *cell), features, ["class"])
-    pairs = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return pairs.groupBy("feature_a", "feature_b", "class", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.count("*").alias("n"))
+    counts = pairs.pair_counts(df.select(col(label).alias("class"), *cell), features, "class", bins)
+    return counts.select("feature_a", "feature_b", "class", F.col("a").alias("i"), F.col("b").alias("j"), "n")
 
 
 def joint_marks(table: DataFrame, x: str, y: str, x_range, y_range, bins: int = JOINT_BINS) -> DataFrame:

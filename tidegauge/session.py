@@ -52,8 +52,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt evenly over all cores, before a step that makes many rows of each."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
