@@ -7,7 +7,8 @@ import pytest
 
 from tidegauge.llm.components import connected_components
 from tidegauge.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from tidegauge.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_set
+from tidegauge.llm import near_dedup
+from tidegauge.llm.near_dedup import common_shingles, drop_near_duplicates, links_within_families, near_duplicates, packed_texts, shingle_hashes, shingle_set
 from tidegauge.llm.suffix_dedup import repeated_substrings
 
 DOCS = "doc_id long, text string"
@@ -56,6 +57,30 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("together", [1, 7, 8192])
+def test_common_shingles_of_all_pairs(monkeypatch, together):
+    monkeypatch.setattr(near_dedup, "TOGETHER", together)
+    rnd = random.Random(together)
+    texts = [" ".join(rnd.choices("abcdefg", k=rnd.randrange(30))) for _ in range(40)]
+    got = common_shingles(*shingle_hashes(texts, 2), 15, 40)
+    sets = [shingle_set(t.encode(), 2) for t in texts]
+    assert got.tolist() == [[len(a & b) for b in sets[15:]] for a in sets[:15]]
+
+
+def test_families_keep_links_of_small_sets_at_the_line(spark):
+    """Sets of 5 and 4 shingles with 4 in common, all in one family: every link between different texts is found."""
+    texts = {}
+    for i in range(150):
+        words = [f"{c}{i}" for c in "abcdef"]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(words[:5])
+    texts[400] = "long " + " ".join(f"w{j}" for j in range(60_000))
+    texts[401] = " ".join(f"w{j}" for j in range(59_000))
+    df = spark.createDataFrame(list(texts.items()), DOCS)
+    mixed = spark.createDataFrame([(i, len(shingle_set(t.encode(), 2)), i, 0) for i, t in texts.items()], "rep long, n_shingles long, component long, centre long")
+    found = links_within_families(mixed, packed_texts(df, "doc_id", "text"), 2, 80).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in found} == {(2 * i, 2 * i + 1) for i in range(150)} | {(400, 401)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in connected_components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}

@@ -5,7 +5,7 @@ permutation deals a set's shingles over BINS bins and keeps each bin's least; an
 filled one in its own random order of bins. Bands of ROWS bins make buckets. A bucket links its members to its smallest id only, a
 star, so candidate pairs are fewer than bucket entries. Links are confirmed on the full sets, and components are found.
 Two members may resemble each other and not the centre of the star. So what buckets with several components hold together is compared
-block by block, inside tasks, and the links between different components join the rest.
+block by block, inside tasks: common shingles are counted for all pairs of two blocks, and the links between different components join the rest.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Sets and shingles of a block that meets others in one task.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
-#: Six standard deviations of the estimate at a similarity of 80 percent.
-SLACK = 0.21
+#: Common shingles of two blocks that are counted together.
+TOGETHER = 8192
 BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 #: For each bin the order in which it looks at the others; fixed by its seed.
 BORROW = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1)
@@ -145,6 +145,25 @@ def packed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_slices(texts(df, id_col, text_col), step, f"doc_id {kind}, packed binary")
 
 
+def common_shingles(text: np.ndarray, code: np.ndarray, left: int, count: int) -> np.ndarray:
+    """How many hashed shingles each of the first `left` texts has in common with each of the others, from distinct (text, hash)."""
+    first = text < left
+    shared = np.intersect1d(code[first], code[~first])
+    place = np.searchsorted(shared, code)
+    held = place < len(shared)
+    held[held] = shared[place[held]] == code[held]
+    out = np.zeros((left, count - left), np.int64)
+    text, place = text[held], place[held]
+    order = np.argsort(place, kind="stable")
+    text, place = text[order], place[order]
+    for start in range(0, len(shared), TOGETHER):
+        a, b = np.searchsorted(place, [start, start + TOGETHER])
+        has = np.zeros((count, min(TOGETHER, len(shared) - start)), np.float32)
+        has[text[a:b], place[a:b] - start] = 1
+        out += (has[:left] @ has[left:].T).astype(np.int64)
+    return out
+
+
 def links_within_families(mixed: DataFrame, packed: DataFrame, k: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between rows (rep, n_shingles, component, centre) that a chain of buckets holds together.
 
@@ -181,25 +200,21 @@ def links_within_families(mixed: DataFrame, packed: DataFrame, k: int, percent:
                 # A block that meets itself is listed twice; a pair of one id is in one component and falls out.
                 raw = [unpack(x.as_py()) for x in raw]
                 n, (_, own) = n.to_numpy(zero_copy_only=False), np.unique(own.to_numpy(zero_copy_only=False), return_inverse=True)
-                values = one_permutation(*shingle_hashes([r.decode() for r in raw], k), len(raw))
-                values = (values & np.uint64(0xFFFF)).astype(np.uint16)
+                common = common_shingles(*shingle_hashes([r.decode() for r in raw], k), len(left), len(raw))
+                sizes = n[: len(left), None] + n[None, len(left) :]
                 sets: dict[int, frozenset] = {}
                 hits = []
-                for x in range(len(left)):
-                    y = np.arange(len(left), len(raw))
-                    y = y[(own[y] != own[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-                    # The share of equal bins estimates the similarity; far below the line nothing is lost.
-                    y = y[(values[y] == values[x]).sum(1) >= (percent / 100 - SLACK) * BINS]
-                    for z in y.tolist():
-                        if own[z] == own[x]:
-                            continue
-                        for j in (x, z):
-                            if j not in sets:
-                                sets[j] = shingle_set(raw[j], k)
-                        common = len(sets[x] & sets[z])
-                        if 100 * common >= percent * (len(sets[x]) + len(sets[z]) - common):
-                            hits.append((x, z))
-                            own[own == own[z]] = own[x]
+                for x, z in np.argwhere((100 * common >= percent * (sizes - common)) & (own[: len(left), None] != own[None, len(left) :])).tolist():
+                    z += len(left)
+                    if own[z] == own[x]:
+                        continue
+                    for j in (x, z):
+                        if j not in sets:
+                            sets[j] = shingle_set(raw[j], k)
+                    both = len(sets[x] & sets[z])
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[z]) - both):
+                        hits.append((x, z))
+                        own[own == own[z]] = own[x]
                 a, b = (pa.array([h[e] for h in hits], pa.int64()) for e in (0, 1))
                 yield pa.RecordBatch.from_pydict({"a": ids.take(a), "b": ids.take(b)})
 
