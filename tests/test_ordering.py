@@ -186,3 +186,22 @@ def test_numbering_an_empty_table(spark):
     none = spark.range(0).selectExpr("id", "id AS v")
     assert O.number_rows(none, "id").count() == 0 and O.prefix_sums(none, [], "id", ["v"]).count() == 0
     assert O.count_descents(none, "id", "v").first()["descents"] == 0
+
+
+@pytest.mark.parametrize("sampled, bracketed", [(40, 20), (40_000, 100_000)])
+def test_rows_at_ranks_with_long_runs_of_ties(spark, monkeypatch, sampled, bracketed):
+    """All rounds happen on few rows when the sample and the bracket are small."""
+    monkeypatch.setattr(O, "SAMPLED", sampled)
+    monkeypatch.setattr(O, "BRACKETED", bracketed)
+    rng = np.random.default_rng(11)
+    rows = [(float(a), int(b)) for a, b in zip(rng.choice([0.0, 1.0, 2.0, float("nan")], 3000, p=[0.9, 0.05, 0.04, 0.01]), rng.integers(0, 40, 3000))]
+    df = spark.createDataFrame(rows, "a double, b int")
+    order = sorted((O._in_order(r), r) for r in rows)
+    keys = [k for k, _ in order]
+    for rank in (2699, 2999, keys.index(O._in_order((1.0, min(b for a, b in rows if a == 1.0))))):
+        found, before = O.numbers_at_rank(df, ["a", "b"], rank)
+        assert O._in_order(found) == keys[rank] and before == keys.index(keys[rank])
+        alone, before = O.numbers_at_rank(df, ["a"], rank, 3000)
+        assert O._in_order(alone) == keys[rank][:1] and before == [k[:1] for k in keys].index(keys[rank][:1])
+    with pytest.raises(ValueError, match="no row 3000"):
+        O.numbers_at_rank(df, ["a"], 3000)

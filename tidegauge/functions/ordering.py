@@ -185,30 +185,74 @@ def number_by_hash(df: DataFrame, keys, hashed: str, out: str, digits: int = 3)
     return same_cell(data, t, [*keys, "_p"]).select(*cols(df.columns), (F.col("_o") + here).cast("bigint").alias(out))
 
 
-def value_at_rank(df: DataFrame, name: str, rank: int):
-    """The number (see as_number) found at a 0-based position of one sorted column."""
-    keyed = df.select(as_number(df, name).alias("_k"))
-    return values_at_ranks(keyed, [], "_k", lambda _: F.array(F.lit(rank).cast("bigint"))).first()["_value"]
+#: Rows that bracket a rank, and rows that are brought to the driver once a bracket is that small.
+SAMPLED, BRACKETED = 40_000, 100_000
+
+
+def _in_order(row) -> tuple:
+    """Sort key of a row of numbers as Spark orders them: nulls first, NaN last."""
+    return tuple((0, 0) if v is None else (2, 0) if v != v else (1, v) for v in row)
+
 
+def _compared(names, row) -> Column:
+    """-1, 0 or 1 where the columns come before a row of numbers, equal it or follow it."""
+    out = F.lit(0)
+    for n, v in reversed(list(zip(names, row))):
+        out = F.when(col(n) < F.lit(v), -1).when(col(n) > F.lit(v), 1).otherwise(out)
+    return out
 
-def row_at_rank(df: DataFrame, order_by, rank: int) -> list[tuple[str, object]]:
-    """Leading (column, number) pairs that mark where the 0-based rank starts.
 
-    Works column by column: the value of the first order column at the rank, then
-    the next column among its ties only, and stops as soon as the rank falls on
-    the first row of a tie run. Only scalars reach the driver.
+def numbers_at_rank(df: DataFrame, order_by, rank: int, total: int | None = None, seed: int = 7) -> tuple[tuple, int]:
+    """The numbers (see as_number) of all order columns at a 0-based rank of their common order, and how many rows come strictly before them.
+
+    A sample of bounded size puts a bracket around the rank; one aggregate over the rows counts what lies before, at and between its ends, so the
+    result is exact whatever the sample. Each round leaves about a fiftieth of the rows, until they are few or the rank is in a run of ties.
+    The order columns must not be null.
     """
-    current, marks = df, []
-    for name in order_by:
-        value = value_at_rank(current, name, rank)
-        key, at = order_pair(df, name, value)
-        earlier = current.filter(key < at).count()
-        marks.append((name, value))
-        rank -= earlier
-        if rank == 0:
-            return marks
-        current = current.filter(key == at)
-    raise ValueError(f"{list(order_by)} does not identify rows uniquely at the cut; add a tie-break column")
+    names = [f"_k{i}" for i in range(len(order_by))]
+    rows = df.select(*[as_number(df, n).alias(k) for n, k in zip(order_by, names)])
+    left, before = rows.count() if total is None else total, 0
+    if not 0 <= rank < left:
+        raise ValueError(f"there is no row {rank} among {left}")
+    while left > BRACKETED:
+        sample = sorted((tuple(r) for r in rows.sample(min(1.0, SAMPLED / left), seed).collect()), key=_in_order)
+        place = (rank - before) / left * len(sample)
+        slack = 4 * (place * max(0.0, 1 - (rank - before) / left)) ** 0.5 + 4
+        low = sample[int(place - slack)] if place >= slack and sample else None
+        high = sample[int(place + slack)] if place + slack < len(sample) else None
+        to_low = _compared(names, low) if low else F.lit(1)
+        to_high = _compared(names, high) if high else F.lit(-1)
+        tests = [to_low < 0, to_low <= 0, to_high < 0, to_high <= 0]
+        under, from_low, to, upto = rows.agg(*[F.count_if(t).alias(f"n{i}") for i, t in enumerate(tests)]).first()
+        place = rank - before
+        if under <= place < from_low:
+            return low, before + under
+        if to <= place < upto:
+            return high, before + to
+        # Strictly before, after or between the two, so that runs of ties drop out with each round.
+        if place < under:
+            rows, left = rows.filter(to_low < 0), under
+        elif place >= upto:
+            rows, left, before = rows.filter(to_high > 0), left - upto, before + upto
+        else:
+            rows, left, before = rows.filter((to_low > 0) & (to_high < 0)), to - from_low, before + from_low
+        seed += 1
+    few = sorted((tuple(r) for r in rows.collect()), key=_in_order)
+    found = few[rank - before]
+    return found, before + few.index(found)
+
+
+def value_at_rank(df: DataFrame, name: str, rank: int, total: int | None = None):
+    """The number (see as_number) found at a 0-based position of one sorted column."""
+    return numbers_at_rank(df, [name], rank, total)[0][0]
+
+
+def row_at_rank(df: DataFrame, order_by, rank: int, total: int | None = None) -> list[tuple[str, object]]:
+    """(column, number) pairs that mark where the 0-based rank starts; the row before the rank must differ in some order column."""
+    found, before = numbers_at_rank(df, order_by, rank, total)
+    if before < rank:
+        raise ValueError(f"{list(order_by)} does not identify rows uniquely at the cut; add a tie-break column")
+    return list(zip(order_by, found))
 
 
 def at_or_after(df: DataFrame, marks) -> Column:
