@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegauge.session import cut_lineage
+
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_BYTES = 8192
 #: Characters of a record that spans several lines; a longer one counts as a quote that was never closed.
@@ -199,7 +201,8 @@ def read_records(spark: SparkSession, paths, sep: str | None = ",", longest: int
     whose quote is never closed; so does a record of several lines with more than `longest` characters, whose text is null. After a broken line
     a new record begins.
     """
-    lines = numbered(spark, paths, sep).withColumn("text", F.regexp_replace("text", "\r$", ""))
+    # Written once: headers, records of one line and of several all read it.
+    lines = cut_lineage(numbered(spark, paths, sep)).withColumn("text", F.regexp_replace("text", "\r$", ""))
     lines = lines.withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")))
     alone = lines.filter("NOT inside AND NOT open").select("file", "line", F.col("line").alias("first_line"), "text", "delimiter", "utf8", "broken")
     parts = lines.filter("inside OR open").withColumn("size", F.length("text") + 1)
