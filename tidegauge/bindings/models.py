@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from tidegauge.bindings.association import PART_SQL, parted, train
 from tidegauge.bindings.common import (CELLS, CELL_ROWS_SQL, CLASSES, FAULT_NAMES, FEATURES, LINE_KEY, SENSOR_CLASSES, SENSORS,
-                                       cells, lines, sensors, sensors_sql)
+                                       cells, lines, sensors, sensors_sql, unpivot_sql)
 from tidegauge.bindings.distribution import dominant_sql
 from tidegauge.bindings.registry import query
 from tidegauge.bindings.sources import split_files
 from tidegauge.operators import evaluation as I
 from tidegauge.operators import modeling as M
 from tidegauge.operators import scoring as R
+from tidegauge.operators import trees as D
 from tidegauge.plans import workflows as W
 from tidegauge.session import scratch_dir
 from tidegauge.sources import sinks as B
@@ -90,15 +91,108 @@ def _(t):
     return metrics_of(t, BOOSTING)
 
 
-@query("m08_tree_rules")
+def purity_sql(names) -> str:
+    """Sum of squared counts over their total."""
+    return f"(({' + '.join(f'CAST({n} AS DOUBLE) * CAST({n} AS DOUBLE)' for n in names)}) / nullif({' + '.join(names)}, 0))"
+
+
+def cuts_sql(long: str, bins: int = D.BINS) -> str:
+    probs = ", ".join(str(i / bins) for i in range(bins + 1))
+    return f"""cuts AS MATERIALIZED (SELECT feature, list_sort(list_distinct(q))[2:] AS e, q[{bins // 2 + 1}] AS med
+      FROM (SELECT feature, quantile_cont(value, [{probs}]) AS q FROM {long} GROUP BY feature))"""
+
+
+BIN_SQL = "CAST(len(list_filter(e, lambda x: x <= coalesce(value, med))) AS INTEGER)"
+
+
+def gains_sql(source: str, name: str, node: str, k: int, leaf: int) -> str:
+    """CTE `name`: counts c<i> with running counts l<i>, node counts t<i>, and score and gain of a split after the bin."""
+    left, whole, right = ([f"{p}{i}" for i in range(k)] for p in "ltr")
+    sums = ", ".join(f"CAST(sum(c{i}) OVER (PARTITION BY {node} ORDER BY bin) AS BIGINT) AS l{i}, CAST(sum(c{i}) OVER (PARTITION BY {node}) AS BIGINT) AS t{i}" for i in range(k))
+    score = f"{purity_sql(left)} + {purity_sql(right)}"
+    return f"""{name}_w AS (SELECT *, {sums} FROM {source}), {name}_r AS (SELECT *, {', '.join(f't{i} - l{i} AS r{i}' for i in range(k))} FROM {name}_w),
+      {name}_s AS (SELECT *, {score} AS s, {score} - {purity_sql(whole)} AS g FROM {name}_r),
+      {name} AS MATERIALIZED (SELECT * EXCLUDE (s, g), CASE WHEN ok THEN s END AS score, CASE WHEN ok THEN g END AS gain
+        FROM (SELECT *, coalesce({' + '.join(left)} >= {leaf} AND {' + '.join(right)} >= {leaf} AND g > 0, false) AS ok FROM {name}_s))"""
+
+
+def first_largest(codes, names) -> str:
+    """The code with the largest count, the first on a tie."""
+    return "CASE " + " ".join(f"WHEN {n} = greatest({', '.join(names)}) THEN {c}" for c, n in zip(codes, names)) + " END"
+
+
+def univariate_trees_sql(source: str, features, codes, folds: int = 5, depth: int = 4, leaf: int = 10) -> str:
+    k, node = len(codes), "feature, fold, node"
+    keep = ", ".join(f"h{i}, c{i}" for i in range(k))
+    parts = [f"numbered AS (SELECT *, CAST((row_number() OVER (PARTITION BY cls ORDER BY md5(CAST(obs AS VARCHAR) || '42')) - 1) % {folds} AS INTEGER) AS fold FROM ({source}))",
+             f"cells AS ({unpivot_sql('SELECT * FROM numbered', features, 'cls, fold')})", cuts_sql("cells"),
+             f"binned_cells AS MATERIALIZED (SELECT feature, fold, cls, {BIN_SQL} AS bin, count(*) AS n FROM cells JOIN cuts USING (feature) GROUP BY ALL)",
+             "grown0 AS MATERIALIZED (SELECT feature, f.fold, bin, " + ", ".join(
+                 f"CAST(coalesce(sum(n) FILTER (b.fold = f.fold AND cls = {c}), 0) AS BIGINT) AS h{i}, CAST(coalesce(sum(n) FILTER (b.fold <> f.fold AND cls = {c}), 0) AS BIGINT) AS c{i}"
+                 for i, c in enumerate(codes)) + f", 1 AS node FROM binned_cells b, (SELECT unnest(range({folds})) AS fold) f GROUP BY feature, f.fold, bin)"]
+    for level in range(depth):
+        parts.append(gains_sql(f"grown{level}", f"gains{level}", node, k, leaf))
+        parts.append(f"""grown{level + 1} AS MATERIALIZED (SELECT feature, fold, bin, {keep}, CASE WHEN best IS NULL THEN node ELSE 2 * node + CAST(bin > best AS INTEGER) END AS node
+          FROM (SELECT *, first_value(CASE WHEN score IS NOT NULL THEN bin END) OVER (PARTITION BY {node} ORDER BY score DESC NULLS LAST, bin) AS best FROM gains{level}))""")
+    sums = ", ".join(f"sum(c{i}) OVER (PARTITION BY {node}) AS t{i}" for i in range(k))
+    scores = " + ".join(f"coalesce(2.0 * sum(h{i}) FILTER (guess = {c}) / nullif(sum(h{i}) + sum({' + '.join(f'h{j}' for j in range(k))}) FILTER (guess = {c}), 0), 0)"
+                        for i, c in enumerate(codes))
+    return f"""WITH {', '.join(parts)} SELECT feature, avg(f1) AS macro_f1 FROM (SELECT feature, fold, CAST(({scores}) AS DOUBLE) / {k} AS f1
+      FROM (SELECT *, {first_largest(codes, [f't{i}' for i in range(k)])} AS guess FROM (SELECT *, {sums} FROM grown{depth})) GROUP BY feature, fold) GROUP BY feature"""
+
+
+def tree_sql(source: str, features, codes, depth: int = 3, leaf: int = 10) -> str:
+    """All nodes of the tree over all features, as fit_tree(...).table gives them."""
+    k, size = len(codes), len(features)
+    ids = "CASE feature " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(features, 1)) + " END"
+    cut = lambda f: f"(SELECT CAST(len(list_filter(e, lambda x: x <= coalesce({f}, med))) AS INTEGER) FROM cuts WHERE feature = '{f}')"
+    counts = ", ".join(f"count(*) FILTER (cls = {c}) AS c{i}" for i, c in enumerate(codes))
+    parts = [f"cells AS ({unpivot_sql(source, features)})", cuts_sql("cells"),
+             f"rows0 AS MATERIALIZED (SELECT cls, [{', '.join(cut(f) for f in features)}] AS b, 1 AS node FROM ({source}))", "paths0 AS (SELECT 1 AS node, '' AS rule)"]
+    whole = f"SELECT node, rule, {', '.join(f't{i}' for i in range(k))}, feature, threshold, gain"
+    answer = []
+    for level in range(depth):
+        parts += [f"at{level} AS (SELECT node, p, b[p] AS bin, {counts} FROM rows{level}, (SELECT unnest(range(1, {size + 1})) AS p) WHERE node >= {2 ** level} GROUP BY ALL)",
+                  gains_sql(f"at{level}", f"gains{level}", "node, p", k, leaf),
+                  f"""best{level} AS MATERIALIZED (SELECT g.*, rule, CASE WHEN score IS NOT NULL THEN feature END AS feature, CASE WHEN score IS NOT NULL THEN e[bin + 1] END AS threshold
+                    FROM (SELECT * FROM gains{level} QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC NULLS LAST, p, bin) = 1) g
+                    JOIN paths{level} USING (node) JOIN (SELECT *, {ids} AS p FROM cuts) USING (p))""",
+                  f"""rows{level + 1} AS MATERIALIZED (SELECT cls, b, CASE WHEN score IS NULL THEN r.node ELSE 2 * r.node + CAST(b[p] > bin AS INTEGER) END AS node
+                    FROM rows{level} r LEFT JOIN best{level} USING (node))""",
+                  f"""paths{level + 1} AS (SELECT 2 * node + side AS node, concat_ws(' and ', nullif(rule, ''), feature || CASE side WHEN 1 THEN ' >= ' ELSE ' < ' END || format('{{:.6f}}', threshold)) AS rule
+                    FROM best{level}, (VALUES (0), (1)) AS s(side) WHERE score IS NOT NULL)"""]
+        answer.append(f"{whole} FROM best{level}")
+    last = ", ".join(f"count(*) FILTER (cls = {c}) AS t{i}" for i, c in enumerate(codes))
+    answer.append(f"{whole} FROM (SELECT node, any_value(rule) AS rule, {last}, NULL AS feature, CAST(NULL AS DOUBLE) AS threshold, CAST(NULL AS DOUBLE) AS gain FROM rows{depth} JOIN paths{depth} USING (node) GROUP BY node)")
+    names = [f"t{i}" for i in range(k)]
+    return f"""WITH {', '.join(parts)} SELECT CAST(node AS INTEGER) AS node, rule, CAST({' + '.join(names)} AS BIGINT) AS n, CAST({first_largest(codes, names)} AS INTEGER) AS predicted,
+      feature, threshold, gain FROM ({' UNION ALL '.join(answer)})"""
+
+
+TRAIN_SQL = f"SELECT * FROM ({PART_SQL}) WHERE part = 'train'"
+RULES_SQL = tree_sql(TRAIN_SQL, FEATURES, CLASSES)
+
+
+def rules_table(t):
+    return D.fit_tree(train(t), FEATURES, "cls", CLASSES).table(t.spark)
+
+
+@query("m08_tree_rules", RULES_SQL, "threshold gain")
 def _(t):
-    c = M.Candidate("rules", "tree", balanced=False, settings={"maxDepth": 3, "minInstancesPerNode": 10})
-    return M.tree_rules(M.fit(c, train(t), FEATURES, "cls", CLASSES), t.spark, FEATURES)
+    return rules_table(t)
 
 
-@query("m09_univariate_trees")
+@query("m08_rule_classes", f"SELECT predicted, count(*) AS leaves, CAST(sum(n) AS BIGINT) AS n FROM ({RULES_SQL}) WHERE feature IS NULL GROUP BY predicted")
 def _(t):
-    return M.univariate_tree_scores(sensors(t), SENSORS, "cls", "obs", SENSOR_CLASSES, folds=5)
+    """Rows by predicted class, found with the tree's column expression."""
+    tree = D.fit_tree(train(t), FEATURES, "cls", CLASSES)
+    placed = train(t).select(tree.place().alias("place"), tree.predict().alias("predicted"))
+    return placed.groupBy("predicted").agg(F.count_distinct("place").alias("leaves"), F.count("*").alias("n"))
+
+
+@query("m09_univariate_trees", univariate_trees_sql(sensors_sql(), SENSORS, SENSOR_CLASSES), "macro_f1")
+def _(t):
+    return D.univariate_tree_scores(sensors(t), SENSORS, "cls", "obs", SENSOR_CLASSES, folds=5)
 
 
 @query("m10_stratified_folds", """SELECT event_id, event_type, CAST((row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR) || '42'), event_id) - 1) % 5 AS INTEGER) AS fold FROM events""")
@@ -144,6 +238,12 @@ def _(t):
     return M.impurity_importance(sensor_model(t, FOREST)[0], t.spark, SENSORS)
 
 
+@query("m15_tree_importance", f"""SELECT feature, coalesce(sum(gain) / nullif(sum(sum(gain)) OVER (), 0), 0) AS importance
+  FROM (SELECT feature, gain FROM ({RULES_SQL}) WHERE feature IS NOT NULL UNION ALL SELECT unnest([{', '.join(f"'{f}'" for f in FEATURES)}]), 0.0) GROUP BY feature""", "importance")
+def _(t):
+    return D.tree_importance(rules_table(t), FEATURES)
+
+
 @query("m16_binary_baseline")
 def _(t):
     return W.baseline(lines(t), FEATURES, "y", LINE_KEY, max_iter=1000)

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tidegauge.bindings import association as S
-from tidegauge.bindings.common import CELLS, CELL_ROWS_SQL, CELLS_SQL, REPEATED_SQL, SENSORS, SENSOR_CLASSES, cells, repeated, unpivot_sql
+from tidegauge.bindings.common import CELLS, CELL_ROWS_SQL, CELLS_SQL, REPEATED_SQL, SENSORS, SENSOR_CLASSES, cells, repeated, sensors_sql, unpivot_sql
 from tidegauge.bindings.distribution import ETA_SQL, WIDE_LONG, WIDE_SQL, wide
+from tidegauge.bindings.models import tree_sql, univariate_trees_sql
 from tidegauge.bindings.profile import split_sensors
 from tidegauge.bindings.registry import query
 from tidegauge.plans import workflows as W
@@ -93,7 +94,18 @@ def _(t):
     return W.class_signal(series(t), SERIES, "cls", SERIES_NAMES, "ts", ["y", "ts"])["features"]
 
 
-@query("g29_training_signal")
+SIGNAL_SQL = "SELECT * FROM (" + sensors_sql(2.0, 0.5) + ") WHERE obs % 10 < 7"
+
+
+@query("g29_training_signal", f"""WITH glong AS (SELECT *, 'train' AS part FROM ({unpivot_sql(SIGNAL_SQL, SENSORS, 'cls')})), long AS (SELECT * FROM glong), {S.edges_cte(10)}, {S.BINNED}
+  SELECT e.feature, e.eta_squared, m.mutual_information, u.macro_f1 FROM ({S.ETA0_SQL}) e JOIN ({S.mi_sql('cls')}) m USING (feature)
+  JOIN ({univariate_trees_sql(SIGNAL_SQL, SENSORS, SENSOR_CLASSES)}) u USING (feature)""", "eta_squared mutual_information macro_f1")
 def _(t):
     df = split_sensors(t).filter("part = 'train'").drop("part")
     return W.training_signal(df, SENSORS, "cls", "obs", SENSOR_CLASSES, folds=5)["associations"]
+
+
+@query("g29_training_rules", tree_sql(SIGNAL_SQL, SENSORS, SENSOR_CLASSES), "threshold gain")
+def _(t):
+    df = split_sensors(t).filter("part = 'train'").drop("part")
+    return W.training_signal(df, SENSORS, "cls", "obs", SENSOR_CLASSES, folds=5)["rules"]

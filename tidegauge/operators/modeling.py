@@ -245,19 +245,3 @@ def impurity_importance(model: PipelineModel, spark, features) -> DataFrame:
     """feature, importance of a fitted tree or forest."""
     values = model.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
-
-
-def tree_rules(model: PipelineModel, spark, features) -> DataFrame:
-    """line, rule: the readable rules of a fitted tree with feature names."""
-    text = model.stages[-1].toDebugString
-    for i in reversed(range(len(features))):
-        text = text.replace(f"feature {i} ", f"{features[i]} ")
-    return spark.createDataFrame([(i, r) for i, r in enumerate(text.strip().splitlines())], "line int, rule string")
-
-
-def univariate_tree_scores(df: DataFrame, features, label: str, key: str, codes, folds: int = FOLDS, depth: int = 4, leaf: int = 10) -> DataFrame:
-    """feature, macro_f1: cross-validated shallow tree on one feature at a time."""
-    shallow = {"maxDepth": depth, "minInstancesPerNode": leaf}
-    one_each = [Candidate(f, "tree", balanced=False, settings=shallow, features=(f,)) for f in features]
-    scores = cross_validate(df, one_each, features, label, key, codes, folds)
-    return scores.groupBy(F.col("candidate").alias("feature")).agg(F.avg("macro_f1").alias("macro_f1"))

@@ -20,6 +20,7 @@ from tidegauge.operators import profile as E
 from tidegauge.operators import scoring as R
 from tidegauge.operators import splits as S
 from tidegauge.operators import temporal as T
+from tidegauge.operators import trees as Y
 from tidegauge.session import cut_lineage
 from tidegauge.sources import files as L
 from tidegauge.sources import sinks as K
@@ -140,15 +141,14 @@ def class_signal(df: DataFrame, features, label: str, names: dict, timestamp: st
 
 def training_signal(train: DataFrame, features, label: str, key: str, codes, folds: int = M.FOLDS) -> dict[str, DataFrame]:
     """Training-only associations and shallow rules; label codes are never treated as numbers."""
-    rule = M.Candidate("rules", "tree", balanced=False, settings={"maxDepth": 3, "minInstancesPerNode": 10})
     associations = G.eta_squared(train, features, label, undefined_zero=True).join(A.mutual_information(train, features, label), "feature")
-    associations = associations.join(M.univariate_tree_scores(train, features, label, key, codes, folds), "feature")
+    associations = associations.join(Y.univariate_tree_scores(train, features, label, key, codes, folds), "feature")
     return {
         "associations": associations,
         "class_auc": A.one_vs_rest_auc(train, features, label, codes),
         "class_features": A.class_summary(train, features, label),
-        "rule_scores": M.cv_summary(M.cross_validate(train, [rule], features, label, key, codes, folds), ("macro_f1",)),
-        "rules": M.tree_rules(M.fit(rule, train, features, label, codes), train.sparkSession, features),
+        "rule_scores": M.cv_summary(Y.cross_validate_tree(train, features, label, key, codes, folds), ("macro_f1",)),
+        "rules": Y.fit_tree(train, features, label, codes).table(train.sparkSession),
         "correlation": G.correlation_matrix(train, features),
     }
 
