@@ -217,6 +217,21 @@ def _(t):
     return W.test_results(I.argmax_class(scored, "p", SENSOR_CLASSES, "_yhat"), "cls", SENSOR_CLASSES)
 
 
+SUPPORT_SQL = f"""SELECT code, count(cls) AS n FROM (SELECT unnest({SENSOR_CLASSES}) AS code) LEFT JOIN (SELECT cls FROM ({sensors_sql()}) WHERE obs % 10 >= 7) ON cls = code GROUP BY code"""
+
+
+@query("m13_test_report", f"""SELECT candidate, label, CAST(n AS BIGINT) AS support, true AS in_range FROM (VALUES ('logistic_regression'), ('rules')) AS c(candidate),
+  (SELECT CAST(code AS VARCHAR) AS label, n FROM ({SUPPORT_SQL}) UNION ALL SELECT a, sum(n) FROM ({SUPPORT_SQL}), (VALUES ('macro avg'), ('weighted avg')) AS v(a) GROUP BY a)""")
+def _(t):
+    """Class report of every candidate on the test rows: its support, and that all scores lie in [0, 1]."""
+    df = sensors(t)
+    rules = M.Candidate("rules", "tree", balanced=False, settings={"maxDepth": 3, "minInstancesPerNode": 10})
+    _, found = M.fit_and_score([LOGISTIC, rules], df.filter("obs % 10 < 7"), df.filter("obs % 10 >= 7"), SENSORS, "cls", SENSOR_CLASSES)
+    report = I.class_report(I.argmax_class(found, "p", SENSOR_CLASSES, "_yhat"), "cls", "_yhat", SENSOR_CLASSES, ["candidate"])
+    inside = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    return report.select("candidate", "label", "support", inside.alias("in_range"))
+
+
 PERMUTED_SQL = """WITH b AS (SELECT event_id, value, user_id, row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR) || 'base')) AS n FROM events),
   d AS (SELECT CAST(rep AS INTEGER) AS rep, value AS new_value, user_id AS new_user, row_number() OVER (PARTITION BY rep ORDER BY md5(event_id || '-' || rep || '42')) AS n
     FROM events, (SELECT unnest(range(2)) AS rep))

@@ -126,15 +126,15 @@ def macro_metrics(df: DataFrame, y: str, yhat: str, codes, keys=()) -> DataFrame
     return hits.join(macro, list(keys)) if keys else attach(hits, macro)
 
 
-def class_report(df: DataFrame, y: str, yhat: str, codes) -> DataFrame:
-    """label, precision, recall, f1, support per class, then macro and weighted averages."""
-    per = class_scores(confusion(df, y, yhat, codes), codes)
-    rows = per.select(F.col("class").cast("string").alias("label"), "precision", "recall", "f1", "support")
-    measures = ("precision", "recall", "f1")
-    macro = per.agg(F.lit("macro avg").alias("label"), *[F.avg(m).alias(m) for m in measures], F.sum("support").alias("support"))
-    weighted = per.agg(F.lit("weighted avg").alias("label"),
-                       *[X.ratio0(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m) for m in measures],
-                       F.sum("support").alias("support"))
+def class_report(df: DataFrame, y: str, yhat: str, codes, keys=()) -> DataFrame:
+    """keys, label, precision, recall, f1, support per class, then macro and weighted averages."""
+    per = class_scores(confusion(df, y, yhat, codes, keys), codes, keys)
+    rows = per.select(*cols(keys), F.col("class").cast("string").alias("label"), "precision", "recall", "f1", "support")
+    measures, grouped = ("precision", "recall", "f1"), per.groupBy(*cols(keys))
+    macro = grouped.agg(F.lit("macro avg").alias("label"), *[F.avg(m).alias(m) for m in measures], F.sum("support").alias("support"))
+    weighted = grouped.agg(F.lit("weighted avg").alias("label"),
+                           *[X.ratio0(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m) for m in measures],
+                           F.sum("support").alias("support"))
     return rows.unionByName(macro).unionByName(weighted)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,14 +144,16 @@ def class_signal(df: DataFrame, features, label: str, names: dict, timestamp: st
 
 def training_signal(train: DataFrame, features, label: str, key: str, codes, folds: int = M.FOLDS) -> dict[str, DataFrame]:
     """Training-only associations and shallow rules; label codes are never treated as numbers."""
+    cuts = Y.fit_cuts(train, features)
+    rules, rule_scores = Y.cross_validate_tree(train, features, label, key, codes, folds, cuts=cuts)
     associations = G.eta_squared(train, features, label, undefined_zero=True).join(A.mutual_information(train, features, label), "feature")
-    associations = associations.join(Y.univariate_tree_scores(train, features, label, key, codes, folds), "feature")
+    associations = associations.join(Y.univariate_tree_scores(train, features, label, key, codes, folds, cuts=cuts), "feature")
     return {
         "associations": associations,
         "class_auc": A.one_vs_rest_auc(train, features, label, codes),
         "class_features": A.class_summary(train, features, label),
-        "rule_scores": M.cv_summary(Y.cross_validate_tree(train, features, label, key, codes, folds), ("macro_f1",)),
-        "rules": Y.fit_tree(train, features, label, codes).table(train.sparkSession),
+        "rule_scores": M.cv_summary(rule_scores, ("macro_f1",)),
+        "rules": rules.table(train.sparkSession),
         "correlation": G.correlation_matrix(train, features),
     }
 
@@ -194,9 +199,10 @@ def explain(train: DataFrame, candidate: M.Candidate, features, label: str, key:
 
 def experiment(paths: dict[str, str], features, target: str, names: dict, out: str, spark, cands=None, repeats: int = 10,
                folds: int = M.FOLDS) -> dict[str, DataFrame]:
-    """Fingerprint, audit, select on training folds, then fit, evaluate once on test, persist and verify.
+    """Fingerprint, audit, training signal, select on training folds, then fit, evaluate once on test, persist and verify.
 
-    The audit and the selection are written before any test row is scored.
+    The audit, the signal, the selection and a manifest (input hashes, configurations, choice, importances, version)
+    are written before any test row is scored. Every candidate gets its test metrics, confusion table and class report.
     """
     codes, cands = list(names), cands or M.candidates()
     before = cut_lineage(L.file_fingerprints(spark, list(paths.values())))
@@ -205,20 +211,34 @@ def experiment(paths: dict[str, str], features, target: str, names: dict, out: s
     audit = E.audit_features(data.drop("obs"), features, "part", "training")
     train, test = data.filter("part = 'training'").drop("part"), data.filter("part = 'testing'").drop("part")
     K.write_report(audit, f"{out}/audit")
+    signal = {f"signal_{k}": v for k, v in training_signal(train, features, target, "obs", codes, folds).items()}
+    for name, table in signal.items():
+        K.write_report(table, f"{out}/{name}")
     summary = M.cv_summary(cut_lineage(M.cross_validate(train, cands, features, target, "obs", codes, folds)))
     K.write_report(summary, f"{out}/selection_before_test")
     chosen = M.select_best(summary).first()["candidate"]
-    trees = [c.name for c in cands if c.kind in ("forest", "boosting")]
+    trees = [c.name for c in cands if c.kind in ("forest", "tree", "boosting")]
     best_tree = M.select_best(summary, among=trees).first()["candidate"]
     importance = explain(train, next(c for c in cands if c.name == best_tree), features, target, "obs", codes, repeats)
+    importance["permutation"] = cut_lineage(importance["permutation"])
+    manifest = before.agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("inputs"))
+    manifest = attach(manifest, importance["permutation"].agg(F.array_sort(F.collect_list(F.struct("feature", "drop_mean", "drop_sd"))).alias("permutation_importance")))
+    settings = {"selected": chosen, "best_tree": best_tree, "target": target, "folds": folds, "repeats": repeats, "spark_version": spark.version,
+                "candidates": json.dumps([asdict(c) for c in cands])}
+    manifest = manifest.withColumns({"features": F.array(*[F.lit(f) for f in features])} | {k: F.lit(v) for k, v in settings.items()})
+    manifest = cut_lineage(manifest)
+    K.write_report(manifest, f"{out}/manifest")
     models, scored = M.fit_and_score(cands, train, test, features, target, codes)
     scored = I.argmax_class(scored.withColumn(target, col(target).cast("int")), "p", codes, "_yhat")
+    # Scored once for all tables of results.
+    scored = cut_lineage(scored.select("candidate", col(target), "p", "_yhat"))
     results = test_results(scored, target, codes)
-    metadata = results.withColumn("selected", F.lit(chosen)).withColumn("best_tree", F.lit(best_tree))
-    K.save_model(models[chosen], out, metadata, test.select(*cols(features), "obs"),
+    K.save_model(models[chosen], out, attach(results, manifest), test.select(*cols(features), "obs"),
                  lambda rows, model: R.score_table(M.probabilities(rows, model, codes), "p", names))
-    K.check_fingerprints(L.file_fingerprints(spark, list(paths.values())), {r["name"]: r["sha256"] for r in before.collect()})
-    return {"audit": audit, "selection": summary, "results": results.withColumn("selected", F.col("candidate") == chosen), **importance}
+    K.require_unchanged(before, L.file_fingerprints(spark, list(paths.values())))
+    return {"audit": audit, "selection": summary, "manifest": manifest, "results": results.withColumn("selected", F.col("candidate") == chosen),
+            "confusion": I.confusion(scored, target, "_yhat", codes, ["candidate"]),
+            "class_report": I.class_report(scored, target, "_yhat", codes, ["candidate"]), **signal, **importance}
 
 
 def test_results(scored: DataFrame, target: str, codes) -> DataFrame:

@@ -68,6 +68,14 @@ def check_fingerprints(found: DataFrame, recorded: dict[str, str]) -> None:
         raise ValueError(f"Files do not match the recorded fingerprints: {wrong}")
 
 
+def require_unchanged(before: DataFrame, after: DataFrame) -> None:
+    """Raise unless every file (by its whole path) still has the hash that was taken before."""
+    now = after.select("path", F.col("sha256").alias("_now"))
+    wrong = before.join(now, "path", "left").filter(~F.col("sha256").eqNullSafe(F.col("_now"))).orderBy("path").limit(10).collect()
+    if wrong:
+        raise ValueError(f"Files changed since their fingerprints were taken: {[r['path'] for r in wrong]}")
+
+
 def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
     for name, t in tables.items():
         t.write.mode("errorifexists").parquet(f"{path}/{name}")
