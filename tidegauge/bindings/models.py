@@ -8,6 +8,7 @@ from tidegauge.bindings.common import (CELLS, CELL_ROWS_SQL, CLASSES, FAULT_NAME
 from tidegauge.bindings.distribution import dominant_sql
 from tidegauge.bindings.registry import query
 from tidegauge.bindings.sources import split_files
+from tidegauge.functions.frames import attach
 from tidegauge.operators import evaluation as I
 from tidegauge.operators import modeling as M
 from tidegauge.operators import scoring as R
@@ -367,3 +368,58 @@ def _(t):
     bad, good = t.spark.read.parquet(f"{base}/bad"), t.spark.read.parquet(f"{base}/out")
     both = bad.select(F.lit("quarantined").alias("outcome"), F.lit(None).cast("double").alias("a")).unionAll(good.select(F.lit("scored").alias("outcome"), "a"))
     return both.groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.round(F.col("a") * 100)).cast("bigint").alias("a_percent"))
+
+
+TEST_ROWS_SQL = f"SELECT * FROM ({sensors_sql()}) WHERE obs % 10 >= 7"
+
+
+@query("m05_m06_m07_probability_checks", f"""SELECT candidate, count(*) AS n, count(*) AS sums_to_one, count(*) AS in_range, count(*) AS argmax_is_largest
+  FROM ({TEST_ROWS_SQL}), (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting')) AS c(candidate) GROUP BY candidate""")
+def _(t):
+    """Every test row has one probability vector of each model: shares of one, with the chosen class on top."""
+    df = sensors(t)
+    _, found = M.fit_and_score([LOGISTIC, FOREST, BOOSTING], df.filter("obs % 10 < 7"), df.filter("obs % 10 >= 7"), SENSORS, "cls", SENSOR_CLASSES)
+    total = F.aggregate("p", F.lit(0.0), lambda s, v: s + v)
+    top = F.try_element_at("p", F.col("yhat") + 1)
+    return I.argmax_class(found, "p", SENSOR_CLASSES, "yhat").groupBy("candidate").agg(
+        F.count("*").alias("n"), F.count_if(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.count_if((F.size("p") == len(SENSOR_CLASSES)) & F.forall("p", lambda v: v.between(0, 1))).alias("in_range"),
+        F.count_if(top == F.array_max("p")).alias("argmax_is_largest"))
+
+
+@query("b6_m18_reloaded_batch", f"SELECT obs, true AS same, true AS named, true AS largest FROM ({TEST_ROWS_SQL})")
+def _(t):
+    """Rows scored by a saved and reloaded model next to those of the model itself, one row each."""
+    model, test = sensor_model(t, FOREST)
+    path = scratch_dir(t.spark, "model")
+    B.save_model(model, path, t.embeddings.agg(F.count("*").alias("rows")), test, lambda rows, m: R.score_table(M.probabilities(rows, m, SENSOR_CLASSES), "p", FAULT_NAMES))
+    again = B.load_model(t.spark, path, SENSORS, SENSOR_CLASSES)
+    one, two = (R.score_batch(test, m, SENSORS, FAULT_NAMES, ["obs"]) for m in (model, again))
+    p = [f"probability_{c}" for c in SENSOR_CLASSES]
+    both = one.join(two.select("obs", F.struct("code", "name", *p).alias("again")), "obs", "full_outer")
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in FAULT_NAMES.items() for x in pair]), F.col("code"))
+    return both.select("obs", F.struct("code", "name", *p).eqNullSafe(F.col("again")).alias("same"), (F.col("name") == name).alias("named"),
+                       (F.array(*p)[F.col("code")] == F.greatest(*p)).alias("largest"))
+
+
+INVALID_SQL = " UNION ALL ".join(f"SELECT '{s}' AS item, count(*) FILTER (round({s}, 6) NOT BETWEEN 0 AND 1) AS n FROM ({sensors_sql()})" for s in SENSORS)
+CODE_COUNT_SQL = f"SELECT CAST(code AS VARCHAR) AS item, (SELECT count(*) FROM ({sensors_sql()}) WHERE cls = code) AS n FROM (SELECT unnest({SENSOR_CLASSES}) AS code)"
+
+
+@query("m23_assess_inspect", f"""SELECT 'invalid' AS section, * FROM ({INVALID_SQL}) UNION ALL SELECT 'label', * FROM ({CODE_COUNT_SQL}) UNION ALL SELECT 'class', * FROM ({CODE_COUNT_SQL})""")
+def _(t):
+    r = W.assess(text_sensors(t), None, SENSORS, "obs", FAULT_NAMES, "v1", "cls", mode="inspect", labels_confirmed=True)
+    parts = [r["statistics"].select(F.lit("invalid").alias("section"), F.col("feature").alias("item"), F.col("n_invalid").alias("n")),
+             r["labels"].select(F.lit("label"), F.col("code").cast("string"), "n"), r["classes"].select(F.lit("class"), F.col("code").cast("string"), "n")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query("m23_assess_predict", f"""SELECT n AS rows_analyzed, n AS class_rows, n AS predictions, n AS confident, n AS numbered FROM (SELECT count(*) AS n FROM ({TEST_ROWS_SQL}))""")
+def _(t):
+    """Row counts of a scored text table: summary, class table, records, their confidences and their numbers."""
+    model, _ = sensor_model(t, LOGISTIC)
+    r = W.assess(text_sensors(t).filter("obs % 10 >= 7"), model, SENSORS, "obs", FAULT_NAMES, "v1", mode="predict", normalized=True)
+    classes = r["classes"].agg(F.sum("n").cast("bigint").alias("class_rows"))
+    records = r["predictions"].agg(F.count("*").alias("predictions"), F.count_if(F.col("confidence").between(1 / len(SENSOR_CLASSES) - 1e-9, 1)).alias("confident"),
+                                   F.count_distinct("obs").alias("numbered"))
+    return attach(attach(r["summary"].select("rows_analyzed").limit(1), classes), records)
