@@ -423,3 +423,23 @@ def _(t):
     records = r["predictions"].agg(F.count("*").alias("predictions"), F.count_if(F.col("confidence").between(1 / len(SENSOR_CLASSES) - 1e-9, 1)).alias("confident"),
                                    F.count_distinct("obs").alias("numbered"))
     return attach(attach(r["summary"].select("rows_analyzed").limit(1), classes), records)
+
+
+@query("m20_scored_files", f"""WITH s AS (SELECT obs, obs % 10 >= 7 AS good FROM ({sensors_sql()}) WHERE obs % 10 >= 7 OR obs % 10 = 0)
+  SELECT 'rejected' AS section, 'rows' AS item, count(*) FILTER (NOT good) AS n FROM s UNION ALL SELECT 'analyzed', 'rows', count(*) FILTER (good) FROM s
+  UNION ALL SELECT 'predicted', 'rows', count(*) FILTER (good) FROM s UNION ALL SELECT 'classes', 'rows', count(*) FILTER (good) FROM s
+  UNION ALL SELECT 'first', 'rows', least(count(*) FILTER (good), 100) FROM s UNION ALL SELECT 'excluded', unnest({SENSORS}), 0""")
+def _(t):
+    """Text files written from the sensor rows; those of every tenth row have a word in their last column and are rejected."""
+    model, _ = sensor_model(t, LOGISTIC)
+    base, rows = scratch_dir(t.spark, "uploads"), text_sensors(t).select("obs", *SENSORS)
+    rows.filter("obs % 10 >= 7").write.csv(f"{base}/good", header=True, sep=";")
+    rows.filter("obs % 10 = 0").withColumn(SENSORS[-1], F.lit("word")).write.csv(f"{base}/bad", header=True)
+    r = W.score_files(t.spark, [f"{base}/good", f"{base}/bad"], model, SENSORS, FAULT_NAMES, "v1", limit=100)
+    counts = {"rejected": r["verdict"].filter("NOT accepted").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")), "analyzed": r["batch"].select(F.col("rows_analyzed").alias("n")),
+              "predicted": r["predictions"].agg(F.count_distinct("file", "line").alias("n")), "classes": r["classes"].agg(F.sum("n").alias("n")),
+              "first": r["first_predictions"].agg(F.count("*").alias("n"))}
+    out = r["quality"].select(F.lit("excluded").alias("section"), F.col("feature").alias("item"), F.col("excluded").alias("n"))
+    for section, found in counts.items():
+        out = out.unionAll(found.select(F.lit(section), F.lit("rows"), F.col("n").cast("bigint")))
+    return out

@@ -302,3 +302,21 @@ def assess(df: DataFrame, model, features, obs: str, names: dict, version: str,
         report["confusion"] = I.confusion(rows, "_y", "code", codes)
         report["reliability"] = I.reliability(rows, "_y", "p", codes)
     return report
+
+
+def score_files(spark, paths, model, features, names: dict, version: str, sep: str | None = None, reference: dict | None = None,
+                limit: int = 1000) -> dict[str, DataFrame]:
+    """Strict text files to predictions, batch summary and profile.
+
+    Each file is accepted or rejected as a whole. Rows of accepted files are read and scored once, into a written table,
+    and keep their file and line; `obs` joins the two. The profile is grouped by predicted class.
+    """
+    codes = list(names)
+    files = L.strict_csv(spark, paths, features, sep)
+    rows = files.rows.withColumn("obs", F.concat_ws("#", "file", col("line").cast("string")))
+    scored = cut_lineage(R.score_batch(rows, model, features, names, ["file", "line", "obs"], strict=False))
+    records = R.prediction_records(scored, names, version)
+    out = {"verdict": files.verdict, "issues": files.issues, "predictions": records, "first_predictions": records.orderBy("file", "line").limit(limit),
+           "batch": R.batch_summary(records, names, limit=limit)}
+    # Without one accepted row there is nothing to profile.
+    return out if scored.isEmpty() else {**out, **dashboard(scored, features, "obs", "code", codes, reference)}
