@@ -21,7 +21,7 @@ BINS = f"{S.edges_cte(10)}, {S.BINNED}, {S.BINS}"
 
 def series(t):
     kind = F.col("event_type")
-    return t.events.select("ts", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("k"), F.col("user_id").cast("double").alias("user_id"),
+    return t.events.select("ts", "event_id", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("k"), F.col("user_id").cast("double").alias("user_id"),
                            (kind == "error").cast("int").alias("y"), F.when(kind == "click", 0).when(kind == "error", 1).otherwise(2).alias("cls"))
 
 
@@ -78,20 +78,20 @@ def _(t):
   JOIN ({S.COHEN_SQL.format('SELECT * FROM two')}) c USING (feature) JOIN ({S.R_SQL}) r USING (feature) JOIN ({S.AUC_SQL}) a USING (feature)
   JOIN ({S.mi_sql('y')}) m USING (feature) JOIN ({S.SPREAD_SQL}) s USING (feature)""", S.TWO_DOUBLES + " cohens_d r auc mutual_information train_spread test_spread")
 def _(t):
-    return W.binary_signal(series(t), SERIES, "y", "ts")["features"]
+    return W.binary_signal(series(t), SERIES, "y", "ts", tiebreak=["event_id"])["features"]
 
 
 @query("g27_binary_series", f"""WITH s AS (SELECT * FROM ({SERIES_PART}) WHERE part = 'train') SELECT lag, r, n_pairs FROM (""" + " UNION ALL ".join(
     f"SELECT {k} AS lag, corr(x, z) AS r, count(z) AS n_pairs FROM (SELECT y AS x, lag(y, {k}) OVER (ORDER BY ts) AS z FROM s)" for k in (1, 4, 96, 672)) + ")", "r")
 def _(t):
-    return W.binary_signal(series(t), SERIES, "y", "ts")["autocorrelation"]
+    return W.binary_signal(series(t), SERIES, "y", "ts", tiebreak=["event_id"])["autocorrelation"]
 
 
 @query("g28_class_signal", f"""WITH {GLONG}, {BINS}, long AS (SELECT * FROM glong WHERE part = 'train') SELECT e.feature, e.eta_squared, o.macro_auc, o.best_auc, o.best_class,
   CASE o.best_class WHEN 0 THEN 'click' WHEN 1 THEN 'error' ELSE 'other' END AS best_class_name, m.mutual_information
   FROM ({S.ETA0_SQL}) e JOIN ({S.OVR_SUMMARY_SQL}) o USING (feature) JOIN ({S.mi_sql('cls')}) m USING (feature)""", "eta_squared macro_auc best_auc mutual_information")
 def _(t):
-    return W.class_signal(series(t), SERIES, "cls", SERIES_NAMES, "ts", ["y", "ts"])["features"]
+    return W.class_signal(series(t), SERIES, "cls", SERIES_NAMES, "ts", ["y", "ts"], tiebreak=["event_id"])["features"]
 
 
 SIGNAL_SQL = "SELECT * FROM (" + sensors_sql(2.0, 0.5) + ") WHERE obs % 10 < 7"

@@ -60,13 +60,16 @@ def binary_target(df: DataFrame, target: str) -> DataFrame:
     return target_classes(df, target, [0, 1])
 
 
-def valid_timestamps(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Datetime type, no null, no duplicate, never falling along the file order."""
-    require_columns(df, [column])
+def valid_timestamps(df: DataFrame, column: str, order: str, tiebreak=()) -> DataFrame:
+    """Datetime type, no null, no duplicate, never falling along the file order.
+
+    With `tiebreak` columns rows may share a time, and only rows that share those as well (or lack one) are duplicates.
+    """
+    require_columns(df, [column, *tiebreak])
     dtype = dict(df.dtypes)[column]
     typed = dtype in ("timestamp", "timestamp_ntz", "date")
     t = col(column)
-    n = df.agg(F.count("*").alias("rows"), F.count(t).alias("present"), F.count_distinct(t).alias("kinds"))
+    n = df.agg(F.count("*").alias("rows"), F.count(t).alias("present"), F.count_distinct(t, *cols(tiebreak)).alias("kinds"))
     n = attach(n, count_descents(df, order, column))
     rows = [
         _row("timestamp_type", column, F.lit(0 if typed else 1), "" if typed else dtype),
