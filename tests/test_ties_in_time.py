@@ -21,7 +21,7 @@ def test_rows_that_share_a_time_need_a_tiebreak(spark):
     mx, mz = sum(x) / n, sum(z) / n
     r = sum((a - mx) * (b - mz) for a, b in zip(x, z)) / (sum((a - mx) ** 2 for a in x) * sum((b - mz) ** 2 for b in z)) ** 0.5
     assert lag[1] == (pytest.approx(r), n)
-    assert W.class_signal(df, ["a"], "y", {0: "n", 1: "y"}, "ts", ["y"], tiebreak=["id"])["features"].count() == 1
+    assert W.class_signal(df, ["a"], "y", {0: "n", 1: "y"}, "ts", ["id"], tiebreak=["id"])["features"].count() == 1
     # The tie-break itself must tell the rows apart.
     with pytest.raises(ValueError, match="timestamp_duplicate"):
         W.binary_signal(df, ["a"], "y", "ts", tiebreak=["y"])
