@@ -19,11 +19,17 @@ FORMATS = ("csv", "parquet", "json")
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, format, n_bytes of the dataset files in a folder, sorted; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(FORMATS) + "}").load(folder)
-    name = F.substring_index("path", "/", -1)
-    return files.select("path", name.alias("name"), F.substring_index("path", ".", -1).alias("format"),
-                        F.col("length").alias("n_bytes")).orderBy("path")
+    """path, name, format, n_bytes of the datasets in a folder, sorted; contents are not read.
+
+    A dataset is a file, or a folder of part files as Spark writes them, with a known extension. Other folders are not looked into.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.split_part(F.substr("path", F.lit(len(root) + 2)), F.lit("/"), F.lit(1))
+    files = files.groupBy(name.alias("name")).agg(F.sum("length").alias("n_bytes"))
+    found = files.withColumn("format", F.substring_index("name", ".", -1)).filter(F.contains("name", F.lit(".")) & F.col("format").isin(*FORMATS))
+    return found.select(F.concat(F.lit(root + "/"), "name").alias("path"), "name", "format", "n_bytes").orderBy("path")
 
 
 def file_fingerprints(spark: SparkSession, paths) -> DataFrame:
