@@ -16,8 +16,9 @@ SCORED_SQL = f"""SELECT cls AS y, cls3 AS pred, w0 / (w0 + w1 + w2) AS p0, w1 /
 def scored(t):
     w0, w1, w2 = F.col("l_quantity") + 1, F.col("l_extendedprice") / 2000 + 1, F.lit(300) * (F.col("l_discount") + F.col("l_tax")) + 1
     s = w0 + w1 + w2
-    df = lines(t).select(F.col("cls").alias("y"), F.array(w0 / s, w1 / s, w2 / s).alias("p"), F.col("y").alias("b"))
-    return I.argmax_class(df, "p", CLASSES, "pred")
+    # The class goes by the weights: after the division two different weights may be equal.
+    df = I.argmax_class(lines(t).withColumn("_w", F.array(w0, w1, w2)), "_w", CLASSES, "pred")
+    return df.select(F.col("cls").alias("y"), F.array(w0 / s, w1 / s, w2 / s).alias("p"), F.col("y").alias("b"), "pred")
 
 
 def binary(t):
@@ -125,7 +126,7 @@ def _(t):
   FROM (SELECT y, pred, greatest(p0, p1, p2) AS c, CAST(len(list_filter([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[], lambda e: greatest(p0, p1, p2) >= e)) AS DOUBLE) AS b FROM ({SCORED_SQL}))
   GROUP BY b""", "lower upper mean_confidence observed_accuracy")
 def _(t):
-    return I.reliability(scored(t), "y", "p", CLASSES)
+    return I.reliability(scored(t), "y", "p", CLASSES, yhat="pred")
 
 
 @query("i13_argmax", f"SELECT y, pred, count(*) AS n FROM ({SCORED_SQL}) GROUP BY ALL")

@@ -173,12 +173,13 @@ def argmax_class(df: DataFrame, p: str, codes, out: str = "yhat") -> DataFrame:
     return df.withColumn(out, F.element_at(F.array(*[F.lit(c) for c in codes]), at))
 
 
-def reliability(df: DataFrame, y: str, p: str, codes, bins: int = RELIABILITY_BINS) -> DataFrame:
-    """lower, upper, n, mean_confidence, observed_accuracy of the top label; empty bins are omitted.
+def reliability(df: DataFrame, y: str, p: str, codes, bins: int = RELIABILITY_BINS, yhat: str | None = None) -> DataFrame:
+    """lower, upper, n, mean_confidence, observed_accuracy of the top label (or of `yhat`); empty bins are omitted.
 
     A bin holds lower <= confidence < upper, the last one includes its upper edge.
     """
-    scored = argmax_class(df, p, codes, "_yhat").select(F.array_max(col(p)).alias("c"), (F.col("_yhat") == col(y)).alias("ok"))
+    labelled = argmax_class(df, p, codes, "_yhat") if yhat is None else df.withColumn("_yhat", col(yhat))
+    scored = labelled.select(F.array_max(col(p)).alias("c"), (F.col("_yhat") == col(y)).alias("ok"))
     index = sum(((F.col("c") >= F.lit(i / bins)).cast("int") for i in range(1, bins)), F.lit(0))
     lower = F.array(*[F.lit(i / bins) for i in range(bins)])[F.col("_b")]
     upper = F.array(*[F.lit((i + 1) / bins) for i in range(bins)])[F.col("_b")]
