@@ -152,16 +152,18 @@ def in_ranges(df: DataFrame, order_by) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, keys, order: str, measures, descending: bool = False) -> DataFrame:
-    """Adds below_<m>: the sum of m over the key's rows that come strictly earlier.
+    """Adds below_<m>, the sum of m over the key's rows that come strictly earlier, and total_<m>, that over all rows of the key.
 
     The frame must hold one row per (key, order value); group it first. A key that holds most rows lies in many ranges, whose
     sums (one row per range and key) give each range its start.
     """
     rows = in_ranges(df, [*keys, col(order).desc() if descending else col(order)])
     starts = rows.groupBy("_p", *cols(keys)).agg(*[F.sum(col(m)).alias(f"_s_{m}") for m in measures])
-    starts = starts.select("_p", *cols(keys), *[_before(F.col(f"_s_{m}"), keys, ["_p"]).alias(f"_o_{m}") for m in measures])
+    starts = starts.select("_p", *cols(keys), *[_before(F.col(f"_s_{m}"), keys, ["_p"]).alias(f"_o_{m}") for m in measures],
+                           *[_all(F.col(f"_s_{m}"), keys).alias(f"total_{m}") for m in measures])
     here = ["_p", *keys]
-    return same_cell(rows, starts, here).select(*cols(df.columns), *[(F.col(f"_o_{m}") + _before(col(m), here, ["_i"])).alias(f"below_{m}") for m in measures])
+    return same_cell(rows, starts, here).select(*cols(df.columns), *[(F.col(f"_o_{m}") + _before(col(m), here, ["_i"])).alias(f"below_{m}") for m in measures],
+                                             *[f"total_{m}" for m in measures])
 
 
 def number_rows(df: DataFrame, order_by, out: str = "obs") -> DataFrame:

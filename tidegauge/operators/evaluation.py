@@ -91,13 +91,11 @@ def score_metrics(df: DataFrame, keys, y: str, score: str) -> DataFrame:
     is the step sum over distinct thresholds from the highest. Undefined is null.
     """
     tally = score_tally(df, keys, score, {"_pos": col(y) == 1})
-    totals = tally.groupBy(*cols(keys)).agg(F.sum("_all").alias("_t"), F.sum("_pos").alias("_p"))
-    # One row per curve, the same rows this function returns; joining them any other way
-    # would bring a whole curve into one task.
-    run = prefix_sums(tally, keys, "_score", ["_all", "_pos"]).join(F.broadcast(totals), list(keys))
+    # The totals come with the prefix sums, so that the rows are scanned and counted once.
+    run = prefix_sums(tally, keys, "_score", ["_all", "_pos"])
     p, below = F.col("_pos"), F.col("below__all") - F.col("below__pos")
-    step = p * (F.col("_p") - F.col("below__pos")) / (F.col("_t") - F.col("below__all"))
-    t = run.groupBy(*cols(keys)).agg(F.max("_t").alias("_t"), F.max("_p").alias("_p"), F.sum(step).alias("_s"),
+    step = p * (F.col("total__pos") - F.col("below__pos")) / (F.col("total__all") - F.col("below__all"))
+    t = run.groupBy(*cols(keys)).agg(F.max("total__all").alias("_t"), F.max("total__pos").alias("_p"), F.sum(step).alias("_s"),
                                      F.sum(p * (below + 0.5 * (F.col("_all") - p))).alias("_a"))
     return t.select(*cols(keys), X.ratio(F.col("_a"), F.col("_p").cast("double") * (F.col("_t") - F.col("_p"))).alias("roc_auc"),
                     X.ratio(F.col("_s"), F.col("_p")).alias("average_precision"))
