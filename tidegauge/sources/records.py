@@ -181,12 +181,13 @@ def numbered(spark: SparkSession, paths, sep: str | None = ",") -> DataFrame:
     """file, line (from 1), text, utf8, delimiter, and of each line: inside (begins in a quoted cell), open (ends in one), broken, begun (line that began
     its record). Without `sep` each file has the delimiter that its first lines show."""
     lines = blocks_of_text(spark, paths)
-    lines = lines.join(sniff_delimiters(spark, paths), "file") if sep is None else lines.withColumn("delimiter", F.lit(sep))
-    found = scanned(lines, F.col("delimiter") if sep is None else sep)
+    # One row per file here and one per file block below, about a millionth of the text; the lines stay where they were read.
+    lines = lines.join(F.broadcast(sniff_delimiters(spark, paths)), "file") if sep is None else lines.withColumn("delimiter", F.lit(sep))
+    # Written once: the blocks' maps and all readers of the lines need it.
+    found = cut_lineage(scanned(lines, F.col("delimiter") if sep is None else sep))
     blocks = found.groupBy("file", "start").agg(F.max("n").alias("lines"), *[F.max_by(f"after{e}", "n").cast("int").alias(f"to{e}") for e in (0, 1)],
                                                 *[F.max(f"begun{e}").alias(f"begun{e}") for e in (0, 1)])
-    # One row per file block, about a millionth of the text; Spark chooses the join.
-    placed = found.join(entered(blocks), ["file", "start"])
+    placed = found.join(F.broadcast(cut_lineage(entered(blocks))), ["file", "start"])
     pick = lambda name: F.when(F.col("entry") == 0, F.col(name + "0")).otherwise(F.col(name + "1"))
     begun = F.when(pick("begun") > 0, pick("begun") + F.col("offset")).otherwise(F.col("carried"))
     return placed.select("file", (F.col("offset") + F.col("n")).alias("line"), "text", "utf8", "delimiter", (pick("before") == 1).alias("inside"),
@@ -201,13 +202,13 @@ def read_records(spark: SparkSession, paths, sep: str | None = ",", longest: int
     whose quote is never closed; so does a record of several lines with more than `longest` characters, whose text is null. After a broken line
     a new record begins.
     """
-    # Written once: headers, records of one line and of several all read it.
-    lines = cut_lineage(numbered(spark, paths, sep)).withColumn("text", F.regexp_replace("text", "\r$", ""))
+    lines = numbered(spark, paths, sep).withColumn("text", F.regexp_replace("text", "\r$", ""))
     lines = lines.withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")))
     alone = lines.filter("NOT inside AND NOT open").select("file", "line", F.col("line").alias("first_line"), "text", "delimiter", "utf8", "broken")
     parts = lines.filter("inside OR open").withColumn("size", F.length("text") + 1)
-    sizes = parts.groupBy("file", "begun").agg(F.sum("size").alias("total"), F.max("line").alias("line"), F.min("utf8").alias("utf8"), F.max("broken").alias("broken"),
-                                               F.max_by("open", "line").alias("unclosed"), F.min("delimiter").alias("delimiter"))
+    # The delimiter is that of the file; as a key it leaves only numbers to add up, so nothing is sorted for it.
+    sizes = parts.groupBy("file", "begun", "delimiter").agg(F.sum("size").alias("total"), F.max("line").alias("line"), F.min("utf8").alias("utf8"), F.max("broken").alias("broken"),
+                                               F.max_by("open", "line").alias("unclosed"))
     # Only records of bounded size are put together.
     short = parts.join(sizes.filter(F.col("total") <= longest).select("file", "begun"), ["file", "begun"], "left_semi")
     whole = short.groupBy("file", "begun").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
