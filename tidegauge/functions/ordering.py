@@ -97,17 +97,20 @@ def values_at_ranks(df: DataFrame, keys, value: str, ranks) -> DataFrame:
 
     # At most len(ranks) cells per key are left, so the broadcasts do not grow with the rows.
     open1 = t1.filter(~solved).select(*cols(keys), "_c", "_lo", "_hi", F.col("_before").alias("_base"), "_total", "_want")
-    if open1.isEmpty():
+    low, high = open1.agg(F.min("_lo"), F.max("_hi")).first()
+    if low is None:
         return found
-    x = same_cell(data, open1.select(*cols(keys), "_c", "_lo", "_hi"), [*keys, "_c"])
+    # Two comparisons spare most rows the search for their cell.
+    x = same_cell(data.filter(F.col("_v").between(low, high)), open1.select(*cols(keys), "_c", "_lo", "_hi"), [*keys, "_c"])
     x = x.select(*cols(keys), "_c", inner_cell(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_d"), "_v")
     t2 = cut_lineage(narrowed(x.groupBy(*cols(keys), "_c", "_d").agg(*bounds), open1, [*keys, "_c"], "_d"))
     found = found.unionByName(emit(t2.filter(solved)))
 
     open2 = t2.filter(~solved).select(*cols(keys), "_c", "_d", "_lo", "_hi", F.col("_before").alias("_base"), "_total", "_want")
-    if open2.isEmpty():
+    low, high = open2.agg(F.min("_lo"), F.max("_hi")).first()
+    if low is None:
         return found
-    y = same_cell(x, open2.select(*cols(keys), "_c", "_d"), [*keys, "_c", "_d"])
+    y = same_cell(x.filter(F.col("_v").between(low, high)), open2.select(*cols(keys), "_c", "_d"), [*keys, "_c", "_d"])
     t3 = y.groupBy(*cols(keys), "_c", "_d", "_v").agg(F.count("*").alias("_n"))
     t3 = narrowed(t3, open2, [*keys, "_c", "_d"], "_v").withColumn("_lo", F.col("_v"))
     return found.unionByName(emit(t3))

@@ -27,10 +27,16 @@ METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "macro_roc
 
 def preprocessing_stats(train: DataFrame, features, keys=()) -> DataFrame:
     """keys, feature, median, mean, sd: exact medians, then mean and population sd after imputing them."""
-    by, long = [*keys, "feature"], to_long(train, features, keys)
-    medians = quantiles(long, by, "value", [0.5]).select(*cols(by), F.col("q")[0].alias("median"))
-    v = F.coalesce("value", "median")
-    return long.join(F.broadcast(medians), by).groupBy(*cols(by)).agg(F.max("median").alias("median"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    features = list(features)
+    medians = quantiles(to_long(train, features, keys), [*keys, "feature"], "value", [0.5]).select(*cols(keys), "feature", F.col("q")[0].alias("_median"))
+    # One row per key, so that the moments of all features come from one scan without a row per feature.
+    medians = medians.groupBy(*cols(keys)).agg(*[F.max(F.when(F.col("feature") == f, F.col("_median"))).alias(f"_m{i}") for i, f in enumerate(features)])
+    rows = train.select(*cols(keys), *[col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features)])
+    rows = rows.join(F.broadcast(medians), list(keys)) if keys else attach(rows, medians)
+    filled = [F.coalesce(f"_v{i}", f"_m{i}") for i in range(len(features))]
+    found = F.array(*[F.struct(F.lit(f).alias("feature"), F.max(f"_m{i}").alias("median"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+                      for i, (f, v) in enumerate(zip(features, filled))])
+    return rows.groupBy(*cols(keys)).agg(found.alias("_found")).select(*cols(keys), F.inline("_found")).filter("median IS NOT NULL")
 
 
 def _stats(rows, features) -> dict[str, tuple[float, float, float]]:

@@ -172,18 +172,22 @@ def training_signal(train: DataFrame, features, label: str, key: str, codes, fol
 def baseline(df: DataFrame, features, target: str, order_by, test_size: float = 0.2, max_iter: int = 1000) -> DataFrame:
     """model and binary test metrics of the majority class and the balanced logistic regression, earlier part against later."""
     C.require(C.binary_target(df, target))
-    data = S.chronological_split(df.withColumn(target, col(target).cast("int")), order_by, test_size).persist()
-    train, test = data.filter("part = 'train'"), data.filter("part = 'test'")
+    # Both parts are filters that reach the scan, and only the features and the target go on: fit() holds what it reads again.
+    parts = S.chronological_parts(df.withColumn(target, col(target).cast("int")), order_by, test_size)[1:]
+    train, test = [part.select(*cols(dict.fromkeys([*features, target]))) for part in parts]
     model = M.fit(M.Candidate("logistic_regression", "logistic", scale=True, settings={"maxIter": max_iter}), train, features, target, [0, 1])
-    fitted = M.probabilities(test, model, [0, 1]).select(col(target), F.col("p")[1].alias("score"))
-    fitted = fitted.withColumn("yhat", (F.col("score") > 0.5).cast("int")).withColumn("model", F.lit("logistic_regression"))
-    plain = M.majority_scores(train, test, target).select(col(target), "score", "yhat").withColumn("model", F.lit("majority"))
-    return I.binary_metrics(fitted.unionByName(plain), target, "yhat", "score", ["model"])
+    fitted = M.probabilities(test, model, [0, 1]).select(col(target), F.col("p")[1].alias("_fitted"))
+    models = [F.struct(F.lit("logistic_regression").alias("model"), F.col("_fitted").alias("score"), (F.col("_fitted") > 0.5).cast("int").alias("yhat")),
+              F.struct(F.lit("majority").alias("model"), "score", "yhat")]
+    # Scored once, then read by every metric.
+    scored = cut_lineage(M.majority_scores(train, fitted, target).select(col(target), F.inline(F.array(*models))))
+    return I.binary_metrics(scored, target, "yhat", "score", ["model"])
 
 
 def notebook_baseline(df: DataFrame, features, target: str, order_by, trees: int = 100, depth: int = 12, leaf: int = 20) -> DataFrame:
     """model, part, metrics: logistic regression in-sample and on test, forest on the nested validation part."""
-    data = S.nested_split(df.withColumn(target, col(target).cast("int")), order_by).persist()
+    # Only what the models read is held.
+    data = S.nested_split(df.withColumn(target, col(target).cast("int")), order_by).select(*cols(dict.fromkeys([*features, target])), "part").persist()
     train, test = data.filter("part <> 'test'"), data.filter("part = 'test'")
     inner, validation = data.filter("part = 'fit'"), data.filter("part = 'validation'")
     lr = M.fit(M.Candidate("lr", "logistic", scale=True, settings={"maxIter": 1000}), train, features, target, [0, 1])
@@ -193,7 +197,8 @@ def notebook_baseline(df: DataFrame, features, target: str, order_by, trees: int
                                     ("random_forest", rf, "validation", validation)):
         one = M.probabilities(rows.drop("part"), model, [0, 1]).select(F.lit(name).alias("model"), F.lit(part).alias("rows_of"), col(target), F.col("p")[1].alias("score"))
         scored = one if scored is None else scored.unionByName(one)
-    scored = scored.withColumn("yhat", (F.col("score") > 0.5).cast("int"))
+    scored = cut_lineage(scored.withColumn("yhat", (F.col("score") > 0.5).cast("int")))
+    data.unpersist()
     return I.binary_metrics(scored, target, "yhat", "score", ["model", "rows_of"])
 
 
