@@ -1,6 +1,7 @@
 """Language ID, toxicity, quality by held-out accuracy; top-k and the pipeline against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegauge.llm import language_id, queries
+from tidegauge.llm import language_id, queries, topk
 from tidegauge.llm.language_id import context_trees, grams, identify
 from tidegauge.llm.quality import STATISTICS, score_quality, text_statistics, tree_paths
 from tidegauge.llm.topk import top_k
@@ -120,6 +121,17 @@ def test_top_k_of_awkward_vectors(spark):
     assert top_k(df.limit(0), lambda v: v >= 0).count() == 0
 
 
+def test_copied_query_blocks_are_not_broadcast(spark, frame, monkeypatch):
+    rng, plans, real = random.Random(8), [], topk.over_grid
+    monkeypatch.setattr(topk, "over_grid", lambda grid, step: plans.append(grid) or real(grid, step))
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(400)]
+    found = top_k(frame(rows, "vec_id long, embedding array<double>"), lambda v: v % 10 == 0, k=3, block=16, query_block=8)
+    assert found.count() == 40 * 3 and len(plans) == 2
+    for grid in plans:  # however large a table may be that Spark broadcasts
+        assert len(grid.collect()) > 40
+        assert set(re.findall(r"(\w+Join) \[c#", grid._jdf.queryExecution().executedPlan().toString())) == {"SortMergeJoin"}
+
+
 def test_pipeline_stages_take_effect(spark):
     base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "12 34 !!", "en", "s", 8)], base.schema)

@@ -39,6 +39,15 @@ def blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
     return dealt.groupBy(name, "width").agg(F.collect_list("row").alias(name + "_rows"))
 
 
+def meetings(sent: DataFrame, given: DataFrame) -> DataFrame:
+    """Blocks that share a block number and a width, by a sort-merge join.
+
+    What Spark estimates for `sent` leaves out that its rows were copied for every block. Without the hint these copies could be taken for
+    a small table, and all of them would be gathered by the driver to be broadcast.
+    """
+    return sent.join(given.hint("merge"), ["c", "width"])
+
+
 def products(queries: np.ndarray, candidates: np.ndarray, most: int = 1 << 60) -> np.ndarray:
     """Inner products, exact up to `most`; larger ones count as `most`, smaller than -most as that. Floating point only where every sum is below 2**53."""
     width = max(1, queries.shape[1])
@@ -112,7 +121,7 @@ def top_k(df: DataFrame, queries, k: int = 10, scale: int = 1024, lists: int = 4
     def grid(query_rows: DataFrame) -> DataFrame:
         """Every query block is sent to every candidate block, as a join on the candidate block's number."""
         sent = blocks(query_rows, query_blocks, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(block_count - 1))))
-        return sent.join(given, ["c", "width"]).select("q_rows", "c_rows")
+        return meetings(sent, given).select("q_rows", "c_rows")
 
     def parts(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
         edges = np.linspace(0, q.shape[1], lists + 1).astype(int)
