@@ -1,6 +1,7 @@
 """Inverted multi-index mining against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -53,6 +54,17 @@ def test_negatives_as_by_brute_force(spark, components):
     assert sorted(tuple(r) for r in got) == sorted(brute(rows, lambda i: i % 10 == 0))
 
 
+def test_copied_anchor_blocks_are_not_broadcast(spark, frame, monkeypatch):
+    rnd, plans, real = random.Random(7), [], H.over_index
+    monkeypatch.setattr(H, "over_index", lambda *a: plans.append(real(*a)) or plans[-1])
+    rows = [(i, i % 3, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(400)]
+    found = H.hard_negatives(frame(rows, "vec_id long, label int, embedding array<double>"), lambda i: i % 10 == 0, components=100, anchor_block=8)
+    assert found.count() > 0 and len(plans) == 2
+    for met in plans:  # however large a table may be that Spark broadcasts
+        assert len(met.collect()) > 40
+        assert set(re.findall(r"(\w+Join) \[c#", met._jdf.queryExecution().executedPlan().toString())) == {"SortMergeJoin"}
+
+
 def test_empty_table_and_single_row(spark):
     df = spark.createDataFrame([(0, 1, [1.0], "", 0, "")], SCHEMA)
     assert H.hard_negatives(df, lambda i: i >= 0).count() == 0

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import col, release
-from tidegauge.llm.topk import best, blocks, products
+from tidegauge.llm.topk import best, blocks, meetings, products
 from tidegauge.session import cut_lineage
 
 #: Components of a block (rows by width), codewords of a half, rounds of fitting, rows that are scored together.
@@ -209,7 +209,7 @@ def over_index(index: DataFrame, count: int, anchors: DataFrame, per_block: int,
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=names)
             release()
 
-    return sent.join(index, ["c", "width"]).mapInArrow(run, schema)
+    return meetings(sent, index).mapInArrow(run, schema)
 
 
 def hard_negatives(df: DataFrame, anchors, positives: int = 5, negatives: int = 5, least: int = 80, most: int = 100, scale: int = 256, id_col: str = "vec_id",
