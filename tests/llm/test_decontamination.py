@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.llm import decontamination as D
 from tidegauge.llm.decontamination import build_index, contamination, covered, find_matches
 from tidegauge.llm import queries
 import oracle
@@ -98,6 +100,24 @@ def test_proximity(spark):
         assert {(r.doc_id, r.start) for r in found} == near(slop) and len(found) == len(near(slop))
 
 
+def test_segments_go_to_python_one_by_one(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"one two w{i} three") for i in range(60)], "doc_id long, text string").coalesce(1)
+    index, items = build_index(docs, segment_bytes=40), spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    before, real = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), D.release
+
+    def noted():
+        (tmp_path / uuid.uuid4().hex).touch()
+        real()
+
+    D.release = noted
+    try:
+        assert contamination(index, items).filter("size(items) = 1").count() == 60
+    finally:
+        D.release = real
+    assert len(list(tmp_path.iterdir())) == index.count() >= 20  # a batch for each segment
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_empty_sides(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert contamination(build_index(docs.limit(0)), items).count() == 0
