@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tidegauge.bindings import load
 from tidegauge.bindings.common import FAULT_NAMES, SENSORS
 from tidegauge.bindings.registry import Tables
 from tidegauge.bindings.sources import split_files
@@ -41,3 +42,24 @@ def test_changed_files_are_found_by_whole_path(spark):
         K.require_unchanged(before, swapped)
     with pytest.raises(ValueError, match="b/x.csv"):
         K.require_unchanged(before, before.filter("path = 'a/x.csv'"))
+
+
+def test_registered_experiment_compares_whole_candidates(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(W, "experiment", lambda paths, features, target, names, out, spark, cands=None, **more: seen.update(cands=cands, **more) or {"results": spark.range(1)})
+    load()[0]["m22_experiment"](spark, "/root/testdata/sf0.001")
+    assert {c.name: c.settings for c in seen["cands"] or M.candidates()} == {
+        "logistic_regression": {"maxIter": 2000}, "random_forest": {"numTrees": 200, "maxDepth": 20}, "gradient_boosting": {"maxIter": 150, "maxDepth": 5, "stepSize": 0.1}}
+    assert (seen["repeats"], seen["folds"]) == (10, 5)
+
+
+@pytest.mark.parametrize("rows, tasks", [(1 << 15, 1), (40, 4)])
+def test_boosting_starts_no_task_for_a_few_rows(spark, monkeypatch, rows, tasks):
+    seen, real = [], M.GBTClassifier.fit
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or real(self, df))
+    monkeypatch.setattr(M, "TASK_ROWS", rows)
+    train = spark.createDataFrame([(float(i % 7), i // 50) for i in range(150)], "a double, y int").repartition(8)
+    model = M.fit(M.Candidate("b", "boosting", balanced=False, settings={"maxIter": 2, "maxDepth": 2}), train, ["a"], "y", [0, 1, 2])
+    assert seen == [tasks] * 3
+    assert [s.getProbabilityCol() for s in model.stages[-3:]] == [f"_prob_{c}" for c in range(3)]  # in class order
+    assert M.probabilities(train, model, [0, 1, 2]).filter("size(p) = 3").count() == 150
